@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, licenses, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": mixing.op5,
+    "op8_licenses": licenses.op8,
     "op9_decontaminate": decontaminate.op9,
 }
 
 SQL: dict[str, str] = {
+    "op8_licenses": licenses.SQL8,
     "op9_decontaminate": decontaminate.SQL9,
 }
