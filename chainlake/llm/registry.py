@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing
+from . import decontaminate, language, licenses, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1,
+    "op2_toxicity": toxicity.op2,
     "op5_mixing": mixing.op5,
     "op8_licenses": licenses.op8,
     "op9_decontaminate": decontaminate.op9,
