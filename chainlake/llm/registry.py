@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, toxicity
+from . import decontaminate, language, licenses, mixing, near_text, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1,
     "op2_toxicity": toxicity.op2,
     "op5_mixing": mixing.op5,
+    "op7_near_text": near_text.op7,
     "op8_licenses": licenses.op8,
     "op9_decontaminate": decontaminate.op9,
 }
