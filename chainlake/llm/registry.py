@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, near_text, pii, toxicity
+from . import decontaminate, language, licenses, mixing, near_text, near_vectors, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1,
     "op2_toxicity": toxicity.op2,
     "op4_pii": pii.op4,
     "op5_mixing": mixing.op5,
+    "op6_near_vectors": near_vectors.op6,
     "op7_near_text": near_text.op7,
     "op8_licenses": licenses.op8,
     "op9_decontaminate": decontaminate.op9,
