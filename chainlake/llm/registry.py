@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, near_text, near_vectors, pii, toxicity
+from . import decontaminate, hmm, language, licenses, mixing, near_text, near_vectors, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_hmm": hmm.op3,
     "op4_pii": pii.op4,
     "op5_mixing": mixing.op5,
     "op6_near_vectors": near_vectors.op6,
