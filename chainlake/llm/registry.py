@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm, language, licenses, mixing, near_text, near_vectors, pii, toxicity
+from . import decontaminate, hmm, language, licenses, mixing, near_text, near_vectors, pii, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1,
+    "op10_suffixes": suffixes.op10,
     "op2_toxicity": toxicity.op2,
     "op3_hmm": hmm.op3,
     "op4_pii": pii.op4,
