@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, shuffle_parts, utf8, written
+from .common import fresh, read_table, shuffle_parts, utf8, written
 from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
@@ -314,10 +314,11 @@ def strip(docs: DataFrame, text: str = "text", out: str = "dedup", group_bytes:
     """
     if out in docs.columns:
         docs = docs.drop(out)
-    marks = repeated(docs, text, group_bytes).select(F.col("h").alias("__h"), F.col("c").alias("__c"), F.col("marks").alias("__marks"))
+    names = [fresh(docs, x) for x in ("dedup_h", "dedup_c", "dedup_marks")]
+    marks = repeated(docs, text, group_bytes).toDF(*names)
     h, c = _key(text)
-    on = (h == F.col("__h")) & (c == F.col("__c"))
-    joined = docs.join(marks, on, "left").select(*(docs[x] for x in docs.columns), "__marks")
+    on = (h == F.col(names[0])) & (c == F.col(names[1]))
+    joined = docs.join(marks, on, "left").select(*docs.columns, names[2])
     kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import alnum_words, arrow_schema, crc_mod, read_table, utf8, with_columns
 
@@ -142,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("mark")).where("key IS NOT NULL AND mark IN (0, 1)").groupBy("key").agg(F.max("mark").alias("mark"))
     share = marks.agg(F.avg("mark")).first()[0]
-    nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64("key"), "key"))
-    picked = marks.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
+    first = lambda k: marks.where(F.col("mark") == k).orderBy(F.xxhash64("key"), "key").limit(per_class)
+    picked = first(0).unionByName(first(1))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").where("text IS NOT NULL")
     texts = texts.groupBy("key", "mark").agg(F.min("text").alias("text"))
 
