@@ -29,6 +29,15 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _scratch_roots: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers, by rows and by bytes, so that long texts don't add up."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name, None) or "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

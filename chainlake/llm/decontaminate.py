@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, arrow_schema, fresh, read_table, utf8, with_columns
+from .common import alnum_words, arrow_schema, fresh, read_table, tune, utf8, with_columns
 
 WINDOW = 10
 MAX_WINDOW_WORDS = 1_000_000
@@ -116,6 +116,7 @@ def mark(
     `hits` it is replaced.
     """
     spark = docs.sparkSession
+    tune(spark)
     found = windows(items, item_text, item_id, size).persist()
     total = found.agg(F.sum("words")).first()[0] or 0
     blocks = max(1, -(-total // max_window_words))

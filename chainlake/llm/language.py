@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, crc_mod, fresh, read_table, with_columns, written
+from .common import arrow_schema, crc_mod, fresh, read_table, tune, with_columns, written
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
     The centroids come from at most per_label distinct texts a label (those with the smallest text
     hashes), and at most MAX_LABELS labels, the most frequent; the document frequencies from all rows.
     """
+    tune(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +178,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     was learned); score the share that label's cosine has among all labels', sharpened; chance the
     cosine that as many grams dealt at random would have; the numbers are 0 for `und`. A tie goes to the label that sorts first. If docs has a column `out` it is replaced.
     """
+    tune(docs.sparkSession)
     if out in docs.columns:
         docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)

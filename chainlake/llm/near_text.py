@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, space_words, utf8, written
+from .common import fresh, read_table, space_words, tune, utf8, written
 from .graph import Forest, components, sorted_groups
 
 WORDS = 5
@@ -175,6 +175,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     columns are read.
     """
     spark = docs.sparkSession
+    tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("text_md5"), F.col(text).alias("text"))
     rows = written(signatures(base, "text", ["doc_id", "text_md5"]), "signatures")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_parts, written
+from .common import read_table, shuffle_parts, tune, written
 from .graph import Forest, components, sorted_groups
 from .near_text import in_blocks
 
@@ -130,6 +130,7 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     link with nothing. Null keys are linked but don't name a component unless all its keys are null.
     """
     spark = vectors.sparkSession
+    tune(spark)
     parts = shuffle_parts(spark)
     base = vectors.select(F.col(key).alias("key"), vector, F.col(label).cast("string"))
     kind = vectors.schema[key].dataType.simpleString()

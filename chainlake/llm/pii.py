@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, fresh, read_table, with_columns
+from .common import arrow_schema, fresh, read_table, tune, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside; 1 + 2k begins kind k, 2 + 2k goes on
@@ -394,6 +394,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     Offsets count code points, end exclusive. Null counts as empty; a text without a digit or `@` has
     no spans; every row and column is kept, and a column `out` of docs is replaced.
     """
+    tune(docs.sparkSession)
     if out in docs.columns:
         docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(network())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read_table, shuffle_parts, utf8, written
+from .common import fresh, read_table, shuffle_parts, tune, utf8, written
 from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
@@ -254,6 +254,7 @@ def repeated(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> Data
     h and c are hashes of the text (64 and 32 bits); windows is null if all windows of the segment repeat.
     """
     spark = docs.sparkSession
+    tune(spark)
     parts = shuffle_parts(spark)
     base = docs.select(*_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
     folded = base.mapInArrow(_folded, "h long, c long, anchor long, segment long, n long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, arrow_schema, crc_mod, read_table, utf8, with_columns
+from .common import alnum_words, arrow_schema, crc_mod, read_table, tune, utf8, with_columns
 
 BUCKETS, FACTORS = 1 << 24, 8
 PER_CLASS = 6000
@@ -167,6 +167,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     Null texts count as empty; an empty text gets the intercept's probability. Repeated words count
     once. If docs has a column `out` it is replaced.
     """
+    tune(docs.sparkSession)
     if out in docs.columns:
         docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
