@@ -90,7 +90,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

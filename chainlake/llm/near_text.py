@@ -34,7 +34,7 @@ HASHES, LEAST_SHARED = 64, 40
 PERCENT = 85
 #: Members and bytes of a block of a posting list or candidate group.
 BLOCK, BLOCK_BYTES = 1000, 32 << 20
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _ids: dict[bytes, int] = {}
 _MULTIPLIERS = np.random.default_rng(20240131).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)

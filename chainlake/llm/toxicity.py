@@ -30,7 +30,7 @@ PER_CLASS = 6000
 LEAST_TEXTS, LEAST_CHI2, COMMON = 5, 15.0, 0.3
 EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.5, 1e-3
 #: Words whose bucket a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _bucket: dict[bytes, int] = {}
 
