@@ -63,6 +63,19 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+_HASHES = 1 << 30
+
+
+def share_below(wanted: int, rows: int) -> int:
+    """The bound under which about `wanted` of so many rows' hashes fall (all, if there are fewer)."""
+    return _HASHES if rows <= wanted else max(1, _HASHES * wanted // rows)
+
+
+def below(h: Column, bound: Column) -> Column:
+    """Whether a hash falls under a bound: a sample that doesn't depend on order or partitioning."""
+    return F.pmod(h, F.lit(_HASHES)) < bound
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -86,18 +99,55 @@ def scratch_root(spark: SparkSession) -> str:
     return _scratch_roots[app]
 
 
+#: Small tables are broadcast up to so many rows; beyond, joins shuffle.
+BROADCAST_ROWS = 300_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and lost executors cost no recomputation."""
+    """df as a table in the shared folder: lineage is cut, and lost executors cost no recomputation.
+
+    The shuffle files that writing it took are given back as soon as it is there.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return _write(spark, df, path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def _write(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that was made from them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch_path)
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A narrow table to join texts with: broadcast if it is counted to be small, so that the texts stay where they are."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the session's intermediate tables. Call it once results have been consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

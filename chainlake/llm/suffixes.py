@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read_table, shuffle_parts, tune, utf8, written
+from .common import discard, fresh, read_table, shuffle_parts, tune, utf8, written
 from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
 #: Bytes of texts taken together, of segments indexed together, and of one group at most.
 BATCH_BYTES, INDEX_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 4 << 20
+REACH = 34
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -55,8 +56,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, first window, windows, anchor, segment hash) of the segments of texts, one batch after another.
+def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, first window, windows, anchor, segment hash, anchor's place) of the segments of texts, one batch after another.
 
     A text is cut where a batch is full; a cut segment is another segment, so nothing depends on it.
     """
@@ -103,7 +104,7 @@ def _segments(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     p = part[first]
     text = np.array([i for i, _, _ in parts])[p]
     offset = first - (ends - sizes)[p] + np.array([o for _, o, _ in parts])[p]
-    return text, offset, count, seeds[at[cut]].view(np.int64), whole.view(np.int64)
+    return text, offset, count, seeds[at[cut]].view(np.int64), whole.view(np.int64), at[cut] - first
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = utf8(b.column(2))
         h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for text, _, _, anchor, segment in segments(texts):
+        for text, _, _, anchor, segment, _ in segments(texts):
             order = np.lexsort((segment, anchor, text))
             t, a, s = text[order], anchor[order], segment[order]
             new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
@@ -120,17 +121,17 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted) to (anchor, segment, bytes) of the wanted segments."""
+    """Rows (text, wanted) to (anchor, segment, bytes, seed) of the wanted segments; seed is the anchor's place in them."""
     for b in batches:
         texts = utf8(b.column(0))
         wanted = [{(x["anchor"], x["segment"]) for x in w} for w in b.column(1).to_pylist()]
         rows = []
-        for text, offset, count, anchor, segment in segments(texts):
-            for t, o, n, key in zip(text.tolist(), offset.tolist(), count.tolist(), zip(anchor.tolist(), segment.tolist(), strict=True), strict=True):
+        for text, offset, count, anchor, segment, seed in segments(texts):
+            for t, o, n, key, at in zip(text.tolist(), offset.tolist(), count.tolist(), zip(anchor.tolist(), segment.tolist(), strict=True), seed.tolist(), strict=True):
                 if key in wanted[t]:
                     wanted[t].discard(key)
-                    rows.append((*key, texts[t][o : o + n + LENGTH - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "segment", "bytes"])
+                    rows.append((*key, texts[t][o : o + n + LENGTH - 1], at))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["anchor", "segment", "bytes", "seed"])
 
 
 # -- the index --------------------------------------------------------------------------------
@@ -156,8 +157,10 @@ def suffix_order(sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def common(a: np.ndarray, i: np.ndarray, j: np.ndarray, ends: np.ndarray, step: int = 32) -> np.ndarray:
-    """How many bytes the suffixes at i and j share, within their strings."""
+def common(a: np.ndarray, i: np.ndarray, j: np.ndarray, ends: np.ndarray, step: int = 32, slice_: int = 50_000) -> np.ndarray:
+    """How many bytes the suffixes at i and j share, within their strings; some pairs at a time."""
+    if len(i) > slice_:
+        return np.concatenate([common(a, i[k : k + slice_], j[k : k + slice_], ends, step) for k in range(0, len(i), slice_)])
     room = np.minimum(ends[i] - i, ends[j] - j)
     out = np.zeros(len(i), np.int64)
     live = np.flatnonzero(room > 0)
@@ -206,15 +209,33 @@ def _runs(mask: np.ndarray) -> list[int]:
     return np.stack([np.flatnonzero(d == 1), np.flatnonzero(d == -1)], axis=1).ravel().tolist()
 
 
+def promising(held: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+    """The segments (anchor, segment, bytes, place of the anchor) that may share a window with another of their anchor.
+
+    A window reaches x bytes to the left of its anchor and LENGTH - SEED - x to the right of it. For x in
+    a stretch of REACH values it holds what the least x gives on the left and the greatest on the right:
+    segments that share a window share that string, for one of a few stretches.
+    """
+    seen: dict[tuple, list[int]] = defaultdict(list)
+    for k, (anchor, _, s, at) in enumerate(held):
+        for x in range(0, LENGTH - SEED + 1, REACH):
+            right = at + SEED + max(0, LENGTH - SEED - x - REACH + 1)
+            if at >= x and right <= len(s):
+                seen[anchor, x, xxhash.xxh3_64_intdigest(s[at - x : right])].append(k)
+    good = {k for ks in seen.values() if len(ks) > 1 for k in ks}
+    return [held[k] for k in sorted(good)]
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, bytes), sorted by anchor, to (anchor, segment, windows): runs of windows that repeat."""
-    held: list[tuple[int, int, bytes]] = []
+    """Rows (anchor, segment, bytes, seed), sorted by anchor, to (anchor, segment, windows): runs of windows that repeat."""
+    held: list[tuple[int, int, bytes, int]] = []
     size = 0
 
     def index() -> pa.RecordBatch:
-        best, starts, _ = matching([x[2] for x in held])
+        held[:] = promising(held)
+        best, starts, _ = matching([x[2] for x in held]) if held else (np.zeros(0), np.zeros(0, np.int64), 0)
         rows = []
-        for (anchor, segment, s), at in zip(held, starts.tolist(), strict=True):
+        for (anchor, segment, s, _), at in zip(held, starts.tolist(), strict=True):
             runs = _runs(best[at : at + len(s) - LENGTH + 1] >= LENGTH)
             if runs:
                 rows.append((anchor, segment, runs))
@@ -222,7 +243,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["anchor", "segment", "windows"])
 
     for (anchor,), t in sorted_groups(batches, 1):
-        held += zip([anchor] * t.num_rows, t["segment"].to_pylist(), t["bytes"].to_pylist(), strict=True)
+        held += zip([anchor] * t.num_rows, t["segment"].to_pylist(), t["bytes"].to_pylist(), t["seed"].to_pylist(), strict=True)
         size += sum(len(x[2]) for x in held[-t.num_rows :])
         if size >= INDEX_BYTES:
             yield index()
@@ -257,21 +278,24 @@ def repeated(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> Data
     tune(spark)
     parts = shuffle_parts(spark)
     base = docs.select(*_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
-    folded = base.mapInArrow(_folded, "h long, c long, anchor long, segment long, n long")
+    folded = written(base.mapInArrow(_folded, "h long, c long, anchor long, segment long, n long"), "folded")
     twice = folded.groupBy("anchor").agg(F.sum("n").alias("total"), (F.min("segment") != F.max("segment")).alias("mixed")).where("total > 1").select("anchor", "mixed")
-    occurs = written(folded.join(twice, "anchor"), "occurrences")
+    # copies of a text are one row here
+    occurs = folded.join(twice, "anchor").groupBy("h", "c", "anchor", "segment").agg(F.sum("n").alias("n"), F.max("mixed").alias("mixed"))
+    occurs = written(occurs, "occurrences")
+    discard(folded)
     distinct = occurs.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("h", "c")).alias("of"))
     distinct = written(distinct, "distinct")
 
     wanted = distinct.where("mixed").groupBy(F.col("of.h").alias("wh"), F.col("of.c").alias("wc")).agg(F.collect_list(F.struct("anchor", "segment")).alias("wanted"))
     # one row for each text: copies would cut the same segments again
     texts = base.join(wanted, (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))).select("text", "wanted")
-    cut = written(texts.mapInArrow(_cut, "anchor long, segment long, bytes binary"), "segments").dropDuplicates(["anchor", "segment"])
+    cut = written(texts.mapInArrow(_cut, "anchor long, segment long, bytes binary, seed long"), "segments").dropDuplicates(["anchor", "segment"])
     sizes = cut.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor")
     large = written(sizes, "large")
     some = large.limit(1).count() > 0
     usual = cut.join(large, "anchor", "left_anti") if some else cut
-    indexed = usual.select("anchor", "segment", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, segment long, windows array<long>")
+    indexed = usual.select("anchor", "segment", "bytes", "seed").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, segment long, windows array<long>")
     if some:
         windows = written(cut.join(large, "anchor", "left_semi").select("anchor", "segment", "bytes").mapInArrow(_hashed_windows, "anchor long, segment long, at long, window binary"), "windows")
         again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
@@ -295,7 +319,7 @@ def _key(text: str):
 def covered(texts: list[bytes], marks: list[dict[tuple[int, int], list[int] | None]]) -> list[np.ndarray]:
     """For each text which of its bytes lie in a repeated window."""
     edges = [np.zeros(len(t) + 1, np.int32) if m else None for t, m in zip(texts, marks, strict=True)]
-    for text, offset, count, anchor, segment in segments([t if m else b"" for t, m in zip(texts, marks, strict=True)]):
+    for text, offset, count, anchor, segment, _ in segments([t if m else b"" for t, m in zip(texts, marks, strict=True)]):
         for t, o, n, key in zip(text.tolist(), offset.tolist(), count.tolist(), zip(anchor.tolist(), segment.tolist(), strict=True), strict=True):
             if key in marks[t]:
                 runs = marks[t][key]
@@ -316,7 +340,7 @@ def strip(docs: DataFrame, text: str = "text", out: str = "dedup", group_bytes:
     if out in docs.columns:
         docs = docs.drop(out)
     names = [fresh(docs, x) for x in ("dedup_h", "dedup_c", "dedup_marks")]
-    marks = repeated(docs, text, group_bytes).toDF(*names)
+    marks = written(repeated(docs, text, group_bytes), "marked").toDF(*names)
     h, c = _key(text)
     on = (h == F.col(names[0])) & (c == F.col(names[1]))
     joined = docs.join(marks, on, "left").select(*docs.columns, names[2])
