@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, space_words, tune, utf8, written
+from .common import discard, fresh, lookup, read_table, space_words, tune, utf8, written
 from .graph import Forest, components, sorted_groups
 
 WORDS = 5
@@ -193,20 +193,27 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     lists = in_blocks(postings, "token", parts).select("token", "x", "y", "cls", "n_shingles", "tokens", "mine")
     near = lists.mapInArrow(_list_forest, "a binary, b binary")
     groups = written(components(near), "groups")
+    discard(postings)
 
-    wanted = groups.join(classes, groups["node"] == classes["cls"]).select("root", "cls", "n_shingles", "tokens", F.col("first.doc_id").alias("id"), F.col("first.text_md5").alias("md5"))
+    # the whole texts of the candidate classes: one row of each, found by its id and hash
+    wanted = written(groups.join(classes, groups["node"] == classes["cls"]).select("root", "cls", F.col("first.doc_id").alias("id"), F.col("first.text_md5").alias("md5")), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t).tobytes() for t in utf8(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=[*b.schema.names[:-1], "shingles", "bytes"])
+            sets = [shingles(t) for t in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([8 * len(s) for s in sets], pa.int64()), pa.array([tokens(s) for s in sets], pa.list_(pa.int64()))],
+                names=["root", "cls", "n_shingles", "shingles", "bytes", "tokens"],
+            )
 
     match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_md5"))
-    texts = wanted.join(base, match).select("root", "cls", "n_shingles", "tokens", "text")
-    sets = texts.mapInArrow(whole, "root binary, cls binary, n_shingles long, tokens array<long>, shingles binary, bytes long")
-    sets = written(sets, "sets").dropDuplicates(["cls"])
-    exact = in_blocks(sets, "root", parts, "bytes").select("root", "x", "y", "cls", "n_shingles", "shingles", "tokens", "mine")
-    linked = components(written(exact.mapInArrow(_group_forest, "a binary, b binary"), "links"))
+    texts = base.join(lookup(wanted), match).select("root", "cls", "text")
+    sets = texts.mapInArrow(whole, "root binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
+    sets = written(sets, "sets")
+    exact = in_blocks(sets.dropDuplicates(["cls"]), "root", parts, "bytes").select("root", "x", "y", "cls", "n_shingles", "shingles", "tokens", "mine")
+    links = written(exact.mapInArrow(_group_forest, "a binary, b binary"), "links")
+    discard(sets)
+    linked = components(links)
 
     named = classes.select("cls", "least").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
@@ -237,6 +244,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {c: fresh(docs, c) for c in ("v_id", "v_md5", "verdict")}
     for c, name in names.items():
         verdict = verdict.withColumnRenamed(c, name)
+    verdict = lookup(verdict)
     on = docs["doc_id"].eqNullSafe(verdict[names["v_id"]]) & F.unhex(F.md5(docs["text"])).eqNullSafe(verdict[names["v_md5"]])
     judged = docs.join(verdict, on, "left")
     once = judged.where(F.col(names["verdict"]).isNull()).select(*docs.columns)
