@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import arrow_schema, crc_mod, fresh, read_table, tune, with_columns, written
+from .common import arrow_schema, below, crc_mod, fresh, read_table, share_below, tune, with_columns, written
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -119,8 +118,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int = PER_LABEL, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows of docs whose text and label aren't null.
 
-    The centroids come from at most per_label distinct texts a label (those with the smallest text
-    hashes), and at most MAX_LABELS labels, the most frequent; the document frequencies from all rows.
+    The centroids come from about per_label texts a label (chosen by text hash, all of a smaller
+    label), and at most MAX_LABELS labels, the most frequent; the document frequencies from all rows.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
@@ -140,12 +139,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
 
     often = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
     each = min(per_label, max(1, 20_000 // max(1, len(often))))
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    # equal texts share a hash: each counts once
-    keys = hashed.groupBy("label", "h").agg(F.lit(1).alias("one")).select("label", "h", nth.alias("nth")).where(F.col("nth") <= each)
-    keys = keys.where(F.col("label").isin([r["label"] for r in often])).select("label", "h")
-    picked = hashed.join(F.broadcast(keys), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    # a label's share of hash values passes, so that about `each` texts do: no ranking, and equal texts pass together
+    shares = docs.sparkSession.createDataFrame([(r["label"], share_below(each, r["count"])) for r in often], "label string, below long")
+    hashed = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "label").where(below(F.col("h"), F.col("below")))
+    picked = hashed.groupBy("label", "h").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,5 +237,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language: those with a letter that aren't far from every centroid."""
     out = fresh(docs, "language")
     model = fit(docs)
-    found = written(classify(docs, model, out=out), "classified")
-    return found.where(~rejected(cutoffs(found, out), out)).select(*docs.columns)
+    # the cutoffs need all distances first; classifying twice is cheaper than storing the texts in between
+    cut = cutoffs(classify(docs.select("text"), model, out=out), out)
+    return classify(docs, model, out=out).where(~rejected(cut, out)).select(*docs.columns)
