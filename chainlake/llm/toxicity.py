@@ -4,7 +4,7 @@ A text's features are the distinct buckets of its words (2^24, so that an insult
 ever hit by another word); the model holds those that several sampled texts have. Besides a weight
 each bucket has a short factor vector, and the products of the vectors score pairs of words (an insult beside a group that
 it is aimed at) that no sum of single weights can tell from their parts. It is trained in numpy on a
-bounded sample of labelled rows (`per_class` rows of either class, those with the smallest hashes);
+bounded sample of labelled rows (about `per_class` rows of either class, chosen by hash);
 the share of the classes over all labelled rows sets the intercept.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, arrow_schema, crc_mod, read_table, tune, utf8, with_columns
+from .common import alnum_words, arrow_schema, below, crc_mod, read_table, share_below, tune, utf8, with_columns
 
 BUCKETS, FACTORS = 1 << 24, 8
 PER_CLASS = 6000
@@ -136,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns from the texts of docs that labels marks 0 or 1.
 
     A key that labels marks more than once counts by its highest label; nulls don't count, nor do
-    keys without a text. At most per_class keys of either class are read, so the join broadcasts a
-    bounded table; the class shares come from all labels.
+    keys without a text. About per_class keys of either class are read, chosen by hash, so the join
+    broadcasts a bounded table; the class shares come from all labels.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("mark")).where("key IS NOT NULL AND mark IN (0, 1)").groupBy("key").agg(F.max("mark").alias("mark"))
     share = marks.agg(F.avg("mark")).first()[0]
-    first = lambda k: marks.where(F.col("mark") == k).orderBy(F.xxhash64("key"), "key").limit(per_class)
-    picked = first(0).unionByName(first(1))
+    shares = {r["mark"]: share_below(per_class, r["count"]) for r in marks.groupBy("mark").count().collect()}
+    picked = marks.where(below(F.xxhash64("key"), F.when(F.col("mark") == 1, shares.get(1, 0)).otherwise(shares.get(0, 0))))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").where("text IS NOT NULL")
     texts = texts.groupBy("key", "mark").agg(F.min("text").alias("text"))
 
