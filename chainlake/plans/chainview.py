@@ -100,11 +100,11 @@ class View(Mapping[str, DataFrame]):
 
     @cached_property
     def logs(self) -> DataFrame:
-        li = self.raw("lineitem")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        li = li.withColumn("log_index", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long") - 1)
         tx = self.transactions.select("block_number", "tx_index", "tx_hash")
-        return li.join(tx, F.col("l_orderkey") == F.col("tx_hash")).select(
+        # numbered behind the join and by block, so that a filter on blocks goes all the way to the orders
+        place = F.row_number().over(Window.partitionBy("block_number", "tx_index").orderBy(*order)).cast("long") - 1
+        return self.raw("lineitem").join(tx, F.col("l_orderkey") == F.col("tx_hash")).withColumn("log_index", place).select(
             "block_number", "tx_index", "log_index", F.col("l_suppkey").alias("address"), F.col("l_returnflag").alias("topic0"), F.col("l_linestatus").alias("topic1"), F.col("l_partkey").alias("topic2"),
             F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber").cast("long")).alias("topic3"), F.col("l_quantity").cast("long").alias("data"),
         )
