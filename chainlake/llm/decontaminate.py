@@ -106,29 +106,30 @@ def mark(
     item_id: str = "item_id",
     size: int = WINDOW,
     max_window_words: int = MAX_WINDOW_WORDS,
+    out: str = "hits",
 ) -> DataFrame:
-    """docs with `hits`: struct(n_words, n_hit, item_ids, spans), all rows and columns kept.
+    """docs with struct(n_words, n_hit, item_ids, spans) in `out`, all rows and columns kept.
 
     n_hit counts the words inside any occurrence of a window, item_ids lists the items whose windows
     occur (as strings, sorted, distinct), spans are the merged hit stretches as code-point offsets of
     the original text, end exclusive. Null text has no words; items with null ids hit but aren't
     listed; items with equal ids are one item; empty items have no window. If docs has a column
-    `hits` it is replaced.
+    `out` it is replaced.
     """
     spark = docs.sparkSession
     tune(spark)
     found = windows(items, item_text, item_id, size).persist()
     total = found.agg(F.sum("words")).first()[0] or 0
     blocks = max(1, -(-total // max_window_words))
-    if "hits" in docs.columns:
-        docs = docs.drop("hits")
+    if out in docs.columns:
+        docs = docs.drop(out)
     raw, ids, count = fresh(docs, "hit_words"), fresh(docs, "hit_items"), fresh(docs, "hit_count")
-    out = docs
+    passed = docs
     for k in range(blocks):
         mine = found.where(F.expr(f"pmod(xxhash64(window), {blocks}) = {k}")) if blocks > 1 else found
         patterns = [(r["window"], r["ids"]) for r in mine.select("window", "ids").orderBy("window").toLocalIterator()]
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, patterns))
-        out = _pass(out, text, raw, ids, count, shared, first=k == 0)
+        passed = _pass(passed, text, raw, ids, count, shared, first=k == 0)
     found.unpersist()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +145,10 @@ def mark(
                         spans.append({"start": at[s][0], "end": at[e - 1][1]})
                 rows.append({"n_words": n, "n_hit": n_hit, "item_ids": sorted(set(names)), "spans": spans})
             kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-            yield with_columns(b.select([c for c in b.schema.names if c not in (raw, ids, count)]), {"hits": pa.array(rows, kind)})
+            yield with_columns(b.select([c for c in b.schema.names if c not in (raw, ids, count)]), {out: pa.array(rows, kind)})
 
     hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", _SPAN)])
-    return out.mapInArrow(place, arrow_schema(docs, ("hits", hits)))
+    return passed.mapInArrow(place, arrow_schema(docs, (out, hits)))
 
 
 def _pass(docs: DataFrame, text: str, raw: str, ids: str, count: str, shared, first: bool) -> DataFrame:
@@ -197,8 +198,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window; the others pass unchanged."""
-    hits = mark(docs, read_table(spark, sf_dir, "benchmark"))
-    return hits.where("hits.n_hit = 0").select(*docs.columns)
+    out = fresh(docs, "hits")
+    marked = mark(docs, read_table(spark, sf_dir, "benchmark"), out=out)
+    return marked.where(F.col(f"{out}.n_hit") == 0).select(*docs.columns)
 
 
 def digest(ids: list[str]) -> str:

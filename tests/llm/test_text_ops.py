@@ -153,8 +153,14 @@ def test_windows_in_blocks_and_offsets(spark, docs_of):
         assert decontaminate.digest(r["hits"]["item_ids"]) == sha and r["hit_words"] == 1
         covered = [w for s in r["hits"]["spans"] for w in re.findall("[0-9a-z]+", text[s["start"] : s["end"]].lower())]
         assert len(covered) == n_hit
-    kept = decontaminate.stage
-    assert kept
+
+
+def test_decontamination_stage(spark, docs_of, sf_dir):
+    item = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 15)
+    docs = docs_of([(1, f"before {item} after"), (2, "a clean text"), (3, None)]).withColumn("hits", F.lit("clash"))
+    kept = decontaminate.stage(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["hits"]) for r in kept.collect()) == [(2, "clash"), (3, "clash")]
 
 
 # -- personal data ----------------------------------------------------------------------------
