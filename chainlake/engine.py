@@ -86,6 +86,37 @@ def unwind_state(w: Writer, above: int) -> None:
         w.truncate(table, above)
 
 
+class StateView:
+    """The state at a height (None: now), over one pinned version. Unknown things read as empty."""
+
+    def __init__(self, snapshot: Snapshot, height: int | None = None, check: bool = True) -> None:
+        if check:
+            reads.check_height(snapshot["headers"], height)
+        self.snapshot, self.height = snapshot, height
+
+    @property
+    def accounts(self) -> DataFrame:
+        return asof.state_at(self.snapshot["account_state"], self.snapshot["account_changes"], ACCOUNT, ACCOUNT_VALUES, self.height)
+
+    @property
+    def storage(self) -> DataFrame:
+        return asof.state_at(self.snapshot["storage_state"], self.snapshot["storage_changes"], SLOT, SLOT_VALUES, self.height)
+
+    def with_code(self) -> DataFrame:
+        """Accounts with their code, empty where they have none."""
+        return asof.evm_view(self.accounts, self.snapshot["bytecodes"])
+
+    def values(self, wanted: DataFrame) -> DataFrame:
+        """wanted (address, slot) with value, zero where there is none."""
+        found = wanted.join(self.storage, SLOT, "left")
+        return found.withColumn("value", F.coalesce("value", u256.lit(0)))
+
+    def block_hashes(self, wanted: DataFrame) -> DataFrame:
+        """wanted (block_number) with block_hash, zero for unknown blocks."""
+        found = wanted.join(self.snapshot["headers"].select("block_number", "block_hash"), "block_number", "left")
+        return found.withColumn("block_hash", F.coalesce("block_hash", u256.lit(0)))
+
+
 class Dispatcher:
     """One background worker with a bounded queue: a full queue or a stopped worker is an error at once."""
 
@@ -163,6 +194,13 @@ class Engine:
         if wait:
             self.dispatcher.wait()
 
+    def commit_state(self, accounts: DataFrame, storage: DataFrame) -> None:
+        """Puts accounts and slots over the current state: no history, no deletions, no codes."""
+        with self.hot.writer() as w:
+            w.upsert("account_state", accounts)
+            w.upsert("storage_state", storage)
+            w.commit()
+
     def write_history(self, blocks: DataFrame) -> None:
         """All history tables of the blocks, in one commit."""
         with self.cold.writer() as w:
@@ -221,16 +259,13 @@ class Engine:
 
     def accounts_at(self, height: int | None, check: bool = True) -> DataFrame:
         """All accounts at a height; check raises for heights outside the stored blocks."""
-        s = self.reader()
-        if check:
-            reads.check_height(s["headers"], height)
-        return asof.state_at(s["account_state"], s["account_changes"], ACCOUNT, ACCOUNT_VALUES, height)
+        return self.view(height, check).accounts
 
     def storage_at(self, height: int | None, check: bool = True) -> DataFrame:
-        s = self.reader()
-        if check:
-            reads.check_height(s["headers"], height)
-        return asof.state_at(s["storage_state"], s["storage_changes"], SLOT, SLOT_VALUES, height)
+        return self.view(height, check).storage
+
+    def view(self, height: int | None = None, check: bool = True) -> StateView:
+        return StateView(self.reader(), height, check)
 
     def get_logs(self, f: LogFilter, limit: int, cold: Mapping[str, DataFrame] | None = None) -> DataFrame:
         return reads.get_logs(self.cold_reader() if cold is None else cold, f, limit)

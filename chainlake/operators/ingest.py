@@ -7,11 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EmptyRange, NonContiguous, ParentMismatch
+from ..errors import EmptyRange, MissingField, NonContiguous, ParentMismatch
 from .reads import derive_receipts, tip
 from .reorg import breaks
 
 
+class BlockBuilder:
+    """Puts one block bundle together; build() raises MissingField unless there are a header and a body."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, object] = {"events": [], "rollup_header": None}
+
+    def header(self, **fields) -> BlockBuilder:
+        self.parts["header"] = fields
+        return self
+
+    def body(self, transactions: list[dict], receipts: list[dict]) -> BlockBuilder:
+        self.parts |= {"transactions": transactions, "receipts": receipts}
+        return self
+
+    def events(self, events: list[dict]) -> BlockBuilder:
+        self.parts["events"] = events
+        return self
+
+    def rollup_header(self, **fields) -> BlockBuilder:
+        self.parts["rollup_header"] = fields
+        return self
+
+    def build(self) -> dict[str, object]:
+        """The bundle as a row for createDataFrame with the caller's bundle schema."""
+        for part in ("header", "transactions", "receipts"):
+            if part not in self.parts:
+                raise MissingField(f"the block has no {part}")
+        if len(self.parts["transactions"]) != len(self.parts["receipts"]):
+            raise MissingField("transactions and receipts differ in number")
+        return dict(self.parts)
+
+
 def explode_part(blocks: DataFrame, part: str, index: str, number: Column | None = None) -> DataFrame:
     """One row for each element of an array column: block number, place in the array, the element's fields."""
     number = F.col("block_number") if number is None else number

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainlake.engine import Dispatcher, Engine, StateFeed
-from chainlake.errors import Backpressure, ConfigError, KeyOrder, NotEmpty, ReadOnly, Reorganised, StreamDeadline, TaskTerminated, TooManyLogs, UnknownTable, WriteLocked
+from chainlake.errors import Backpressure, ConfigError, HeightOutOfRange, KeyOrder, MissingField, NotEmpty, ReadOnly, Reorganised, StreamDeadline, TaskTerminated, TooManyLogs, UnknownTable, WriteLocked
 from chainlake.functions.keccak import keccak256
 from chainlake.functions.u256 import encode
 from chainlake.operators.filters import LogFilter
+from chainlake.operators.ingest import BlockBuilder
 from chainlake.schema import COLD, HOT
 from chainlake.sources import genesis
 from chainlake.sources.config import COLD_PATH, COLD_SQL, HOT_PATH, EngineConfig
@@ -181,6 +182,33 @@ def test_drain_when_history_lags(spark, tmp_path):
     e.close()
 
 
+def test_views_and_plain_commits(spark, tmp_path):
+    e = run(spark, tmp_path, 2)
+    new = slots(spark, [(1, 1, 77), (9, 9, 1)])
+    e.commit_state(spark.createDataFrame([(addr(9), 4, encode(4))], "address binary, nonce long, balance binary"), new)
+    v = e.view()
+    asked = slots(spark, [(1, 1, 0), (9, 9, 0), (9, 8, 0)]).drop("value")
+    assert {bytes(r["address"])[-1] * 10 + bytes(r["slot"])[-1]: int.from_bytes(r["value"], "big") for r in v.values(asked).collect()} == {11: 77, 99: 1, 98: 0}
+    assert v.with_code().where(F.length("code") == 0).count() == v.accounts.count() == 4
+    hashes = {r["block_number"]: bytes(r["block_hash"]) for r in v.block_hashes(spark.createDataFrame([(1,), (50,)], "block_number long")).collect()}
+    assert hashes[50] == encode(0) and hashes[1] != encode(0)
+    assert e.reader()["storage_changes"].count() == 4
+    with pytest.raises(HeightOutOfRange):
+        e.view(50)
+    e.close()
+
+
+def test_block_builder():
+    with pytest.raises(MissingField):
+        BlockBuilder().header(block_number=1).build()
+    with pytest.raises(MissingField):
+        BlockBuilder().body([], []).build()
+    with pytest.raises(MissingField):
+        BlockBuilder().header(block_number=1).body([{}], []).build()
+    made = BlockBuilder().header(block_number=1).body([], []).rollup_header(block_data_hash=b"").build()
+    assert made["events"] == [] and made["rollup_header"] == {"block_data_hash": b""}
+
+
 def test_replay(spark, tmp_path):
     e = run(spark, tmp_path, 1)
     with e.hot.writer() as w:
