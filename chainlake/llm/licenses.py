@@ -152,13 +152,16 @@ def _sql() -> str:
         tw, kw = t.split(), k.split()
         off = next(i for i in range(len(tw)) if tw[i : i + len(kw)] == kw)
         rows.append(f"('{label}', {lit(t)}, {lit(k)}, {off})")
+    # every phrase has one of these words: only texts with one need a closer look
+    longest = sorted({max(p.split(), key=len) for p in [*BASE, *(k for _, _, k in TEMPLATES)]})
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT r, w FROM d WHERE list_has_any(w, {longest})),
 b(label, p) AS (VALUES {base}),
 t(label, tw, kw, off) AS (VALUES {", ".join(rows)}),
-bp AS (SELECT r, label, i - 1 AS start FROM (SELECT r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, b) WHERE w[i:i + len(p) - 1] = p),
+bp AS (SELECT r, label, i - 1 AS start FROM (SELECT r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM c, b) WHERE w[i:i + len(p) - 1] = p),
 tp AS (SELECT r, label, list_sum(list_transform(range(1, len(tw) + 1), lambda j: CASE WHEN i - off + j - 1 >= 1 AND w[i - off + j - 1] = tw[j] THEN 1 ELSE 0 END)) / len(tw) AS score
-       FROM (SELECT r, w, label, tw, kw, off, unnest(range(1, len(w) - len(kw) + 2)) AS i FROM d, t) WHERE w[i:i + len(kw) - 1] = kw),
+       FROM (SELECT r, w, label, tw, kw, off, unnest(range(1, len(w) - len(kw) + 2)) AS i FROM c, t) WHERE w[i:i + len(kw) - 1] = kw),
 ba AS (SELECT r, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM bp GROUP BY r),
 la AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT r, label FROM bp UNION ALL SELECT r, label FROM tp) GROUP BY r),
 sc AS (SELECT r, max(score) AS s FROM tp GROUP BY r)
