@@ -81,6 +81,16 @@ def test_snapshot_prunes_files(spark, tmp_path):
     assert part.count() == 2 and all("bucket=2" in f for f in part.inputFiles())
 
 
+def test_log_filters_reach_the_scan(spark, cold):
+    from chainlake.operators import reads
+
+    df = reads.logs(cold.snapshot(), LogFilter(850, 851, address=(A, B), topics=((T,),)), 10)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "TakeOrderedAndProject" in plan
+    pushed = [x for x in plan.splitlines() if x.startswith("PushedFilters") and "address" in x]
+    assert pushed and all("In(address" in x and "GreaterThanOrEqual(block_number,850)" in x and "EqualTo(topic0" in x for x in pushed)
+
+
 def feed(spark, accounts=(), storage=(), wiped=()):
     return StateFeed(
         spark,
