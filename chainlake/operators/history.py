@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import OPEN_SHARD, SHARD_CAP
+from ..schema import BLOCKS_PER_BUCKET, OPEN_SHARD, SHARD_CAP
 from .filters import block_range
 
 
@@ -20,12 +20,17 @@ def changed(changes: DataFrame, keys: Sequence[str], first: int | None = None, l
 def shards(changes: DataFrame, keys: Sequence[str], cap: int = SHARD_CAP) -> DataFrame:
     """(keys, highest, is_open, blocks): runs of cap blocks keyed by their highest, the last one open.
 
-    A shard is gathered by (key, shard number), so no group exceeds cap; the number comes from a
-    window over one key's blocks.
+    A key that most blocks change is no task of its own: places are counted within (key, block bucket),
+    and the buckets' counts, one row each, are added up before. A shard is gathered by (key, number),
+    so no group exceeds cap.
     """
-    seen = changes.select(*keys, "block_number").distinct()
-    w = Window.partitionBy(*keys).orderBy("block_number")
-    numbered = seen.withColumn("shard", F.floor((F.row_number().over(w) - 1) / cap))
+    seen = changes.select(*keys, F.floor(F.col("block_number") / BLOCKS_PER_BUCKET).alias("bucket"), "block_number").distinct()
+    inside = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("block_number"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = seen.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    placed = seen.withColumn("inside", inside).join(before, [*keys, "bucket"])
+    numbered = placed.withColumn("shard", F.floor((F.col("inside") - 1 + F.col("before")) / cap)).select(*keys, "block_number", "shard")
     made = numbered.groupBy(*keys, "shard").agg(F.sort_array(F.collect_list("block_number")).alias("blocks"), F.max("block_number").alias("highest"))
     last = Window.partitionBy(*keys).orderBy("shard")
     is_open = F.lead("shard").over(last).isNull()

@@ -58,6 +58,14 @@ def test_history_shards_and_appends(spark):
         history.append(parts, many, ["k"], 10, 20).collect()
 
 
+def test_history_shards_across_block_buckets(spark):
+    many = spark.range(0, 50_000, 7).select(F.lit(1).alias("k"), F.col("id").alias("block_number"))
+    got = sorted((r["highest"], r["blocks"]) for r in history.shards(many, ["k"], cap=1000).collect())
+    every = list(range(0, 50_000, 7))
+    want = [every[i : i + 1000] for i in range(0, len(every), 1000)]
+    assert got == [(b[-1] if b is not want[-1] else OPEN_SHARD, b) for b in want]
+
+
 def test_history_by_key(spark):
     rows_ = [(1, "a1"), (2, "a1"), (2, "a2"), (3, "a2"), (4, "a1"), (5, "a1")]
     df = spark.createDataFrame(rows_, "block_number long, k string")
