@@ -34,7 +34,7 @@ from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
 #: Bytes of texts taken together, of segments indexed together, and of one group at most.
-BATCH_BYTES, INDEX_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 4 << 20
+BATCH_BYTES, INDEX_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 4 << 20
 REACH = 34
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -143,18 +143,29 @@ def suffix_order(sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
     A string's end sorts before any byte. Equal suffixes of different strings stay in place order.
     """
     n = len(sym)
-    at = np.arange(n)
+    at, ends = np.arange(n, dtype=np.int32), ends.astype(np.int32)
     key = np.zeros(n, np.int64)
     for k in range(7):
-        ok = at + k < ends
-        key = (key << 9) | np.where(ok, sym[np.minimum(at + k, n - 1)], 0)
-    rank = np.unique(key, return_inverse=True)[1] + 1
+        key <<= 9
+        key |= np.where(at + k < ends, sym[np.minimum(at + k, n - 1)], 0)
+    rank = _ranked(key)
     step, most = 7, int((ends - at).max(initial=0))
     while step < most and rank.max() < n:
-        ahead = np.where(at + step < ends, rank[np.minimum(at + step, n - 1)], 0)
-        rank = np.unique((rank.astype(np.int64) << 32) | ahead, return_inverse=True)[1] + 1
+        key[:] = rank
+        key <<= 32
+        key |= np.where(at + step < ends, rank[np.minimum(at + step, n - 1)], 0)
+        rank = _ranked(key)
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable").astype(np.int32)
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal keys."""
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]), dtype=np.int32)
+    return rank
 
 
 def common(a: np.ndarray, i: np.ndarray, j: np.ndarray, ends: np.ndarray, step: int = 32, slice_: int = 50_000) -> np.ndarray:
@@ -182,24 +193,24 @@ def matching(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     sizes = np.array([len(s) for s in strings])
     stops = np.cumsum(sizes)
     a = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.repeat(stops, sizes)
+    ends = np.repeat(stops, sizes).astype(np.int32)
     starts = stops - sizes
-    order = suffix_order(a.astype(np.int64) + 1, ends)
+    order = suffix_order(a.astype(np.int16) + np.int16(1), ends)
     # the transform: the byte before each suffix; a string's start has none and equals no other
-    before = np.concatenate([[0], a[:-1]]).astype(np.int64)
+    n = len(a)
+    before = np.concatenate([[0], a[:-1]]).astype(np.int32)
     before[starts] = -1 - np.arange(len(strings))
     bwt = before[order]
-    edge = np.flatnonzero(bwt[1:] != bwt[:-1])  # a run ends at edge, the next begins at edge + 1
-    n = len(a)
-    best = np.zeros(n, np.int64)
-    shared = common(a, order[edge], order[edge + 1], ends)
+    edge = np.flatnonzero(bwt[1:] != bwt[:-1]).astype(np.int32)  # a run ends at edge, the next begins at edge + 1
+    del before, bwt
+    best, place = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
+    shared = common(a, order[edge], order[edge + 1], ends).astype(np.int32)
     for sample, first_or_last in ((order[edge + 1], order[0]), (order[edge], order[-1])):
-        held = np.full(n, -1, np.int64)  # at run heads the match with the suffix before, at run ends with the one after
+        held = np.full(n, -1, np.int32)  # at run heads the match with the suffix before, at run ends with the one after
         held[sample] = shared
         held[first_or_last] = 0
-        known = held >= 0
-        last = np.maximum.accumulate(np.where(known, np.arange(n), -1))
-        best = np.maximum(best, held[last] - (np.arange(n) - last))
+        last = np.maximum.accumulate(np.where(held >= 0, place, -1))
+        best = np.maximum(best, held[last] - (place - last))
     return best, starts, len(edge) + 1
 
 
