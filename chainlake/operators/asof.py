@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import BLOCKS_PER_BUCKET
 from .filters import block_range
 
 
@@ -35,10 +36,26 @@ def state_at(current: DataFrame, changes: DataFrame, keys: Sequence[str], values
     return both.select(*keys, *pick)
 
 
+def bucket(column: str) -> Column:
+    return F.floor(F.col(column) / BLOCKS_PER_BUCKET).alias("bucket")
+
+
+def with_previous(changes: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Adds the key's block before each change; null for its first.
+
+    Found within (key, block bucket), or from the bucket before with any change: windows hold a bucket
+    of one key, or a row a bucket, so a key that changes in every block is spread over tasks.
+    """
+    placed = changes.select("*", bucket("block_number"))
+    inside = F.lag("block_number").over(Window.partitionBy(*keys, "bucket").orderBy("block_number"))
+    ends = placed.groupBy(*keys, "bucket").agg(F.max("block_number").alias("end"))
+    ends = ends.select(*keys, "bucket", F.lag("end").over(Window.partitionBy(*keys).orderBy("bucket")).alias("end"))
+    return placed.withColumn("inside", inside).join(ends, [*keys, "bucket"]).withColumn(out, F.coalesce("inside", "end")).select(*changes.columns, out)
+
+
 def intervals(current: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Every value a key ever had, with valid_from (null: always) and valid_to, exclusive (null: still)."""
-    w = Window.partitionBy(*keys).orderBy("block_number")
-    was = changes.select(*keys, F.lag("block_number").over(w).alias("valid_from"), F.col("block_number").alias("valid_to"), *(F.col(f"pre_{v}").alias(v) for v in values))
+    was = with_previous(changes, keys, "valid_from").select(*keys, "valid_from", F.col("block_number").alias("valid_to"), *(F.col(f"pre_{v}").alias(v) for v in values))
     last = changes.groupBy(*keys).agg(F.max("block_number").alias("valid_from"))
     now = current.join(last, list(keys), "left").select(*keys, "valid_from", F.lit(None).cast("long").alias("valid_to"), *values)
     return was.unionByName(now)
@@ -47,17 +64,26 @@ def intervals(current: DataFrame, changes: DataFrame, keys: Sequence[str], value
 def batch_state_at(requests: DataFrame, current: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """requests (keys and height) with the values at their heights; unknown keys give nulls.
 
-    Requests and validity bounds of a key are sorted together, and each request takes the first bound
-    after it: one shuffle on the keys, and no pair of request and change is ever made.
+    Requests and the changes of a key are sorted together, bucket by bucket of blocks, and each request
+    takes the pre-image of the first change after it, or else what the next bucket with a change begins
+    with, or else the current value. No pair of request and change is ever made, and no window holds
+    more than a bucket of one key.
     """
-    bounds = intervals(current, changes, keys, values)
-    at = F.coalesce("valid_to", F.lit((1 << 63) - 1))
-    marks = bounds.select(*keys, at.alias("at"), F.lit(1).alias("is_bound"), F.struct(*values).alias("v"))
+    pre = [F.col(f"pre_{v}").alias(v) for v in values]
+    now = current.select(*keys, F.lit(1 << 62).alias("at"), F.lit(1).alias("is_bound"), F.struct(*values).alias("v"))
+    marks = changes.select(*keys, F.col("block_number").alias("at"), F.lit(1).alias("is_bound"), F.struct(*pre).alias("v")).unionByName(now)
     asked = requests.select(*keys, F.col("height").alias("at"), F.lit(0).alias("is_bound")).withColumn("v", F.lit(None).cast(marks.schema["v"].dataType))
-    # a bound at height H no longer holds at H: it comes before the requests at H
-    w = Window.partitionBy(*keys).orderBy("at", F.desc("is_bound")).rowsBetween(1, Window.unboundedFollowing)
-    found = marks.unionByName(asked).withColumn("hit", F.first(F.when(F.col("is_bound") == 1, F.struct("v")), ignorenulls=True).over(w))
-    return found.where("is_bound = 0").select(*keys, F.col("at").alias("height"), *(F.col(f"hit.v.{v}").alias(v) for v in values))
+    placed = marks.unionByName(asked).select("*", bucket("at"))
+    # a change at height H is visible at H: it comes before the requests at H
+    w = Window.partitionBy(*keys, "bucket").orderBy("at", F.desc("is_bound")).rowsBetween(1, Window.unboundedFollowing)
+    bound = F.when(F.col("is_bound") == 1, F.struct("v"))
+    found = placed.withColumn("hit", F.first(bound, ignorenulls=True).over(w))
+    firsts = placed.groupBy(*keys, "bucket").agg(F.min_by(bound, F.when(F.col("is_bound") == 1, F.col("at"))).alias("first"))
+    ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = firsts.select(*keys, "bucket", F.first("first", ignorenulls=True).over(ahead).alias("later"))
+    asked = found.where("is_bound = 0").join(later, [*keys, "bucket"])
+    hit = F.coalesce("hit", "later")
+    return asked.withColumn("hit", hit).select(*keys, F.col("at").alias("height"), *(F.col(f"hit.v.{v}").alias(v) for v in values))
 
 
 def evm_view(accounts: DataFrame, codes: DataFrame) -> DataFrame:

@@ -119,6 +119,19 @@ def test_batch_state_at(spark, history):
     assert got == {(addr(1), x): encode(v) for x, _, v in CASES if x} | {(addr(9), 5): None}
 
 
+def test_batches_across_block_buckets(spark):
+    """A key that changes in every third block over several buckets, asked at many heights."""
+    blocks = list(range(0, 45_000, 3_001))
+    changes = spark.createDataFrame([(b, 1, i) for i, b in enumerate(blocks)], "block_number long, k long, pre_v long")
+    current = spark.createDataFrame([(1, len(blocks))], "k long, v long")
+    heights = [0, 1, 2_999, 3_000, 3_001, 9_999, 10_000, 19_999, 20_000, 41_999, 42_013, 42_014, 60_000]
+    asked = spark.createDataFrame([(1, x) for x in heights], "k long, height long")
+    got = {r["height"]: r["v"] for r in asof.batch_state_at(asked, current, changes, ["k"], ["v"]).collect()}
+    assert got == {x: sum(b <= x for b in blocks) for x in heights}
+    spans = sorted((-1 if r["valid_from"] is None else r["valid_from"], r["valid_to"], r["v"]) for r in asof.intervals(current, changes, ["k"], ["v"]).collect())
+    assert [(a, b) for a, b, _ in spans] == list(zip([-1, *blocks], [*blocks, None], strict=True))
+
+
 def test_height_check(spark):
     hs = headers(spark, [1, 15])
     reads.check_height(hs, 15)
