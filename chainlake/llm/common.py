@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -87,12 +88,15 @@ def fresh(df: DataFrame, base: str) -> str:
 def scratch_root(spark: SparkSession) -> str:
     """The session's folder for intermediate tables, under spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder is chosen and set.
+    Where that is unset a temporary folder is chosen and set, on one machine only: on a cluster its
+    executors wouldn't see it, so there the setting is asked for.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch_roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="scratch-")
             spark.sparkContext.setCheckpointDir(base)
         _scratch_roots[app] = f"{base.rstrip('/')}/tables-{app}-{os.getpid()}"
