@@ -60,6 +60,9 @@ def counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     """(first row, gram counts, whether there is a letter) of one group of rows after another."""
     known = letters()
     for start, group in _groups(texts):
+        if len(group) == 1 and len(group[0]) > 2 * GROUP_POINTS:
+            yield start, *_long(group[0], known)
+            continue
         n = len(group)
         sizes = np.fromiter(map(len, group), np.int64, n)
         if not sizes.sum():
@@ -67,22 +70,37 @@ def counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
             continue
         a = np.concatenate(group)
         row = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        letter = known[a]
-        some = np.bincount(row, letter, n) > 0
-        a = np.where(letter, a, np.uint32(32))
-        grams = []
-        for size, seed in ((2, 0x1B873593), (3, 0xCC9E2D51)):
-            if len(a) < size:
-                continue
-            end = len(a) - size + 1
-            h = np.full(end, seed, np.uint32)
-            for k in range(size):
-                h = (h ^ a[k : k + end]) * np.uint32(0x9E3779B1)
-                h ^= h >> np.uint32(15)
-            inside = (row[:end] == row[size - 1 :]) & (letter[:end] | letter[size - 1 :])
-            grams.append((row[:end].astype(np.int64) * BUCKETS + (h >> np.uint32(19)))[inside])
-        flat = np.bincount(np.concatenate(grams), minlength=n * BUCKETS) if grams else np.zeros(n * BUCKETS)
-        yield start, flat.reshape(n, BUCKETS).astype(np.float32), some
+        yield start, *_counted(a, row, n, known)
+
+
+def _counted(a: np.ndarray, row: np.ndarray, n: int, known: np.ndarray, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Gram counts and letters of n rows of code points; only grams that begin before a place, if one is given."""
+    letter = known[a]
+    some = np.bincount(row, letter, n) > 0
+    a = np.where(letter, a, np.uint32(32))
+    grams = []
+    for size, seed in ((2, 0x1B873593), (3, 0xCC9E2D51)):
+        if len(a) < size:
+            continue
+        end = len(a) - size + 1
+        h = np.full(end, seed, np.uint32)
+        for k in range(size):
+            h = (h ^ a[k : k + end]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        inside = (row[:end] == row[size - 1 :]) & (letter[:end] | letter[size - 1 :])
+        grams.append((row[:end].astype(np.int64) * BUCKETS + (h >> np.uint32(19)))[:before][inside[:before]])
+    flat = np.bincount(np.concatenate(grams), minlength=n * BUCKETS) if grams else np.zeros(n * BUCKETS)
+    return flat.reshape(n, BUCKETS).astype(np.float32), some
+
+
+def _long(a: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long text, piece by piece; pieces overlap by what a trigram needs."""
+    tf, some = np.zeros((1, BUCKETS), np.float32), np.zeros(1, bool)
+    for at in range(0, len(a), GROUP_POINTS):
+        piece = a[at : at + GROUP_POINTS + 2]
+        t, s = _counted(piece, np.zeros(len(piece), np.int32), 1, known, GROUP_POINTS)
+        tf, some = tf + t, some | s
+    return tf, some
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -344,7 +344,10 @@ def windows(text: str) -> list[int]:
 def decoded_spans(texts: list[str], net: Network, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """The plausible spans that the network reads in each text."""
     jobs = [(i, at) for i, t in enumerate(texts) for at in windows(t)]
-    tag: dict[int, dict[int, tuple[int, int]]] = {}
+    # for each text with windows: how deep the deepest window has each character, and its tag there
+    depth = {i: np.full(len(texts[i]), -1, np.int16) for i in {i for i, _ in jobs}}
+    tag = {i: np.zeros(len(texts[i]), np.int8) for i in depth}
+    places = np.arange(WINDOW, dtype=np.int16)
     for lo in range(0, len(jobs), batch):
         mine = jobs[lo : lo + batch]
         ids = np.zeros((len(mine), WINDOW), np.int64)
@@ -352,18 +355,19 @@ def decoded_spans(texts: list[str], net: Network, batch: int = 512) -> list[list
             e = encode(texts[i][at : at + WINDOW])
             ids[r, : len(e)] = e
         for (i, at), row in zip(mine, net.decode(ids), strict=True):
-            seen = tag.setdefault(i, {})
             n = min(WINDOW, len(texts[i]) - at)
-            for k in range(n):
-                deep = min(k if at else WINDOW, n - 1 - k if at + n < len(texts[i]) else WINDOW)
-                if deep > seen.get(at + k, (-1, 0))[0]:
-                    seen[at + k] = (deep, int(row[k]))
+            left = places[:n] if at else np.full(n, WINDOW, np.int16)
+            right = n - 1 - places[:n] if at + n < len(texts[i]) else np.full(n, WINDOW, np.int16)
+            deep = np.minimum(left, right)
+            better = deep > depth[i][at : at + n]
+            depth[i][at : at + n][better] = deep[better]
+            tag[i][at : at + n][better] = row[:n][better]
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, seen in tag.items():
+    for i, tags in tag.items():
         start = kind = None
         last = -2
-        for at in [*sorted(seen), len(texts[i]) + 2]:
-            t = seen[at][1] if at in seen else 0
+        for at in [*np.flatnonzero(tags).tolist(), len(texts[i]) + 2]:
+            t = int(tags[at]) if at < len(tags) else 0
             goes_on = start is not None and at == last + 1 and t == 2 + 2 * kind
             if start is not None and not goes_on:
                 if plausible(KINDS[kind], texts[i][start : last + 1]):

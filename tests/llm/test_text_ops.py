@@ -59,6 +59,14 @@ def test_language_rejects_what_is_none(spark, documents):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in documents.select("doc_id").collect()}
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "Ein langer Text über alles, " * 900 + "x"
+    whole = next(language.counts([text]))
+    monkeypatch.setattr(language, "GROUP_POINTS", 97)
+    parts = next(language.counts([text]))
+    assert (whole[1] == parts[1]).all() and parts[2].all()
+
+
 def test_language_without_labels(spark, docs_of):
     model = language.fit(docs_of([(1, "a text", None, "s", 1)]))
     got = language.classify(docs_of([(1, "a text", None, "s", 1)]), model).first()["language"]
