@@ -187,3 +187,15 @@ def brute(rows: list[tuple[int, list | None, int | None]], least: float = LEAST_
             links[mine[i][0]] += 1
             f.join(mine[i][0], mine[j][0])
     return {k: (links[k], f.find(k), f.find(k) == k) for k, _, _ in units}
+
+
+SQL6 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id WHERE r.root < l.b),
+c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.root AS component_id, v.vec_id = c.root AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op10_suffixes": suffixes.SQL10,
+    "op6_near_vectors": near_vectors.SQL6,
+    "op7_near_text": near_text.SQL7,
     "op8_licenses": licenses.SQL8,
     "op9_decontaminate": decontaminate.SQL9,
 }

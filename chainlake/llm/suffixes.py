@@ -403,3 +403,18 @@ def brute(docs: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int,
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         out[k] = (len(t), int(gone.sum()), len(_runs(gone)) // 2, hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL10 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+g AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+m AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w SEMI JOIN g USING (k)),
+b AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM m),
+x AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM b GROUP BY r, run),
+y AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS before FROM x),
+z AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head, max(e) AS last, sum(e - s) AS removed, count(*) AS spans FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN z.r IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""
