@@ -72,9 +72,14 @@ def share_below(wanted: int, rows: int) -> int:
     return _HASHES if rows <= wanted else max(1, _HASHES * wanted // rows)
 
 
+def place(h: Column) -> Column:
+    """What `below` holds against a bound."""
+    return F.pmod(h, F.lit(_HASHES))
+
+
 def below(h: Column, bound: Column) -> Column:
     """Whether a hash falls under a bound: a sample that doesn't depend on order or partitioning."""
-    return F.pmod(h, F.lit(_HASHES)) < bound
+    return place(h) < bound
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, below, crc_mod, fresh, read_table, share_below, tune, with_columns, written
+from .common import arrow_schema, below, crc_mod, discard, fresh, place, read_table, share_below, tune, with_columns, written
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -136,8 +136,9 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int = PER_LABEL, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows of docs whose text and label aren't null.
 
-    The centroids come from about per_label texts a label (chosen by text hash, all of a smaller
-    label), and at most MAX_LABELS labels, the most frequent; the document frequencies from all rows.
+    The centroids come from about per_label distinct texts with a letter a label (chosen by text hash,
+    all of a smaller label, one at least), and at most MAX_LABELS labels, the most frequent; the
+    document frequencies from all rows.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
@@ -145,21 +146,32 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for _, tf, _ in counts(b.column(0).to_pylist()):
+            ok = []
+            for start, tf, some in counts(b.column(0).to_pylist()):
                 df += (tf > 0).sum(0)
                 n += len(tf)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[n], df]))], names=["bucket", "df"])
-
+                ok.append(start + np.flatnonzero(some))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *ok]))
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, b.column(1).take(at), b.column(2).take(at)], names=["bucket", "df", "label", "h"])
+        none = pa.nulls(BUCKETS + 1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[n], df])), none.cast(pa.string()), none], names=["bucket", "df", "label", "h"])
+
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    seen = written(hashed.select("text", "label", "h").mapInArrow(frequencies, "bucket long, df long, label string, h long"), "frequencies")
     df = np.zeros(BUCKETS + 1)
-    for r in rows.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+    for r in seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"] + 1] = r["df"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    often = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    distinct = seen.where("label IS NOT NULL").groupBy("label", "h").agg(F.count(F.lit(1)).alias("n"))
+    often = distinct.groupBy("label").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("texts"), F.min(place(F.col("h"))).alias("least")).orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    discard(seen)
     each = min(per_label, max(1, 20_000 // max(1, len(often))))
-    # a label's share of hash values passes, so that about `each` texts do: no ranking, and equal texts pass together
-    shares = docs.sparkSession.createDataFrame([(r["label"], share_below(each, r["count"])) for r in often], "label string, below long")
-    hashed = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "label").where(below(F.col("h"), F.col("below")))
+    # a label's share of hash values passes, so that about `each` distinct texts do, whatever their copies, and the smallest
+    # hash always does: no ranking, and equal texts pass together
+    shares = docs.sparkSession.createDataFrame([(r["label"], max(share_below(each, r["texts"]), r["least"] + 1)) for r in often], "label string, below long")
+    hashed = hashed.join(F.broadcast(shares), "label").where(below(F.col("h"), F.col("below")))
     picked = hashed.groupBy("label", "h").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

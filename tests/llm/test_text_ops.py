@@ -73,6 +73,17 @@ def test_language_without_labels(spark, docs_of):
     assert got["pred"] == "und" and got["score"] == 0
 
 
+def test_every_label_is_learned_whatever_its_copies(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    rows = [("une phrase qui revient toujours", "fr")] * 30_000 + [("ein satz der immer wieder da steht", "de")] * 30_000
+    rows += [(f"noch ein satz über {word()} und {word()}", "de") for _ in range(40)] + [("12 34", "de")]
+    rows += [(f"the weather {word()} {word()}", "en") for _ in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), per_label=20)
+    assert set(model.labels) == {"de", "en", "fr"}
+    assert model.labels.count("de") == model.labels.count("en") == language.CENTROIDS
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
