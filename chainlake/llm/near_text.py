@@ -2,7 +2,7 @@
 
 Texts with the same set of 5-word shingles are one class. A class has H min-hashes; each
 (coordinate, value) pair is a token, and two classes can only be linked if they share at least M of
-their H tokens (at the least similarity linked, 0.85, sharing fewer has a chance of 1e-5).
+their H tokens (at the least similarity linked, sharing fewer has a chance of 1e-5 at most).
 
 Prefix: tokens are ordered by how many classes have them; two classes that share M tokens share one
 of the H - M + 1 rarest of either. So only that prefix is posted, and tokens that one class alone has
@@ -18,6 +18,7 @@ blocks again, skipping pairs that are already connected, which leaves the compon
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from .common import discard, fresh, lookup, read_table, space_words, tune, utf8,
 from .graph import Forest, components, sorted_groups
 
 WORDS = 5
-HASHES, LEAST_SHARED = 64, 40
-#: Linked if PERCENT of the union is shared at least.
-PERCENT = 85
+HASHES = 64
+#: Linked if so many percent of the union are shared at least, and so many min-hashes collide: op7's, and the pipeline stage's.
+PERCENT, LEAST_SHARED = 85, 40
+STAGE_PERCENT, STAGE_LEAST_SHARED = 80, 35
 #: Members and bytes of a block of a posting list or candidate group.
 BLOCK, BLOCK_BYTES = 1000, 32 << 20
 REMEMBERED = 150_000
@@ -108,7 +110,7 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _list_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, x, y, cls, n_shingles, tokens, mine): pairs that share enough, as a forest of each list."""
     out: list[tuple[bytes, bytes]] = []
     for (_, x, y), t in sorted_groups(batches, 3):
@@ -116,12 +118,12 @@ def _list_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sig = t["n_shingles"].to_numpy(), np.concatenate([c.flatten().to_numpy() for c in t["tokens"].chunks]).reshape(len(names), -1)
         f = Forest()
         for i in range(1, len(names)):
-            fits = np.minimum(n[:i], n[i]) * 100 >= PERCENT * np.maximum(n[:i], n[i])
+            fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
                 fits &= own[:i] != own[i]
             js = np.flatnonzero(fits)
             if len(js):
-                js = js[(sig[js] == sig[i]).sum(1) >= LEAST_SHARED]
+                js = js[(sig[js] == sig[i]).sum(1) >= least_shared]
             for j in js:
                 if f.join(int(j), i):
                     out.append((names[j], names[i]))
@@ -131,7 +133,7 @@ def _list_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(out)
 
 
-def _group_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
     """Rows (root, x, y, cls, n_shingles, shingles, tokens, mine): exact links, as a forest of each group."""
     out: list[tuple[bytes, bytes]] = []
     for (_, x, y), t in sorted_groups(batches, 3):
@@ -143,12 +145,12 @@ def _group_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         dense = np.split(at, ends[:-1])
         mark, f = np.zeros(len(distinct), np.int32), Forest()
         for i in range(1, len(names)):
-            fits = np.minimum(n[:i], n[i]) * 100 >= PERCENT * np.maximum(n[:i], n[i])
+            fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
                 fits &= own[:i] != own[i]
             js = np.flatnonzero(fits)
             if len(js):
-                js = js[(sig[js] == sig[i]).sum(1) >= LEAST_SHARED]
+                js = js[(sig[js] == sig[i]).sum(1) >= least_shared]
             if not len(js):
                 continue
             mark[dense[i]] = 1
@@ -156,7 +158,7 @@ def _group_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if f.find(int(j)) == f.find(i):
                     continue
                 both = int(mark[dense[j]].sum())
-                if both * 100 >= PERCENT * int(n[i] + n[j] - both):
+                if both * 100 >= percent * int(n[i] + n[j] - both):
                     f.join(int(j), i)
                     out.append((names[j], names[i]))
             mark[dense[i]] = 0
@@ -166,9 +168,12 @@ def _group_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _edges(out)
 
 
-def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(doc_id, text_md5, n_shingles, cls, component_id) for every row of docs.
 
+    Texts are linked that share percent of the union of their shingles at least; least_shared of their
+    HASHES min-hashes must collide, which has to be few enough for that similarity.
+
     component_id is the smallest doc_id reachable over links, the row's own if it has none. Null and
     empty texts have no shingles, cls null, and are linked with nothing. Equal texts are linked. Null
     ids are linked too but never name a component unless all its ids are null. Only the text and id
@@ -187,11 +192,11 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = posted.join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
     # tokens of one class alone are the rarest: they fill the prefix first
-    room = F.greatest(F.lit(HASHES - LEAST_SHARED + 1 - HASHES) + F.size("own"), F.lit(0))
+    room = F.greatest(F.lit(HASHES - least_shared + 1 - HASHES) + F.size("own"), F.lit(0))
     prefix = own.select("cls", F.explode(F.slice("own", F.lit(1), room)).alias("t")).select("cls", "t.token")
     postings = written(prefix.join(classes.select("cls", "n_shingles", "tokens"), "cls"), "postings")
     lists = in_blocks(postings, "token", parts).select("token", "x", "y", "cls", "n_shingles", "tokens", "mine")
-    near = lists.mapInArrow(_list_forest, "a binary, b binary")
+    near = lists.mapInArrow(partial(_list_forest, percent=percent, least_shared=least_shared), "a binary, b binary")
     groups = written(components(near), "groups")
     discard(postings)
 
@@ -211,7 +216,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     sets = texts.mapInArrow(whole, "root binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
     sets = written(sets, "sets")
     exact = in_blocks(sets.dropDuplicates(["cls"]), "root", parts, "bytes").select("root", "x", "y", "cls", "n_shingles", "shingles", "tokens", "mine")
-    links = written(exact.mapInArrow(_group_forest, "a binary, b binary"), "links")
+    links = written(exact.mapInArrow(partial(_group_forest, percent=percent, least_shared=least_shared), "a binary, b binary"), "links")
     discard(sets)
     linked = components(links)
 
@@ -224,7 +229,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    found = group(read_table(spark, sf_dir, "documents"))
+    found = group(read_table(spark, sf_dir, "documents"), percent=PERCENT, least_shared=LEAST_SHARED)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
@@ -232,10 +237,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one whose id names it. Rows repeated as a whole stay once.
 
+    Groups are linked from STAGE_PERCENT on.
     Rows with null ids are kept unless their group has a row with an id; of several such rows with
     equal texts one stays.
     """
-    found = group(docs)
+    found = group(docs, percent=STAGE_PERCENT, least_shared=STAGE_LEAST_SHARED)
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     again = found.groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     verdict = gone.select("doc_id", "text_md5").distinct().withColumn("verdict", F.lit("gone"))
@@ -252,7 +258,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(repeated)
 
 
-def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, bool]]:
+def brute(docs: list[tuple[int, str | None]], percent: int = PERCENT) -> dict[int, tuple[int, int, bool]]:
     """The same result by comparing the word shingles of all pairs."""
     sets = {}
     for key, text in docs:
@@ -263,7 +269,7 @@ def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, bool]
     for i, a in enumerate(keys):
         for b in keys[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= PERCENT * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 f.join(a, b)
     return {k: (len(s), f.find(k), f.find(k) == k) for k, s in sets.items()}
 

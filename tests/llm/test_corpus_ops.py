@@ -159,6 +159,23 @@ def test_dedup_stage_keeps_one_of_each(spark, docs_of):
     assert ids == [(False, k) for k in (1, 2, 3, 4, 5, 6, 8, 9, 20)] + [(True, 0), (True, 0)]
 
 
+def test_dedup_stage_against_brute_force(spark, docs_of):
+    rng = np.random.default_rng(17)
+    texts = []
+    for change in (2, 5, 6, 7, 8, 12):  # a pair of texts of 300 words with so many changed is 0.68 to 0.97 alike
+        base = [f"v{k}" for k in rng.integers(0, 10_000, 300)]
+        for _ in range(6):
+            other = list(base)
+            for at in rng.choice(300, change, replace=False):
+                other[at] = f"x{rng.integers(0, 10**9)}"
+            texts += [" ".join(base), " ".join(other)]
+            base = [f"v{k}" for k in rng.integers(0, 10_000, 300)]
+    rows = list(enumerate(texts, 1))
+    want = {k for k, v in near_text.brute(rows, 80).items() if v[2]}
+    assert len(want) < sum(v[2] for v in near_text.brute(rows).values())  # some pairs lie between 0.8 and 0.85
+    assert {r["doc_id"] for r in near_text.stage(spark, docs_of(rows), "").collect()} == want
+
+
 def vectors_of(df):
     return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in df.collect()}
 
