@@ -25,9 +25,10 @@ from .common import alnum_words, arrow_schema, below, crc_mod, read_table, share
 
 BUCKETS, FACTORS = 1 << 24, 8
 PER_CLASS = 6000
-#: A bucket is learned if so many sampled texts have it and either their classes differ from the
-#: sample's by so much (chi squared), or it is in this share of the sample, where chance evens out.
-LEAST_TEXTS, LEAST_CHI2, COMMON = 5, 15.0, 0.3
+#: A bucket is learned if so many sampled texts have it. It takes whole steps if their classes differ
+#: from the sample's by so much (chi squared), or it is in this share of the sample, where chance evens
+#: out; below, steps shrink with the square of what is there of either, down to a least part.
+LEAST_TEXTS, FULL_CHI2, COMMON, LEAST_PART = 5, 15.0, 0.3, 0.02
 EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.5, 1e-3
 #: Words whose bucket a worker remembers.
 REMEMBERED = 150_000
@@ -83,7 +84,7 @@ class Model:
 def train(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7) -> Model:
     """Gradient steps on log-loss with weight decay; share: of label 1 among all labelled rows, to set the intercept right.
 
-    Steps are scaled alike for all buckets: a rare word moves little, so no text is learned by heart.
+    Steps are scaled by the evidence for a bucket: a rare word moves little, so no text is learned by heart.
     """
     rng = np.random.default_rng(seed)
     there = min(max(share, 1e-6), 1 - 1e-6)
@@ -91,7 +92,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int =
     toxic = np.bincount(np.searchsorted(buckets, np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, labels, strict=True) if y)])), minlength=len(buckets))
     p = labels.mean() if len(labels) else 0.0
     chi2 = (toxic - texts * p) ** 2 / np.maximum(texts * p * (1 - p), 1e-9)
-    buckets = buckets[(texts >= LEAST_TEXTS) & ((chi2 >= LEAST_CHI2) | (texts >= COMMON * len(rows)))]
+    keep = texts >= LEAST_TEXTS
+    part = np.clip(np.maximum(chi2 / FULL_CHI2, texts / max(COMMON * len(rows), 1e-9)), LEAST_PART, 1)[keep] ** 2
+    buckets = buckets[keep]
     n = len(buckets)
     if not n or len(set(labels.tolist())) < 2:
         return Model(float(np.log(there / (1 - there))), buckets[:0], np.zeros(0), np.zeros((0, FACTORS)))
@@ -117,8 +120,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int =
             by = np.argsort(at, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(at[by]) > 0]))
             used = at[by][cut]
-            w[used] -= rate * np.clip(np.add.reduceat(each[by], cut), -1, 1)
-            v[used] -= rate * np.clip(np.add.reduceat((each[:, None] * (np.repeat(s, sizes, axis=0) - x))[by], cut), -0.1, 0.1)
+            w[used] -= part[used] * rate * np.clip(np.add.reduceat(each[by], cut), -1, 1)
+            v[used] -= part[used, None] * rate * np.clip(np.add.reduceat((each[:, None] * (np.repeat(s, sizes, axis=0) - x))[by], cut), -0.1, 0.1)
             w *= 1 - SHRINK
             v *= 1 - SHRINK
             bias -= 0.1 * rate * float(np.clip(g.sum(), -1, 1))

@@ -101,6 +101,25 @@ def test_machine_learns_pairs():
     assert np.mean((model.raw(rows[1000:]) >= 0) == labels[1000:]) > 0.95
 
 
+def test_rare_words_and_balanced_pairs_are_learned():
+    """Insults of ten texts each, and two words that only tell in pairs, each in a fifth of the texts."""
+    rng = np.random.default_rng(2)
+    rows = [toxicity.features(" ".join([*(f"w{k}" for k in rng.integers(0, 3000, 10)), *[f"slur{rng.integers(0, 300)}"] * (i % 2)]).encode()) for i in range(6000)]
+    labels = np.arange(6000) % 2.0
+    model = toxicity.train(rows[:4800], labels[:4800], 0.5)
+    assert np.mean((model.raw(rows[4800:]) >= 0) == labels[4800:]) > 0.7
+    rows, labels = [], []
+    for i in range(4000):
+        k = i % 10
+        words = [f"w{j}" for j in rng.integers(0, 200, 12)] + ["insult"] * (k in (0, 1)) + ["group"] * (k in (1, 2))
+        rows.append(toxicity.features(" ".join(words).encode()))
+        labels.append(float(k in (0, 2) if k < 3 else i // 10 % 2))
+    labels, told = np.array(labels), np.arange(4000) % 10 < 3
+    model = toxicity.train(rows[:3000], labels[:3000], labels.mean())
+    right = (model.raw(rows[3000:]) >= 0) == labels[3000:]
+    assert np.mean(right[told[3000:]]) > 0.8
+
+
 def test_toxicity_columns(spark, sf_dir):
     got = QUERIES["op2_toxicity"](spark, sf_dir).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
