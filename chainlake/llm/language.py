@@ -4,7 +4,7 @@ A text becomes a vector of hashed character bigrams and trigrams, weighted by TF
 length 1. Each language has several centroids, found by spherical k-means on a bounded sample of its
 labelled rows (`per_label`, a parameter); the language of the nearest centroid by cosine is the
 prediction. Document frequencies cover all labelled rows, and so do the distances that set each
-language's rejection cutoff. The model is a few fixed-size arrays, whatever the corpus.
+language's rejection cutoff. The model is a few fixed-size arrays a language, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, below, crc_mod, discard, fresh, place, read_table, share_below, tune, with_columns, written
+from .common import arrow_schema, below, crc_mod, discard, fresh, place, read_table, share_below, shuffle_parts, tune, with_columns, written
+from .graph import sorted_groups
 
 BUCKETS = 8192
 CENTROIDS = 4
 PER_LABEL = 400
-MAX_LABELS = 2000
 #: A text is rejected if its log-cosine lies so many deviations under its language's mean, and its
 #: cosine isn't so many times what its grams would have if dealt to buckets at random.
 REJECT_AT, ABOVE_CHANCE = 4.0, 3.0
@@ -137,8 +137,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
     """Learns from the rows of docs whose text and label aren't null.
 
     The centroids come from about per_label distinct texts with a letter a label (chosen by text hash,
-    all of a smaller label, one at least), and at most MAX_LABELS labels, the most frequent; the
-    document frequencies from all rows.
+    all of a smaller label, one at least), the document frequencies from all rows. Every label is
+    learned, each in a task of its own; the model takes 32 KB a centroid.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
@@ -164,13 +164,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
         df[r["bucket"] + 1] = r["df"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    distinct = seen.where("label IS NOT NULL").groupBy("label", "h").agg(F.count(F.lit(1)).alias("n"))
-    often = distinct.groupBy("label").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("texts"), F.min(place(F.col("h"))).alias("least")).orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    distinct = seen.where("label IS NOT NULL").select("label", "h").distinct()
+    each = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.min(place(F.col("h"))).alias("least")).collect()
     discard(seen)
-    each = min(per_label, max(1, 20_000 // max(1, len(often))))
-    # a label's share of hash values passes, so that about `each` distinct texts do, whatever their copies, and the smallest
+    # a label's share of hash values passes, so that about per_label distinct texts do, whatever their copies, and the smallest
     # hash always does: no ranking, and equal texts pass together
-    shares = docs.sparkSession.createDataFrame([(r["label"], max(share_below(each, r["texts"]), r["least"] + 1)) for r in often], "label string, below long")
+    shares = docs.sparkSession.createDataFrame([(r["label"], max(share_below(per_label, r["texts"]), r["least"] + 1)) for r in each], "label string, below long")
     hashed = hashed.join(F.broadcast(shares), "label").where(below(F.col("h"), F.col("below")))
     picked = hashed.groupBy("label", "h").agg(F.min("text").alias("text"))
 
@@ -180,22 +179,26 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
                 ok = np.flatnonzero(some)
                 at = [np.flatnonzero(tf[i]).astype(np.int32) for i in ok]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1).take(pa.array(start + ok)), pa.array(at, pa.list_(pa.int32())), pa.array([tf[i][j] for i, j in zip(ok, at, strict=True)], pa.list_(pa.float32()))],
-                    names=["label", "at", "tf"],
+                    [*(b.column(k).take(pa.array(start + ok)) for k in (1, 2)), pa.array(at, pa.list_(pa.int32())), pa.array([tf[i][j] for i, j in zip(ok, at, strict=True)], pa.list_(pa.float32()))],
+                    names=["label", "h", "at", "tf"],
                 )
 
-    found: dict[str, list[np.ndarray]] = {}
-    got = picked.orderBy("label", "h").select("text", "label").mapInArrow(sparse, "label string, at array<int>, tf array<float>").toPandas()
-    for name, at, tf in zip(got["label"], got["at"], got["tf"], strict=True):
-        x = np.zeros(BUCKETS, np.float32)
-        x[at] = tf
-        found.setdefault(name, []).append(x)
-    names, parts = [], []
-    for name in sorted(found):
-        c = cluster(vectors(np.array(found[name]), idf), centroids)
-        names += [name] * len(c)
-        parts.append(c)
-    return Model(names, np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, BUCKETS), np.float32), idf)
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,), t in sorted_groups(batches, 1):
+            x = np.zeros((t.num_rows, BUCKETS), np.float32)
+            start = 0
+            for b in t.to_batches():
+                row = start + np.repeat(np.arange(b.num_rows), b["at"].value_lengths().to_numpy())
+                x[row, b["at"].flatten().to_numpy()] = b["tf"].flatten().to_numpy()
+                start += b.num_rows
+            c = cluster(vectors(x, idf), centroids).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(c)), pa.array(range(len(c)), pa.int32()), pa.array([y.tobytes() for y in c], pa.binary())], names=["label", "nth", "centroid"])
+
+    sampled = picked.select("text", "label", "h").mapInArrow(sparse, "label string, h long, at array<int>, tf array<float>")
+    sampled = sampled.repartition(shuffle_parts(docs.sparkSession), "label").sortWithinPartitions("label", "h")
+    got = sorted(sampled.mapInArrow(learned, "label string, nth int, centroid binary").collect(), key=lambda r: (r["label"], r["nth"]))
+    names, parts = [r["label"] for r in got], [np.frombuffer(r["centroid"], np.float32) for r in got]
+    return Model(names, np.array(parts) if parts else np.zeros((0, BUCKETS), np.float32), idf)
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
@@ -216,7 +219,10 @@ def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
         m = shared.value
         names = sorted(set(m.labels))
         mean = m.centroids.mean(1) if names else None
-        own = [np.flatnonzero([x == n for x in m.labels]) for n in names]
+        places: dict[str, list[int]] = {}
+        for i, n in enumerate(m.labels):
+            places.setdefault(n, []).append(i)
+        own = [np.array(places[n]) for n in names]
         for b in batches:
             rows = []
             for _, tf, some in counts(b.column(text).to_pylist()):

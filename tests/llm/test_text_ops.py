@@ -84,6 +84,12 @@ def test_every_label_is_learned_whatever_its_copies(spark):
     assert model.labels.count("de") == model.labels.count("en") == language.CENTROIDS
 
 
+def test_every_label_is_learned_however_many(spark):
+    names = [f"l{i}" for i in range(2010)]
+    model = language.fit(spark.createDataFrame([(f"text of {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", n) for i, n in enumerate(names)], "text string, lang string"))
+    assert model.labels == sorted(names)
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
