@@ -1,7 +1,9 @@
-"""All queries and SQL of the engine itself."""
+"""All registered queries of the chain operators, and their SQL."""
 
 from __future__ import annotations
 
+from .plans import storequeries
 from .plans.queries import ORACLE, QUERIES
 
+assert storequeries.QUERY_MODULE
 __all__ = ["ORACLE", "QUERIES"]

@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import queue
 import threading
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import Backpressure, ColdError, MissingField, NotEmpty, TaskTerminated
 from .functions import u256
 from .operators import asof, history, ingest, reads, reorg
-from .operators.filters import LogFilter, block_range
-from .schema import COLD, TABLES
+from .operators.filters import LogFilter
+from .schema import TABLES
 from .sources import genesis
+from .sources.cache import LookupCache
 from .sources.config import EngineConfig
 from .sources.store import Snapshot, Store, Writer
+from .sources.tier import HistoryTier, TierView
+from .streaming.logs import MAX_DEADLINE, SPAN, stream_logs
 
+#: Log streams that may run at a time; further ones wait.
+MAX_STREAMS = 8
 ACCOUNT, SLOT = ["address"], ["address", "slot"]
 ACCOUNT_VALUES, SLOT_VALUES = ["nonce", "balance", "bytecode_hash"], ["value"]
+#: By state table its changes and its history index.
+CHANGES = {"account_state": ("account_changes", "account_history"), "slot_state": ("slot_changes", "slot_history")}
 _DEFAULTS: Callable[[], dict[str, Column]] = lambda: {"nonce": F.lit(0).cast("long"), "balance": u256.lit(0), "bytecode_hash": F.lit(None).cast("binary"), "value": u256.lit(0)}
 
 
@@ -32,15 +39,15 @@ def empty_slot() -> Column:
 
 
 class StateFeed:
-    """What a run of blocks changed: accounts, storage, wiped accounts and new codes.
+    """What a run of blocks changed: accounts, slots, wiped accounts and new codes.
 
-    accounts: block_number, address, nonce, balance, bytecode_hash, deleted; storage: block_number,
+    accounts: block_number, address, nonce, balance, bytecode_hash, deleted; slots: block_number,
     address, slot, value; wiped: block_number, address; codes: code_hash, code. Each may be missing.
     """
 
     SCHEMAS = {
         "accounts": "block_number BIGINT, address BINARY, nonce BIGINT, balance BINARY, bytecode_hash BINARY, deleted BOOLEAN",
-        "storage": "block_number BIGINT, address BINARY, slot BINARY, value BINARY",
+        "slots": "block_number BIGINT, address BINARY, slot BINARY, value BINARY",
         "wiped": "block_number BIGINT, address BINARY",
         "codes": "code_hash BINARY, code BINARY",
     }
@@ -54,35 +61,29 @@ class StateFeed:
 
 
 def append_state(w: Writer, headers: DataFrame, feed: StateFeed) -> tuple[int, int]:
-    """Stages blocks that extend the tip: headers, pre-images (from the version before), state, history."""
-    first, last = ingest.validate_extension(w.read("headers"), headers)
-    accounts, storage = w.read("account_state"), w.read("storage_state")
-    account_changes = ingest.preimages(feed.accounts, accounts, ACCOUNT, ACCOUNT_VALUES, _DEFAULTS())
-    changes = ingest.preimages(feed.storage, storage, SLOT, SLOT_VALUES, _DEFAULTS())
-    wiped = ingest.wipe_preimages(storage, feed.wiped).select("block_number", *SLOT, F.lit(True).alias("existed"), "pre_value")
-    # a slot that is wiped in a block and written in it or later takes its pre-image from before the wipe
-    touched = wiped.join(feed.storage.select("block_number", *SLOT), ["block_number", *SLOT], "left_anti")
-    new_accounts, new_storage = ingest.apply_accounts(accounts, feed.accounts), ingest.apply_storage(storage, feed.storage, feed.wiped)
+    """Stages blocks that extend the tip: headers, pre-images, state, history. Only buckets of touched keys are rewritten."""
+    first, last = ingest.validate_extension(w.tail("headers"), headers)
+    accounts = w.stage(ingest.account_events(feed.accounts))
+    slots = w.stage(ingest.slot_events(w.of_keys("slot_state", feed.wiped.select("address")), feed.slots, feed.wiped))
     w.append("headers", headers)
-    w.append("account_changes", account_changes)
-    w.append("storage_changes", changes.unionByName(touched))
-    w.replace("account_state", new_accounts)
-    w.replace("storage_state", new_storage)
+    for events, state, keys, values in ((accounts, "account_state", ACCOUNT, ACCOUNT_VALUES), (slots, "slot_state", SLOT, SLOT_VALUES)):
+        changed, index = CHANGES[state]
+        w.append(changed, ingest.changes(events, w.of_keys(state, events.select(*keys)), keys, values, _DEFAULTS()))
+        w.rewrite(state, events.select(*keys), lambda _, e=events, k=keys, v=values: ingest.state_after(e, k, v))
+        new = w.read(changed, first, last)
+        w.rewrite(index, new.select(*keys), lambda old, n=new, k=keys: history.append(old, n, k, first, last))
     w.upsert("bytecodes", feed.codes.dropDuplicates(["code_hash"]))
-    for table, source, keys in (("account_history", "account_changes", ACCOUNT), ("storage_history", "storage_changes", SLOT)):
-        w.replace(table, history.append(w.read(table), w.read(source), keys, first, last))
     return first, last
 
 
 def unwind_state(w: Writer, above: int) -> None:
     """Stages the state as of block above: restored values, trimmed history, no later changes or headers. Codes stay."""
-    accounts = reorg.unwind(w.read("account_state"), w.read("account_changes"), ACCOUNT, ACCOUNT_VALUES, above, empty_account())
-    storage = reorg.unwind(w.read("storage_state"), w.read("storage_changes"), SLOT, SLOT_VALUES, above, empty_slot())
-    w.replace("account_state", accounts)
-    w.replace("storage_state", storage)
-    for table, keys in (("account_history", ACCOUNT), ("storage_history", SLOT)):
-        w.replace(table, history.trim(w.read(table), keys, above))
-    for table in ("headers", "account_changes", "storage_changes"):
+    for state, keys, values, is_empty in (("account_state", ACCOUNT, ACCOUNT_VALUES, empty_account()), ("slot_state", SLOT, SLOT_VALUES, empty_slot())):
+        changed, index = CHANGES[state]
+        back = w.stage(reorg.undone(w.read(changed, above + 1), keys, values, above))
+        w.rewrite(state, back.select(*keys), lambda _, b=back, e=is_empty: b.where(~F.coalesce(e, F.lit(True))))
+        w.rewrite(index, back.select(*keys), lambda old, k=keys: history.trim(old, k, above))
+    for table in ("headers", "account_changes", "slot_changes"):
         w.truncate(table, above)
 
 
@@ -99,8 +100,8 @@ class StateView:
         return asof.state_at(self.snapshot["account_state"], self.snapshot["account_changes"], ACCOUNT, ACCOUNT_VALUES, self.height)
 
     @property
-    def storage(self) -> DataFrame:
-        return asof.state_at(self.snapshot["storage_state"], self.snapshot["storage_changes"], SLOT, SLOT_VALUES, self.height)
+    def slots(self) -> DataFrame:
+        return asof.state_at(self.snapshot["slot_state"], self.snapshot["slot_changes"], SLOT, SLOT_VALUES, self.height)
 
     def with_code(self) -> DataFrame:
         """Accounts with their code, empty where they have none."""
@@ -108,7 +109,7 @@ class StateView:
 
     def values(self, wanted: DataFrame) -> DataFrame:
         """wanted (address, slot) with value, zero where there is none."""
-        found = wanted.join(self.storage, SLOT, "left")
+        found = wanted.join(self.slots, SLOT, "left")
         return found.withColumn("value", F.coalesce("value", u256.lit(0)))
 
     def block_hashes(self, wanted: DataFrame) -> DataFrame:
@@ -118,27 +119,39 @@ class StateView:
 
 
 class Dispatcher:
-    """One background worker with a bounded queue: a full queue or a stopped worker is an error at once."""
+    """One background worker with a bounded queue: a full queue or a stopped worker is an error at once.
 
-    def __init__(self, size: int = 256) -> None:
+    cancel, an event that others may set too, stops it before its next job; jobs still queued are dropped.
+    """
+
+    def __init__(self, size: int = 256, cancel: threading.Event | None = None) -> None:
         self.jobs: queue.Queue = queue.Queue(size)
         self.failures: list[Exception] = []
+        self.cancel = cancel or threading.Event()
         self.stopped = False
         self.thread = threading.Thread(target=self._run, daemon=True)
         self.thread.start()
 
     def _run(self) -> None:
-        while (job := self.jobs.get()) is not None:
+        while True:
+            try:
+                job = self.jobs.get(timeout=0.2)
+            except queue.Empty:
+                if self.cancel.is_set():
+                    return
+                continue
             try:
-                job()
+                if job is None:
+                    return
+                if not self.cancel.is_set():
+                    job()
             except Exception as e:
                 self.failures.append(e)
             finally:
                 self.jobs.task_done()
-        self.jobs.task_done()
 
     def send(self, job: Callable[[], None]) -> None:
-        if self.stopped:
+        if self.stopped or self.cancel.is_set():
             raise TaskTerminated("the dispatcher has stopped")
         try:
             self.jobs.put_nowait(job)
@@ -149,36 +162,54 @@ class Dispatcher:
         self.jobs.join()
 
     def stop(self) -> None:
+        """Ends the worker behind the jobs it has."""
         if not self.stopped:
             self.stopped = True
-            self.jobs.put(None)
+            if not self.cancel.is_set():
+                self.jobs.put(None)
             self.thread.join()
 
 
 class Engine:
-    """State store and history store. The state store is authoritative; history follows it and may lag."""
+    """State store and history tier. The state store is authoritative; history follows it and may lag.
+
+    With verify_hashes, blocks whose stored hash isn't that of their header's fields are refused by the
+    history tier.
+    """
 
-    def __init__(self, spark: SparkSession, hot: Store, cold: Store) -> None:
+    def __init__(self, spark: SparkSession, hot: Store, cold: HistoryTier, cancel: threading.Event | None = None, verify_hashes: bool = False) -> None:
         self.spark, self.hot, self.cold = spark, hot, cold
-        self.dispatcher = Dispatcher()
+        self.verify_hashes = verify_hashes
+        self.dispatcher = Dispatcher(cancel=cancel)
+        self.cache = LookupCache()
+        self.streams = threading.BoundedSemaphore(MAX_STREAMS)
 
     @classmethod
-    def open(cls, spark: SparkSession, config: EngineConfig) -> Engine:
-        return cls(spark, config.connect_hot(spark), config.connect_cold(spark))
+    def open(cls, spark: SparkSession, config: EngineConfig, cancel: threading.Event | None = None) -> Engine:
+        return cls(spark, config.connect_hot(spark), config.connect_cold(spark), cancel)
+
+    def into_hot(self) -> Store:
+        """Ends the engine and hands over its state store."""
+        self.close()
+        return self.hot
 
     # -- writing --------------------------------------------------------------------------
 
-    def load_genesis(self, header: DataFrame, document: DataFrame) -> None:
-        """Into an empty store only. Accounts get history entries at the header's block, but no change rows."""
+    def load_genesis(self, document: DataFrame, header: DataFrame | None = None, forks: tuple[str, ...] = ()) -> None:
+        """Into an empty store only. Accounts get history entries at the header's block, but no change rows.
+
+        Without a header it is made from the document, with the fields that the forks have.
+        """
         with self.hot.writer() as w:
             if w.manifest["headers"]:
                 raise NotEmpty("the store has blocks")
+            header = w.stage(genesis.header(document, forks) if header is None else header)
             n = header.first()["block_number"]
-            made = genesis.tables(document)
+            made = {name: w.stage(df) for name, df in genesis.tables(document).items()}
             w.append("headers", header)
             for name, df in made.items():
                 w.upsert(name, df)
-            for table, name, keys in (("account_history", "account_state", ACCOUNT), ("storage_history", "storage_state", SLOT)):
+            for table, name, keys in (("account_history", "account_state", ACCOUNT), ("slot_history", "slot_state", SLOT)):
                 rows = made[name].select(*keys, F.lit(n).cast("long").alias("block_number"))
                 w.replace(table, history.shards(rows, keys))
             w.commit()
@@ -194,17 +225,20 @@ class Engine:
         if wait:
             self.dispatcher.wait()
 
-    def commit_state(self, accounts: DataFrame, storage: DataFrame) -> None:
+    def commit_state(self, accounts: DataFrame, slots: DataFrame) -> None:
         """Puts accounts and slots over the current state: no history, no deletions, no codes."""
         with self.hot.writer() as w:
             w.upsert("account_state", accounts)
-            w.upsert("storage_state", storage)
+            w.upsert("slot_state", slots)
             w.commit()
 
     def write_history(self, blocks: DataFrame) -> None:
         """All history tables of the blocks, in one commit."""
+        made = ingest.explode_blocks(blocks)
+        if self.verify_hashes:
+            made["headers"] = ingest.with_true_hash(made["headers"])
         with self.cold.writer() as w:
-            for name, df in ingest.explode_blocks(blocks).items():
+            for name, df in made.items():
                 w.append(name, df)
             w.commit()
 
@@ -217,10 +251,14 @@ class Engine:
         self.dispatcher.send(lambda: self.truncate_history(block))
 
     def truncate_history(self, block: int) -> None:
-        with self.cold.writer() as w:
-            for name in self.cold.tables:
-                w.truncate(name, block)
-            w.commit()
+        self.cache.drop_above(block)
+        try:
+            with self.cold.writer() as w:
+                for name in self.cold.tables:
+                    w.truncate(name, block)
+                w.commit()
+        finally:
+            self.cache.drop_above(block)
 
     def drain_above(self, block: int) -> DataFrame:
         """Headers above block with their receipts, while both tiers are rolled back to it.
@@ -235,6 +273,8 @@ class Engine:
             unwind_state(w, block)
             w.commit()
         drained = reorg.drain(cold, block)
+        if cold.version is None:  # a tier without versions forgets what it drops
+            drained = self.hot.keep(drained)
         try:
             self.truncate_history(block)
         except ColdError as e:
@@ -248,9 +288,21 @@ class Engine:
     def reader(self, version: int | None = None) -> Snapshot:
         return self.hot.snapshot(version)
 
-    def cold_reader(self, version: int | None = None) -> Snapshot:
+    def cold_reader(self, version: int | None = None) -> TierView:
         return self.cold.snapshot(version)
 
+    def header(self, number: int) -> Row | None:
+        """A header of the history tier; rows looked up are remembered until a rollback undoes them."""
+        return self.cache.get("header", (number,), lambda: self.cold_reader().read("headers", number, number).first())
+
+    def transaction(self, number: int, index: int) -> Row | None:
+        """A transaction by place, with its block's hash."""
+        return self.cache.get("transaction", (number, index), lambda: reads.transactions(self.cold_reader(), block_number=number, tx_index=index).first())
+
+    def receipt(self, number: int, index: int) -> Row | None:
+        """A receipt by place, with block hash and time and its logs."""
+        return self.cache.get("receipt", (number, index), lambda: reads.receipts(self.cold_reader(), block_number=number, tx_index=index).first())
+
     def cold_lag(self) -> int | None:
         return reorg.lag(self.reader()["headers"], self.cold_reader()["headers"]).first()[0]
 
@@ -261,8 +313,8 @@ class Engine:
         """All accounts at a height; check raises for heights outside the stored blocks."""
         return self.view(height, check).accounts
 
-    def storage_at(self, height: int | None, check: bool = True) -> DataFrame:
-        return self.view(height, check).storage
+    def slots_at(self, height: int | None, check: bool = True) -> DataFrame:
+        return self.view(height, check).slots
 
     def view(self, height: int | None = None, check: bool = True) -> StateView:
         return StateView(self.reader(), height, check)
@@ -270,10 +322,14 @@ class Engine:
     def get_logs(self, f: LogFilter, limit: int, cold: Mapping[str, DataFrame] | None = None) -> DataFrame:
         return reads.get_logs(self.cold_reader() if cold is None else cold, f, limit)
 
+    def stream_logs(self, f: LogFilter, limit: int, deadline: float = MAX_DEADLINE, span: int = SPAN) -> Iterator[Row]:
+        """streaming.stream_logs over the history tier, MAX_STREAMS at a time; the wait counts towards the deadline."""
+        if not self.streams.acquire(timeout=max(0.0, min(deadline, MAX_DEADLINE))):
+            raise Backpressure(f"{MAX_STREAMS} log streams are running")
+        try:
+            yield from stream_logs(self.cold, f, limit, deadline, span)
+        finally:
+            self.streams.release()
+
     def close(self) -> None:
         self.dispatcher.stop()
-
-
-def block_rows(t: Mapping[str, DataFrame], first: int, last: int) -> dict[str, DataFrame]:
-    """The history tables of blocks first..last."""
-    return {name: block_range(t[name], first, last) for name in COLD}

@@ -40,17 +40,18 @@ def bucket(column: str) -> Column:
     return F.floor(F.col(column) / BLOCKS_PER_BUCKET).alias("bucket")
 
 
-def with_previous(changes: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Adds the key's block before each change; null for its first.
+def with_previous(changes: DataFrame, keys: Sequence[str], out: str, value: str = "block_number") -> DataFrame:
+    """Adds what value was in the key's row before; null for its first (and where value was null).
 
     Found within (key, block bucket), or from the bucket before with any change: windows hold a bucket
     of one key, or a row a bucket, so a key that changes in every block is spread over tasks.
     """
     placed = changes.select("*", bucket("block_number"))
-    inside = F.lag("block_number").over(Window.partitionBy(*keys, "bucket").orderBy("block_number"))
-    ends = placed.groupBy(*keys, "bucket").agg(F.max("block_number").alias("end"))
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "bucket").orderBy("block_number"))
+    ends = placed.groupBy(*keys, "bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), "block_number").alias("end"))
     ends = ends.select(*keys, "bucket", F.lag("end").over(Window.partitionBy(*keys).orderBy("bucket")).alias("end"))
-    return placed.withColumn("inside", inside).join(ends, [*keys, "bucket"]).withColumn(out, F.coalesce("inside", "end")).select(*changes.columns, out)
+    found = placed.withColumn("inside", inside).join(ends, [*keys, "bucket"])
+    return found.withColumn(out, F.coalesce("inside", "end")["v"]).select(*changes.columns, out)
 
 
 def intervals(current: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

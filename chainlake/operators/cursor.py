@@ -7,8 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..schema import BLOCKS_PER_BUCKET
 from .filters import key_at_least, key_at_most, value
 
 
@@ -57,13 +59,29 @@ def last_of_k1(df: DataFrame, k1: str, k2: str) -> DataFrame:
     return df.groupBy(k1).agg(F.max_by(ordered, k2).alias("r")).select(k1, "r.*")
 
 
+def ordered_bucket(df: DataFrame, key: str) -> Column:
+    """A coarse value of a key that never decreases along it: a run of numbers, or the first two bytes or characters."""
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        return F.floor(F.col(key) / BLOCKS_PER_BUCKET)
+    return F.substring(key, 1, 2)
+
+
 def neighbours(df: DataFrame, k2: str, k1: str | None = None) -> DataFrame:
     """Adds previous_key and next_key, within the first key if there is one.
 
-    Without a first key the whole table is one window: use it on bounded ranges.
+    Without a first key the windows run inside buckets of the key; a bucket's ends are found among the
+    buckets' own first and last keys, a row a bucket, so no task sees the whole table.
     """
-    w = Window.partitionBy(k1).orderBy(k2) if k1 else Window.orderBy(k2)
-    return df.withColumn("previous_key", F.lag(k2).over(w)).withColumn("next_key", F.lead(k2).over(w))
+    if k1:
+        w = Window.partitionBy(k1).orderBy(k2)
+        return df.withColumn("previous_key", F.lag(k2).over(w)).withColumn("next_key", F.lead(k2).over(w))
+    placed = df.withColumn("nb_bucket", ordered_bucket(df, k2))
+    w, along = Window.partitionBy("nb_bucket").orderBy(k2), Window.orderBy("nb_bucket")
+    ends = placed.groupBy("nb_bucket").agg(F.min(k2).alias("nb_first"), F.max(k2).alias("nb_last"))
+    ends = ends.select("nb_bucket", F.lag("nb_last").over(along).alias("nb_before"), F.lead("nb_first").over(along).alias("nb_after"))
+    inside = placed.withColumn("previous_key", F.lag(k2).over(w)).withColumn("next_key", F.lead(k2).over(w))
+    both = inside.join(ends, "nb_bucket")
+    return both.select(*df.columns, F.coalesce("previous_key", "nb_before").alias("previous_key"), F.coalesce("next_key", "nb_after").alias("next_key"))
 
 
 def items(df: DataFrame, k1: str, k2: str) -> DataFrame:

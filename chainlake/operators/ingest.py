@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyRange, MissingField, NonContiguous, ParentMismatch
+from ..functions import rlp
+from .asof import with_previous
 from .reads import derive_receipts, tip
 from .reorg import breaks
 
@@ -74,10 +76,18 @@ def explode_blocks(blocks: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_true_hash(headers: DataFrame) -> DataFrame:
+    """headers, raising when read if a stored hash isn't the hash of the header's own fields."""
+    checked = rlp.with_hash(headers, "own_hash")
+    right = F.when(F.col("own_hash") == F.col("block_hash"), F.col("block_hash")).otherwise(F.raise_error(F.lit("a block's hash isn't that of its header")).cast("binary"))
+    return checked.withColumn("block_hash", right).drop("own_hash")
+
+
 def validate_extension(headers: DataFrame, new: DataFrame) -> tuple[int, int]:
     """(first, last) of new if it extends the tip of headers link by link; raises otherwise.
 
-    Everything is compared by equi-joins and aggregates; a few rows reach the driver.
+    Everything is compared by equi-joins and aggregates; a few rows reach the driver. headers need only
+    hold the highest block.
     """
     span = new.agg(F.min("block_number"), F.max("block_number"), F.count(F.lit(1)), F.min_by("parent_hash", "block_number")).first()
     first, last, n, parent = span
@@ -97,42 +107,45 @@ def validate_extension(headers: DataFrame, new: DataFrame) -> tuple[int, int]:
     return first, last
 
 
-def preimages(feed: DataFrame, current: DataFrame, keys: Sequence[str], values: Sequence[str], defaults: dict[str, Column]) -> DataFrame:
-    """Change rows of a feed (block_number, keys, new values): what each key was before each block.
+def account_events(feed: DataFrame) -> DataFrame:
+    """(block_number, address, after) of a feed unique by block and address: what an account is after a block, null if deleted."""
+    after = F.struct("nonce", "balance", "bytecode_hash")
+    return feed.select("block_number", "address", F.when(~F.coalesce("deleted", F.lit(False)), after).alias("after"))
+
+
+def slot_events(current: DataFrame, feed: DataFrame, wiped: DataFrame) -> DataFrame:
+    """(block_number, address, slot, after) of writes and wipes: what a slot is after a block, null if wiped and not written again.
 
-    The first block of a key takes the current state, later ones the block before them; a key that
-    wasn't there shows the defaults, with existed false.
+    A wiped account (block_number, address) is cleared before the block's writes: each of its slots, of
+    the state before or written by the feed, gets a row for the wipe. current need only hold these accounts.
     """
-    from pyspark.sql.window import Window
+    writes = feed.select("block_number", "address", "slot", F.struct("value").alias("after"))
+    wipes = wiped.select("address", "block_number").distinct()
+    known = current.select("address", "slot").unionByName(feed.select("address", "slot")).distinct()
+    cleared = known.join(wipes, "address").select("block_number", "address", "slot", F.lit(None).cast(writes.schema["after"].dataType).alias("after"))
+    return cleared.join(writes.select("block_number", "address", "slot"), ["block_number", "address", "slot"], "left_anti").unionByName(writes)
 
-    w = Window.partitionBy(*keys).orderBy("block_number")
-    before = F.lag(F.struct(*values)).over(w)
-    marked = feed.select("block_number", *keys, before.alias("before"), F.row_number().over(w).alias("nth"))
-    joined = marked.join(current.select(*keys, F.struct(*values).alias("now")), list(keys), "left")
-    pre = F.when(F.col("nth") == 1, F.col("now")).otherwise(F.col("before"))
-    out = joined.withColumn("pre", pre)
-    return out.select("block_number", *keys, F.col("pre").isNotNull().alias("existed"), *(F.when(F.col("pre").isNotNull(), F.col(f"pre.{v}")).otherwise(defaults[v]).alias(f"pre_{v}") for v in values))
 
+def changes(events: DataFrame, current: DataFrame, keys: Sequence[str], values: Sequence[str], defaults: Mapping[str, Column]) -> DataFrame:
+    """Change rows of events, in whatever number of blocks: what each key was before each block.
 
-def wipe_preimages(current: DataFrame, wiped: DataFrame) -> DataFrame:
-    """Pre-images of every slot of the wiped accounts (block_number, address), from the version before."""
-    return current.join(wiped, "address").select("block_number", "address", "slot", F.col("value").alias("pre_value"))
+    The current state of a key comes before its first event, each event before the next, so writes, wipes
+    and deletions of one append are seen in order. A key that wasn't there shows the defaults, with existed
+    false; a wipe of a slot that wasn't there changes nothing. current need only hold the keys of events.
+    """
+    base = current.select(F.lit(-1).cast("long").alias("block_number"), *keys, F.struct(*values).alias("after"))
+    ordered = with_previous(events.select("block_number", *keys, "after").unionByName(base), keys, "pre", "after")
+    real = ordered.where("block_number >= 0 AND (after IS NOT NULL OR pre IS NOT NULL)")
+    there = F.col("pre").isNotNull()
+    return real.select("block_number", *keys, there.alias("existed"), *(F.when(there, F.col(f"pre.{v}")).otherwise(defaults[v]).alias(f"pre_{v}") for v in values))
 
 
-def apply_storage(current: DataFrame, feed: DataFrame, wiped: DataFrame) -> DataFrame:
-    """storage_state after a feed of (block_number, address, slot, value): wiped accounts are cleared, then written to.
+def state_after(events: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The state of the events' keys after the last of each; what is deleted or wiped by then has no row. Zero slots are kept."""
+    last = events.groupBy(*keys).agg(F.max_by(F.struct("after"), "block_number").alias("last"))
+    return last.where("last.after IS NOT NULL").select(*keys, *(F.col(f"last.after.{v}").alias(v) for v in values))
 
-    Of several writes to a slot the last counts, unless a later block wiped it; zeros are kept.
-    """
-    last_wipe = wiped.groupBy("address").agg(F.max("block_number").alias("wiped_at"))
-    live = feed.join(last_wipe, "address", "left").where("wiped_at IS NULL OR block_number >= wiped_at")
-    new = live.groupBy("address", "slot").agg(F.max_by("value", "block_number").alias("value"))
-    kept = current.join(last_wipe, "address", "left_anti").join(new, ["address", "slot"], "left_anti")
-    return kept.select("address", "slot", "value").unionByName(new)
-
-
-def apply_accounts(current: DataFrame, feed: DataFrame) -> DataFrame:
-    """account_state after a feed of (block_number, address, nonce, balance, bytecode_hash, deleted)."""
-    last = feed.groupBy("address").agg(F.max_by(F.struct("nonce", "balance", "bytecode_hash", "deleted"), "block_number").alias("v")).select("address", "v.*")
-    kept = current.join(last.select("address"), "address", "left_anti")
-    return kept.unionByName(last.where("NOT deleted").drop("deleted"))
+
+def wipe_preimages(current: DataFrame, wiped: DataFrame) -> DataFrame:
+    """Pre-images of every slot of the wiped accounts (block_number, address), from the version before."""
+    return current.join(wiped, "address").select("block_number", "address", "slot", F.col("value").alias("pre_value"))

@@ -23,8 +23,21 @@ def by_key(df: DataFrame, **key: Any) -> DataFrame:
     return df
 
 
+def part(t: Tables, name: str, first: int | None, last: int | None) -> DataFrame:
+    """Blocks first..last of a table; a stored one opens only the files that can hold them."""
+    return t.read(name, first, last) if hasattr(t, "read") else block_range(t[name], first, last)
+
+
 def in_range(df: DataFrame, first: int | None, last: int | None, *order: str) -> DataFrame:
-    return block_range(df, first, last).orderBy(*(order or ("block_number",)))
+    """Rows of blocks first..last; sorted, which takes a shuffle, only if an order is asked for."""
+    found = block_range(df, first, last)
+    return found.orderBy(*order) if order else found
+
+
+def block_of(rows: DataFrame) -> int:
+    """The block of the one row that a hash names, -1 if there is none: what follows then reads that block only."""
+    found = rows.select("block_number").first()
+    return -1 if found is None else found[0]
 
 
 def by_specs(df: DataFrame, specs: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -86,18 +99,24 @@ def confirmed(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def transactions(t: Tables, **key: Any) -> DataFrame:
-    """Transactions by tx_hash, by block_number and tx_index, or by block_hash and tx_index, with their block's hash."""
-    block_hash = key.pop("block_hash", None)
-    headers = t["headers"] if block_hash is None else by_key(t["headers"], block_hash=block_hash)
-    return confirmed(by_key(t["transactions"], **key), headers)
+    """Transactions by tx_hash, by block_number and tx_index, or by block_hash and tx_index, with their block's hash.
+
+    A hash is looked up first, so that the rows come from their block alone.
+    """
+    if "block_hash" in key:
+        key["block_number"] = block_of(by_key(t["headers"], block_hash=key.pop("block_hash")))
+    elif "tx_hash" in key and "block_number" not in key:
+        key["block_number"] = block_of(by_key(t["transactions"], tx_hash=key["tx_hash"]))
+    n = key.get("block_number")
+    return confirmed(by_key(part(t, "transactions", n, n), **key), part(t, "headers", n, n))
 
 
 def transactions_in_block(t: Tables, number: int) -> DataFrame:
-    return by_key(t["transactions"], block_number=number).orderBy("tx_index")
+    return part(t, "transactions", number, number).orderBy("tx_index")
 
 
 def transaction_count(t: Tables, number: int) -> DataFrame:
-    return by_key(t["transactions"], block_number=number).agg(F.count(F.lit(1)).alias("tx_count"))
+    return part(t, "transactions", number, number).agg(F.count(F.lit(1)).alias("tx_count"))
 
 
 def derive_receipts(receipts: DataFrame, logs: DataFrame | None = None) -> DataFrame:
@@ -116,9 +135,15 @@ def derive_receipts(receipts: DataFrame, logs: DataFrame | None = None) -> DataF
 
 
 def receipts(t: Tables, **key: Any) -> DataFrame:
-    """Receipts by tx_hash or by block_number and tx_index, with block hash and time and their logs in order."""
-    found = confirmed_with_time(by_key(t["receipts"], **key), t["headers"])
-    return with_logs(found, t["logs"])
+    """Receipts by tx_hash or by block_number and tx_index, with block hash and time and their logs in order.
+
+    A hash is looked up first, so that headers and logs are read of one block alone.
+    """
+    if "block_number" not in key:
+        key["block_number"] = block_of(by_key(t["receipts"], **key))
+    n = key["block_number"]
+    found = confirmed_with_time(by_key(part(t, "receipts", n, n), **key), part(t, "headers", n, n))
+    return with_logs(found, part(t, "logs", n, n))
 
 
 def confirmed_with_time(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -140,15 +165,14 @@ def with_logs(rows: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def receipts_in_block(t: Tables, number: int) -> DataFrame:
-    found = confirmed_with_time(by_key(t["receipts"], block_number=number), by_key(t["headers"], block_number=number))
-    return with_logs(found, by_key(t["logs"], block_number=number)).orderBy("tx_index")
+    return receipts(t, block_number=number).orderBy("tx_index")
 
 
 # -- bridge events and rollup headers ---------------------------------------------------------
 
 
 def events_in_range(t: Tables, first: int, last: int) -> DataFrame:
-    return in_range(t["bridge_events"], first, last, "block_number", "event_index")
+    return part(t, "bridge_events", first, last)
 
 
 def rollup_header(t: Tables, number: int) -> DataFrame:
@@ -157,36 +181,44 @@ def rollup_header(t: Tables, number: int) -> DataFrame:
 
 
 def rollup_headers(t: Tables, first: int, last: int) -> DataFrame:
-    return in_range(t["rollup_headers"], first, last)
+    return part(t, "rollup_headers", first, last)
 
 
 # -- logs -------------------------------------------------------------------------------------
 
 
-def logs(t: Tables, f: LogFilter, limit: int | None = None) -> DataFrame:
+def logs(t: Tables, f: LogFilter, limit: int | None = None, ordered: bool = False) -> DataFrame:
     """Matching logs with block hash and time, transaction hash, and log_index counted through the block.
 
-    Ordered by (block, transaction, place). An open end means the latest block. With a limit the plan
-    takes limit + 1 rows at most; `checked` turns the extra one into an error.
+    An open end means the latest block; a block hash is looked up first and then is a range of one block.
+    With a limit the plan takes limit + 1 rows at most, the first by (block, transaction, place); `checked`
+    turns the extra one into an error. Without one the rows are sorted only if ordered is set.
     """
-    headers = block_range(t["headers"], f.from_block, f.to_block)
+    first, last = f.from_block, f.to_block
     if f.at_hash is not None:
-        headers = by_key(headers, block_hash=f.at_hash)
-    mine = block_range(t["logs"], f.from_block, f.to_block).where(f.predicate())
+        first = last = block_of(by_key(t["headers"], block_hash=f.at_hash))
+    mine = part(t, "logs", first, last).where(f.predicate())
     keys = ["block_number", "tx_index"]
-    txs = block_range(t["transactions"], f.from_block, f.to_block).select(*keys, "tx_hash")
-    firsts = block_range(t["receipts"], f.from_block, f.to_block).select(*keys, "first_log_index")
-    joined = mine.join(headers.select("block_number", "block_hash", "timestamp"), "block_number").join(txs, keys).join(firsts, keys)
+    txs = part(t, "transactions", first, last).select(*keys, "tx_hash")
+    firsts = part(t, "receipts", first, last).select(*keys, "first_log_index")
+    joined = mine.join(part(t, "headers", first, last).select("block_number", "block_hash", "timestamp"), "block_number").join(txs, keys).join(firsts, keys)
     out = joined.withColumn("block_log_index", F.col("first_log_index") + F.col("log_index")).drop("first_log_index", "block_bucket")
-    out = out.orderBy("block_number", "tx_index", "log_index")
+    if limit is not None or ordered:
+        out = out.orderBy("block_number", "tx_index", "log_index")
     return out if limit is None else out.limit(limit + 1)
 
 
 def checked(found: DataFrame, limit: int) -> DataFrame:
-    """found, unless it has more than limit rows: all or nothing."""
-    if found.limit(limit + 1).count() > limit:
+    """found, unless it has more than limit rows: all or nothing.
+
+    found has limit + 1 rows at most and is kept (persisted) once counted, so the query runs once;
+    unpersist it when it has been read.
+    """
+    held = found.persist()
+    if held.count() > limit:
+        held.unpersist()
         raise TooManyLogs(limit)
-    return found
+    return held
 
 
 def get_logs(t: Tables, f: LogFilter, limit: int) -> DataFrame:

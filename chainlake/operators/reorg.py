@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .asof import first_after
 from .filters import block_range
-from .reads import Tables, with_logs
+from .reads import Tables, part, with_logs
 
 
 def truncate(t: Mapping[str, DataFrame], above: int) -> dict[str, DataFrame]:
@@ -18,16 +18,20 @@ def truncate(t: Mapping[str, DataFrame], above: int) -> dict[str, DataFrame]:
     return {name: block_range(df, None, above) for name, df in t.items()}
 
 
+def undone(changes: DataFrame, keys: Sequence[str], values: Sequence[str], above: int) -> DataFrame:
+    """The keys that changed above, each with the value that it goes back to: the pre-image of its first change."""
+    found = first_after(changes, keys, [f"pre_{v}" for v in values], above)
+    return found.select(*keys, *(F.col(f"pre.pre_{v}").alias(v) for v in values))
+
+
 def unwind(current: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], above: int, is_empty: Column) -> DataFrame:
-    """The state after undoing all changes above: each changed key gets the pre-image of its first one.
+    """The state after undoing all changes above.
 
     is_empty, over the value columns, tells which restored rows are deleted.
     """
-    pre = [f"pre_{v}" for v in values]
-    undone = first_after(changes, keys, pre, above)
-    restored = undone.select(*keys, *(F.col(f"pre.pre_{v}").alias(v) for v in values)).where(~F.coalesce(is_empty, F.lit(True)))
-    untouched = current.select(*keys, *values).join(undone.select(*keys), list(keys), "left_anti")
-    return untouched.unionByName(restored)
+    back = undone(changes, keys, values, above)
+    untouched = current.select(*keys, *values).join(back.select(*keys), list(keys), "left_anti")
+    return untouched.unionByName(back.where(~F.coalesce(is_empty, F.lit(True))))
 
 
 def drain(t: Tables, above: int) -> DataFrame:
@@ -35,9 +39,8 @@ def drain(t: Tables, above: int) -> DataFrame:
 
     Blocks without receipts have an empty list. Truncate in the same commit.
     """
-    headers = block_range(t["headers"], above + 1, None)
-    rows = block_range(t["receipts"], above + 1, None)
-    full = with_logs(rows, block_range(t["logs"], above + 1, None))
+    headers = part(t, "headers", above + 1, None)
+    full = with_logs(part(t, "receipts", above + 1, None), part(t, "logs", above + 1, None))
     rest = [c for c in full.columns if c not in ("block_number", "tx_index", "block_bucket")]
     one = F.struct("tx_index", *rest)
     kind = f"array<{full.select(one.alias('x')).schema['x'].dataType.simpleString()}>"

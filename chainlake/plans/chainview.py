@@ -40,8 +40,8 @@ receipts AS (
   FROM gas WINDOW w AS (PARTITION BY block_number ORDER BY tx_index)),
 ev AS (SELECT *, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS block_number, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
 written AS (SELECT block_number, user_id AS address, event_type AS slot, arg_max(cents, event_id) AS value FROM ev GROUP BY ALL),
-storage_changes AS (SELECT block_number, address, slot, lag(value) OVER (PARTITION BY address, slot ORDER BY block_number) AS pre_value FROM written),
-storage_state AS (SELECT address, slot, arg_max(value, block_number) AS value FROM written GROUP BY ALL),
+slot_changes AS (SELECT block_number, address, slot, lag(value) OVER (PARTITION BY address, slot ORDER BY block_number) AS pre_value FROM written),
+slot_state AS (SELECT address, slot, arg_max(value, block_number) AS value FROM written GROUP BY ALL),
 moved AS (
   SELECT block_number, address, CAST(sum(n) OVER w AS BIGINT) AS nonce, CAST(sum(c) OVER w AS BIGINT) AS balance
   FROM (SELECT block_number, user_id AS address, count(*) AS n, sum(cents) AS c FROM ev GROUP BY ALL) WINDOW w AS (PARTITION BY address ORDER BY block_number)),
@@ -63,7 +63,7 @@ def sql(body: str, **more: str) -> str:
 class View(Mapping[str, DataFrame]):
     """The chain tables by name, each built when it is first asked for."""
 
-    NAMES = ("headers", "transactions", "receipts", "logs", "bridge_events", "rollup_headers", "account_state", "storage_state", "account_changes", "storage_changes")
+    NAMES = ("headers", "transactions", "receipts", "logs", "bridge_events", "rollup_headers", "account_state", "slot_state", "account_changes", "slot_changes")
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -134,12 +134,12 @@ class View(Mapping[str, DataFrame]):
         return self._events.groupBy("block_number", F.col("user_id").alias("address"), F.col("event_type").alias("slot")).agg(F.max_by("cents", "event_id").alias("value"))
 
     @cached_property
-    def storage_changes(self) -> DataFrame:
+    def slot_changes(self) -> DataFrame:
         w = Window.partitionBy("address", "slot").orderBy("block_number")
         return self._written.select("block_number", "address", "slot", F.lag("value").over(w).alias("pre_value"))
 
     @cached_property
-    def storage_state(self) -> DataFrame:
+    def slot_state(self) -> DataFrame:
         return self._written.groupBy("address", "slot").agg(F.max_by("value", "block_number").alias("value"))
 
     @cached_property

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import HeightOutOfRange, TooManyLogs
 from ..functions import intlist
 from ..operators import asof, cursor, history, reads, reorg
 from ..operators.filters import LogFilter, block_range
@@ -52,9 +53,22 @@ _log_query("logs_none_match", LogFilter(900_000, 900_999), "block_number BETWEEN
 _log_query("logs_limit_exact", LogFilter(300, 310), "block_number BETWEEN 300 AND 310", limit=100_000)
 
 
-@query("logs_block_log_index", "SELECT block_number, tx_index, log_index, first_log_index + log_index AS block_log_index FROM logs JOIN receipts USING (block_number, tx_index) WHERE block_number < 200")
+@query("logs_limit_overflow", "SELECT count(*) AS matching, count(*) > 50 AS refused FROM logs WHERE block_number BETWEEN 300 AND 400")
 def _(t: View) -> DataFrame:
-    return reads.logs(t, LogFilter(None, 199)).select("block_number", "tx_index", "log_index", "block_log_index")
+    """As many logs as match pass; one less is refused as a whole."""
+    matching = reads.logs(t, LogFilter(300, 400)).count()
+    reads.get_logs(t, LogFilter(300, 400), matching).unpersist()
+    try:
+        reads.get_logs(t, LogFilter(300, 400), min(50, matching)).unpersist()
+        refused = False
+    except TooManyLogs:
+        refused = True
+    return t.spark.createDataFrame([(matching, refused)], "matching long, refused boolean")
+
+
+@query("logs_block_log_index", "SELECT block_number, tx_index, log_index, first_log_index + log_index AS block_log_index FROM logs JOIN receipts USING (block_number, tx_index)")
+def _(t: View) -> DataFrame:
+    return reads.logs(t, LogFilter()).select("block_number", "tx_index", "log_index", "block_log_index")
 
 
 # -- headers ----------------------------------------------------------------------------------
@@ -224,9 +238,9 @@ def _(t: View) -> DataFrame:
     return reads.by_key(t["account_state"], address=8)
 
 
-@query("storage_get", "SELECT address, slot, value FROM storage_state WHERE address = 8 AND slot = 'click'")
+@query("slot_get", "SELECT address, slot, value FROM slot_state WHERE address = 8 AND slot = 'click'")
 def _(t: View) -> DataFrame:
-    return reads.by_key(t["storage_state"], address=8, slot="click")
+    return reads.by_key(t["slot_state"], address=8, slot="click")
 
 
 @query("account_change_get", "SELECT block_number, address, pre_nonce, pre_balance FROM account_changes WHERE block_number = 7 AND address = 8")
@@ -234,24 +248,24 @@ def _(t: View) -> DataFrame:
     return reads.by_key(t["account_changes"], block_number=7, address=8)
 
 
-@query("storage_change_get", "SELECT block_number, address, slot, pre_value FROM storage_changes WHERE block_number = 7 AND address = 8")
+@query("slot_change_get", "SELECT block_number, address, slot, pre_value FROM slot_changes WHERE block_number = 7 AND address = 8")
 def _(t: View) -> DataFrame:
-    return reads.by_key(t["storage_changes"], block_number=7, address=8)
+    return reads.by_key(t["slot_changes"], block_number=7, address=8)
 
 
 _SLOTS_AT = """SELECT address, slot, CASE WHEN p.b IS NOT NULL THEN p.pre ELSE s.value END AS value
-FROM storage_state s LEFT JOIN (SELECT address, slot, arg_min({{'v': pre_value}}, block_number).v AS pre, min(block_number) AS b FROM storage_changes WHERE block_number > {0} GROUP BY ALL) p USING (address, slot)"""
+FROM slot_state s LEFT JOIN (SELECT address, slot, arg_min({{'v': pre_value}}, block_number).v AS pre, min(block_number) AS b FROM slot_changes WHERE block_number > {0} GROUP BY ALL) p USING (address, slot)"""
 
 
-@query("storage_at_height", _SLOTS_AT.format(12))
+@query("slots_at_height", _SLOTS_AT.format(12))
 def _(t: View) -> DataFrame:
-    reads.check_height(t["storage_changes"], 12)
-    return asof.state_at(t["storage_state"], t["storage_changes"], ["address", "slot"], ["value"], 12)
+    reads.check_height(t["slot_changes"], 12)
+    return asof.state_at(t["slot_state"], t["slot_changes"], ["address", "slot"], ["value"], 12)
 
 
-@query("storage_at_first_height", _SLOTS_AT.format(0))
+@query("slots_at_first_height", _SLOTS_AT.format(0))
 def _(t: View) -> DataFrame:
-    return asof.state_at(t["storage_state"], t["storage_changes"], ["address", "slot"], ["value"], 0)
+    return asof.state_at(t["slot_state"], t["slot_changes"], ["address", "slot"], ["value"], 0)
 
 
 @query(
@@ -271,12 +285,12 @@ def _(t: View) -> DataFrame:
 @query(
     "batch_as_of",
     """SELECT q.address, q.slot, q.height, (SELECT w.value FROM written w WHERE w.address = q.address AND w.slot = q.slot AND w.block_number <= q.height ORDER BY w.block_number DESC LIMIT 1) AS value
-FROM (SELECT address, slot, unnest([0, 3, 9, 15, 22, 29]) AS height FROM storage_state) q""",
+FROM (SELECT address, slot, unnest([0, 3, 9, 15, 22, 29]) AS height FROM slot_state) q""",
 )
 def _(t: View) -> DataFrame:
     heights = F.explode(F.array(*(F.lit(h).cast("long") for h in (0, 3, 9, 15, 22, 29))))
-    requests = t["storage_state"].select("address", "slot", heights.alias("height"))
-    return asof.batch_state_at(requests, t["storage_state"], t["storage_changes"], ["address", "slot"], ["value"]).withColumn("height", F.col("height").cast("int"))
+    requests = t["slot_state"].select("address", "slot", heights.alias("height"))
+    return asof.batch_state_at(requests, t["slot_state"], t["slot_changes"], ["address", "slot"], ["value"]).withColumn("height", F.col("height").cast("int"))
 
 
 @query(
@@ -284,16 +298,21 @@ def _(t: View) -> DataFrame:
     "SELECT address, slot, arg_max(value, block_number) AS value FROM written WHERE block_number <= 12 GROUP BY ALL",
 )
 def _(t: View) -> DataFrame:
-    at = asof.intervals(t["storage_state"], t["storage_changes"], ["address", "slot"], ["value"])
+    at = asof.intervals(t["slot_state"], t["slot_changes"], ["address", "slot"], ["value"])
     open_from = F.coalesce("valid_from", F.lit(-1)) <= 12
     return at.where(open_from & (F.coalesce("valid_to", F.lit(1 << 62)) > 12) & F.col("value").isNotNull()).select("address", "slot", "value")
 
 
 @query("height_check", "SELECT h AS height, h BETWEEN (SELECT min(block_number) FROM headers) AND (SELECT max(block_number) FROM headers) AS ok FROM (VALUES (-1), (0), (1200), (99999)) v(h)")
 def _(t: View) -> DataFrame:
-    asked = t.spark.createDataFrame([(-1,), (0,), (1200,), (99_999,)], "height int")
-    span = reads.execution_range(t["headers"])
-    return asked.crossJoin(F.broadcast(span)).select("height", F.col("height").between(F.col("first_block"), F.col("last_block")).alias("ok"))  # one row
+    def ok(height: int) -> bool:
+        try:
+            reads.check_height(t["headers"], height)
+        except HeightOutOfRange:
+            return False
+        return True
+
+    return t.spark.createDataFrame([(h, ok(h)) for h in (-1, 0, 1200, 99_999)], "height int, ok boolean")
 
 
 @query("evm_view", "SELECT address, nonce, balance, CASE WHEN address % 3 = 0 THEN 'code' || CAST(address % 5 AS VARCHAR) ELSE '' END AS code FROM account_state")
@@ -308,9 +327,9 @@ def _(t: View) -> DataFrame:
     return _listed(history.changed(t["account_changes"], ["address"], 4, 11))
 
 
-@query("changed_storage_range", "SELECT address, slot, string_agg(CAST(block_number AS VARCHAR), ',' ORDER BY block_number) AS blocks FROM storage_changes WHERE block_number BETWEEN 4 AND 11 GROUP BY address, slot")
+@query("changed_slots_range", "SELECT address, slot, string_agg(CAST(block_number AS VARCHAR), ',' ORDER BY block_number) AS blocks FROM slot_changes WHERE block_number BETWEEN 4 AND 11 GROUP BY address, slot")
 def _(t: View) -> DataFrame:
-    return _listed(history.changed(t["storage_changes"], ["address", "slot"], 4, 11))
+    return _listed(history.changed(t["slot_changes"], ["address", "slot"], 4, 11))
 
 
 def _listed(df: DataFrame) -> DataFrame:
@@ -358,12 +377,12 @@ def _(t: View) -> DataFrame:
 
 # -- cursors ----------------------------------------------------------------------------------
 
-_S = "SELECT address, slot, value FROM storage_state "
+_S = "SELECT address, slot, value FROM slot_state "
 _KEYS = ("address", "slot")
 
 
 def _slots(name: str, text: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    query(name, text)(lambda t: f(t["storage_state"]))
+    query(name, text)(lambda t: f(t["slot_state"]))
 
 
 _slots("cursor_scan", _S, lambda s: cursor.scan(s, *_KEYS))
@@ -373,10 +392,10 @@ _slots("cursor_last", _S + "ORDER BY address DESC, slot DESC LIMIT 1", lambda s:
 _slots("cursor_next_above_dual", _S + "WHERE (address, slot) >= (40, 'zzz') ORDER BY address, slot LIMIT 1", lambda s: cursor.lower_bound(s, _KEYS, (40, "zzz")))
 _slots("cursor_next_k1", _S + "WHERE address > 40 ORDER BY address, slot LIMIT 1", lambda s: cursor.next_k1(s, *_KEYS, 40))
 _slots("cursor_prev_k1", _S + "WHERE address < 40 ORDER BY address DESC, slot DESC LIMIT 1", lambda s: cursor.previous_k1(s, *_KEYS, 40))
-_slots("cursor_last_of_k1", "SELECT address, max(slot) AS slot, arg_max(value, slot) AS value FROM storage_state GROUP BY address", lambda s: cursor.last_of_k1(s, *_KEYS))
-_slots("cursor_lead_lag", "SELECT address, slot, value, lag(slot) OVER w AS previous_key, lead(slot) OVER w AS next_key FROM storage_state WINDOW w AS (PARTITION BY address ORDER BY slot)", lambda s: cursor.neighbours(s, "slot", "address"))
+_slots("cursor_last_of_k1", "SELECT address, max(slot) AS slot, arg_max(value, slot) AS value FROM slot_state GROUP BY address", lambda s: cursor.last_of_k1(s, *_KEYS))
+_slots("cursor_lead_lag", "SELECT address, slot, value, lag(slot) OVER w AS previous_key, lead(slot) OVER w AS next_key FROM slot_state WINDOW w AS (PARTITION BY address ORDER BY slot)", lambda s: cursor.neighbours(s, "slot", "address"))
 _slots("iter_k2", _S + "WHERE address = 33", lambda s: cursor.within_k1(s, *_KEYS, 33))
-_slots("iter_items", "SELECT address, slot, value, row_number() OVER (PARTITION BY address ORDER BY slot) = 1 AS is_new_k1 FROM storage_state", lambda s: cursor.items(s, *_KEYS))
+_slots("iter_items", "SELECT address, slot, value, row_number() OVER (PARTITION BY address ORDER BY slot) = 1 AS is_new_k1 FROM slot_state", lambda s: cursor.items(s, *_KEYS))
 _slots("delete_range_dual", _S + "WHERE NOT ((address, slot) >= (20, 'error') AND (address, slot) <= (60, 'error'))", lambda s: cursor.delete_range(s, _KEYS, (20, "error"), (60, "error")))
 _slots("take_range_dual", _S + "WHERE (address > 20 AND address < 60) OR (address = 20 AND slot >= 'error') OR (address = 60 AND slot <= 'error')", lambda s: cursor.take_range(s, _KEYS, (20, "error"), (60, "error"))[0])
 _slots("clear_k1", _S + "WHERE address <> 33", lambda s: cursor.clear_k1(s, "address", 33))
@@ -419,16 +438,16 @@ def _(t: View) -> DataFrame:
     return cursor.upsert(state, rows.unionByName(t.spark.createDataFrame([(1_000_000, 1, 5)], "address long, nonce long, balance long")), ["address"])
 
 
-@query("wipe_preimages", "SELECT CAST(30 AS BIGINT) AS block_number, address, slot, value AS pre_value FROM storage_state WHERE address IN (3, 8)")
+@query("wipe_preimages", "SELECT CAST(30 AS BIGINT) AS block_number, address, slot, value AS pre_value FROM slot_state WHERE address IN (3, 8)")
 def _(t: View) -> DataFrame:
     from ..operators.ingest import wipe_preimages
 
-    return wipe_preimages(t["storage_state"], t.spark.createDataFrame([(30, 3), (30, 8)], "block_number long, address long"))
+    return wipe_preimages(t["slot_state"], t.spark.createDataFrame([(30, 3), (30, 8)], "block_number long, address long"))
 
 
 @query("unwind_state", "SELECT address, slot, arg_max(value, block_number) AS value FROM written WHERE block_number <= 12 GROUP BY ALL HAVING arg_max(value, block_number) <> 0")
 def _(t: View) -> DataFrame:
-    return reorg.unwind(t["storage_state"], t["storage_changes"], ["address", "slot"], ["value"], 12, F.col("value") == 0)
+    return reorg.unwind(t["slot_state"], t["slot_changes"], ["address", "slot"], ["value"], 12, F.col("value") == 0)
 
 
 @query("unwind_accounts", "SELECT address, max(nonce) AS nonce, arg_max(balance, block_number) AS balance FROM moved WHERE block_number <= 3 GROUP BY ALL")
@@ -436,9 +455,9 @@ def _(t: View) -> DataFrame:
     return reorg.unwind(t["account_state"], t["account_changes"], ["address"], ["nonce", "balance"], 3, F.col("nonce") == 0)
 
 
-@query("unwind_changes", "SELECT block_number, address, slot, pre_value FROM storage_changes WHERE block_number <= 12")
+@query("unwind_changes", "SELECT block_number, address, slot, pre_value FROM slot_changes WHERE block_number <= 12")
 def _(t: View) -> DataFrame:
-    return reorg.truncate({"c": t["storage_changes"]}, 12)["c"]
+    return reorg.truncate({"c": t["slot_changes"]}, 12)["c"]
 
 
 @query(
@@ -494,13 +513,12 @@ def _(t: View) -> DataFrame:
     return reorg.level(t["headers"], cold)["transactions"].select("block_number", "tx_index", "tx_hash")
 
 
-@query("explode_blocks", "SELECT block_number, tx_index, tx_hash, from_address FROM tx WHERE block_number < 100")
+@query("explode_blocks", "SELECT block_number, tx_index, tx_hash, from_address FROM tx")
 def _(t: View) -> DataFrame:
     from ..operators.ingest import explode_part
 
-    tx = block_range(t["transactions"], None, 99)
     body = F.struct("tx_hash", "from_address")
-    blocks = tx.groupBy("block_number").agg(F.sort_array(F.collect_list(F.struct("tx_index", body.alias("body")))).alias("l")).select("block_number", F.transform("l", lambda x: x["body"]).alias("transactions"))
+    blocks = t["transactions"].groupBy("block_number").agg(F.sort_array(F.collect_list(F.struct("tx_index", body.alias("body")))).alias("l")).select("block_number", F.transform("l", lambda x: x["body"]).alias("transactions"))
     return explode_part(blocks, "transactions", "tx_index")
 
 
@@ -509,7 +527,7 @@ def _(t: View) -> DataFrame:
     return t.gas.groupBy("block_number").agg(F.max("cumulative_gas_used").alias("gas_used"), F.count(F.lit(1)).alias("txs"))
 
 
-@query("cursor_header_neighbours", "SELECT block_number, lag(block_number) OVER w AS previous_key, lead(block_number) OVER w AS next_key FROM headers WHERE block_number BETWEEN 20 AND 80 WINDOW w AS (ORDER BY block_number)")
+@query("cursor_header_neighbours", "SELECT block_number, lag(block_number) OVER w AS previous_key, lead(block_number) OVER w AS next_key FROM headers WINDOW w AS (ORDER BY block_number)")
 def _(t: View) -> DataFrame:
-    return cursor.neighbours(block_range(t["headers"], 20, 80).select("block_number"), "block_number")
+    return cursor.neighbours(t["headers"].select("block_number"), "block_number")
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .errors import SchemaError
 
-#: Blocks to a partition of the block tables, hash partitions of the state tables.
+#: Blocks to a partition of the block tables; hash partitions of the state tables, unless a store says otherwise.
 BLOCKS_PER_BUCKET, STATE_BUCKETS = 10_000, 64
 #: Block numbers to a shard of the history index, and the key of the open shard.
 SHARD_CAP, OPEN_SHARD = 2000, (1 << 63) - 1
@@ -42,7 +42,7 @@ def _table(name: str, ddl: str, key: str, bucket_by: str = "block_number", lengt
     return Table(name, ddl, tuple(key.split()), bucket_by, sizes, tuple(blooms.split()))
 
 
-_ACCESS = "ARRAY<STRUCT<address: BINARY, storage_keys: ARRAY<BINARY>>>"
+_ACCESS = "ARRAY<STRUCT<address: BINARY, slot_keys: ARRAY<BINARY>>>"
 _AUTH = "ARRAY<STRUCT<chain_id: BINARY, address: BINARY, nonce: BIGINT, y_parity: TINYINT, r: BINARY, s: BINARY>>"
 
 TABLES: dict[str, Table] = {
@@ -63,16 +63,16 @@ TABLES: dict[str, Table] = {
         _table("bridge_events", "block_number BIGINT, event_index BIGINT, event_type TINYINT, order_index BIGINT, rollup_chain_id BINARY, sender BINARY, to_address BINARY, value BINARY, gas BINARY, max_fee_per_gas BINARY, data BINARY, rollup_recipient BINARY, amount BINARY, token BINARY", "block_number event_index", lengths="rollup_chain_id:32"),
         _table("rollup_headers", "block_number BIGINT, host_block_number BINARY, rollup_chain_id BINARY, gas_limit BINARY, reward_address BINARY, block_data_hash BINARY", "block_number", lengths="reward_address:20 block_data_hash:32"),
         _table("account_state", "address BINARY, nonce BIGINT, balance BINARY, bytecode_hash BINARY", "address", "address", "address:20 balance:32 bytecode_hash:32"),
-        _table("storage_state", "address BINARY, slot BINARY, value BINARY", "address slot", "address", "address:20 slot:32 value:32"),
+        _table("slot_state", "address BINARY, slot BINARY, value BINARY", "address slot", "address", "address:20 slot:32 value:32"),
         _table("account_changes", "block_number BIGINT, address BINARY, existed BOOLEAN, pre_nonce BIGINT, pre_balance BINARY, pre_bytecode_hash BINARY", "block_number address", lengths="address:20 pre_balance:32 pre_bytecode_hash:32"),
-        _table("storage_changes", "block_number BIGINT, address BINARY, slot BINARY, existed BOOLEAN, pre_value BINARY", "block_number address slot", lengths="address:20 slot:32 pre_value:32"),
+        _table("slot_changes", "block_number BIGINT, address BINARY, slot BINARY, existed BOOLEAN, pre_value BINARY", "block_number address slot", lengths="address:20 slot:32 pre_value:32"),
         _table("account_history", "address BINARY, highest BIGINT, is_open BOOLEAN, blocks ARRAY<BIGINT>", "address highest", "address", "address:20"),
-        _table("storage_history", "address BINARY, slot BINARY, highest BIGINT, is_open BOOLEAN, blocks ARRAY<BIGINT>", "address slot highest", "address", "address:20 slot:32"),
+        _table("slot_history", "address BINARY, slot BINARY, highest BIGINT, is_open BOOLEAN, blocks ARRAY<BIGINT>", "address slot highest", "address", "address:20 slot:32"),
         _table("bytecodes", "code_hash BINARY, code BINARY", "code_hash", "code_hash", "code_hash:32"),
     )
 }
 
-HOT = ("headers", "bytecodes", "account_state", "storage_state", "account_history", "account_changes", "storage_history", "storage_changes")
+HOT = ("headers", "bytecodes", "account_state", "slot_state", "account_history", "account_changes", "slot_history", "slot_changes")
 COLD = ("headers", "transactions", "receipts", "logs", "bridge_events", "rollup_headers")
 
 

@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from ..errors import ConfigError
-from ..schema import COLD, HOT
+from ..schema import COLD, HOT, STATE_BUCKETS
 from .jdbc import JdbcSource
 from .store import Store
+from .tier import HistoryTier
 
 HOT_PATH, COLD_PATH, COLD_SQL = "LEDGER_HOT_PATH", "LEDGER_COLD_PATH", "LEDGER_COLD_SQL_URL"
 
@@ -24,6 +25,8 @@ class EngineConfig:
     cold_path: str | None = None
     cold_sql_url: str | None = None
     read_only: bool = False
+    state_buckets: int = STATE_BUCKETS
+    bucket_files: int = 1
     sql_options: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
@@ -40,9 +43,9 @@ class EngineConfig:
         return cls(hot, cold, sql)
 
     def connect_hot(self, spark: SparkSession) -> Store:
-        return Store(spark, self.hot_path, HOT, self.read_only).init()
+        return Store(spark, self.hot_path, HOT, self.read_only, state_buckets=self.state_buckets, bucket_files=self.bucket_files).init()
 
-    def connect_cold(self, spark: SparkSession) -> Store | JdbcSource:
+    def connect_cold(self, spark: SparkSession) -> HistoryTier:
         if self.cold_sql_url:
-            return JdbcSource(spark, self.cold_sql_url, dict(self.sql_options))
+            return JdbcSource(spark, self.cold_sql_url, dict(self.sql_options), read_only=self.read_only).init()
         return Store(spark, self.cold_path, COLD, self.read_only).init()

@@ -13,18 +13,19 @@ import os
 import socket
 import time
 import uuid
-from collections.abc import Iterable, Mapping
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import KeyOrder, ReadOnly, StoreError, UnknownTable, WriteLocked
-from ..operators import cursor
 from ..operators.filters import block_range
 from ..schema import BLOCKS_PER_BUCKET, STATE_BUCKETS, TABLES, Table, conform
 
 
+LAYOUT = "layout.json"
+
+
 class Files:
     """The few file operations a store needs, on any file system that Spark knows."""
 
@@ -35,8 +36,8 @@ class Files:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def names(self) -> list[str]:
-        p = self._path("")
+    def names(self, folder: str = "") -> list[str]:
+        p = self._path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
 
     def read(self, name: str) -> str:
@@ -100,14 +101,43 @@ class Snapshot(Mapping[str, DataFrame]):
         df = self.store.open(table, [p["path"] for p in parts])
         return block_range(df, first, last) if table.by_block else df
 
+    def tail(self, name: str) -> DataFrame:
+        """The rows of a block table's last files: enough to find its highest block."""
+        top = max((p["last"] for p in self.manifest[name]), default=None)
+        return self.read(name, top)
+
+    def of_keys(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of some keys, given by a prefix of the key columns; only their buckets are opened."""
+        table = self.store.table(name)
+        on = [k for k in table.key if k in keys.columns]
+        rows = self.read(name, buckets=self.store.touched(table, keys))
+        return rows.join(keys.select(*on).distinct(), on, "left_semi")
 
-class Store:
-    """Tables under one path. Open it read-only to look at versions without ever taking the lock."""
 
-    def __init__(self, spark: SparkSession, path: str, tables: Iterable[str] = TABLES, read_only: bool = False, more: Mapping[str, Table] | None = None) -> None:
+class Store:
+    """Tables under one path. Open it read-only to look at versions without ever taking the lock.
+
+    state_buckets and bucket_files say into how many hash partitions the state tables are dealt, and
+    into how many files each of these; a store keeps what it was made with.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        tables: Iterable[str] = TABLES,
+        read_only: bool = False,
+        more: Mapping[str, Table] | None = None,
+        state_buckets: int = STATE_BUCKETS,
+        bucket_files: int = 1,
+    ) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self.tables = {n: TABLES[n] for n in tables} | dict(more or {})
         self.files = Files(spark, self.path)
+        self.state_buckets, self.bucket_files = state_buckets, bucket_files
+        if LAYOUT in self.files.names():
+            made = json.loads(self.files.read(LAYOUT))
+            self.state_buckets, self.bucket_files = made["state_buckets"], made["bucket_files"]
 
     def table(self, name: str) -> Table:
         try:
@@ -120,9 +150,21 @@ class Store:
         if not self.versions():
             if self.read_only:
                 raise ReadOnly(self.path)
+            self.files.create(LAYOUT, json.dumps({"state_buckets": self.state_buckets, "bucket_files": self.bucket_files}))
             self.files.create("manifest-0.json", json.dumps({n: [] for n in self.tables}))
         return self
 
+    def bucket_of(self, table: Table) -> Column:
+        if table.by_block:
+            return F.floor(F.col("block_number") / BLOCKS_PER_BUCKET).cast("int")
+        return F.pmod(F.xxhash64(table.bucket_by), F.lit(self.state_buckets)).cast("int")
+
+    def touched(self, table: Table, keys: DataFrame) -> set[int] | None:
+        """The buckets that some keys lie in; None (any) if the keys don't tell. At most a number a bucket reaches the driver."""
+        if table.bucket_by not in keys.columns:
+            return None
+        return {r[0] for r in keys.select(self.bucket_of(table).alias("b")).distinct().collect()}
+
     def versions(self) -> list[int]:
         found = (n.removeprefix("manifest-").removesuffix(".json") for n in self.files.names() if n.startswith("manifest-"))
         return sorted(int(v) for v in found)
@@ -140,6 +182,12 @@ class Store:
             return self.spark.createDataFrame([], table.schema)
         return self.spark.read.schema(table.schema).parquet(*(f"{self.path}/{p}" for p in paths))
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as files of their own beside the tables, until the next vacuum: a result that outlives what it was read from."""
+        where = f"{self.path}/kept-{uuid.uuid4().hex[:16]}"
+        df.write.option("compression", "zstd").parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
     def writer(self) -> Writer:
         if self.read_only:
             raise ReadOnly(self.path)
@@ -150,7 +198,7 @@ class Store:
         with self.writer():
             kept = self.versions()[-keep:]
             live = {p["path"].split("/")[0] for v in kept for parts in self.snapshot(v).manifest.values() for p in parts}
-            gone = [n for n in self.files.names() if n.startswith("data-") and n not in live]
+            gone = [n for n in self.files.names() if n.startswith(("data-", "stage-", "kept-")) and n not in live]
             gone += [f"manifest-{v}.json" for v in self.versions() if v not in kept]
             for n in gone:
                 self.files.delete(n)
@@ -191,6 +239,7 @@ class Writer:
             store.files.delete("LOCK")
             raise
         self.manifest = {n: list(p) for n, p in self.base.manifest.items()}
+        self.staged: list[str] = []
         self.open = True
 
     def _lock(self) -> None:
@@ -215,33 +264,55 @@ class Writer:
         if self.open:
             self.abort()
 
-    def read(self, name: str) -> DataFrame:
-        return Snapshot(self.store, -1, self.manifest).read(name)
+    def read(self, name: str, first: int | None = None, last: int | None = None) -> DataFrame:
+        return self._now().read(name, first, last)
+
+    def of_keys(self, name: str, keys: DataFrame) -> DataFrame:
+        return self._now().of_keys(name, keys)
+
+    def tail(self, name: str) -> DataFrame:
+        return self._now().tail(name)
+
+    def _now(self) -> Snapshot:
+        return Snapshot(self.store, -1, self.manifest)
 
     def snapshot(self) -> Snapshot:
         """What the tables would be if committed now."""
         return Snapshot(self.store, -1, {n: list(p) for n, p in self.manifest.items()})
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """df as a table of this commit only, for what is read more than once; it goes when the commit ends."""
+        where = f"stage-{self.id}-{len(self.staged)}"
+        self.staged.append(where)
+        df.write.option("compression", "zstd").parquet(f"{self.store.path}/{where}")
+        return self.store.spark.read.schema(df.schema).parquet(f"{self.store.path}/{where}")
+
     # -- staging --------------------------------------------------------------------------
 
     def _write(self, table: Table, df: DataFrame) -> list[dict]:
-        """Writes rows in partition folders, and tells what each holds."""
+        """Writes rows in partition folders, and tells what each holds.
+
+        The span of blocks is observed while writing; inside it a bucket's own span is taken as whole.
+        """
         df = conform(df, table)
         where = f"data-{table.name}-{uuid.uuid4().hex[:16]}"
+        placed = df.withColumn("bucket", self.store.bucket_of(table))
         if table.by_block:
-            bucket, order = F.floor(F.col("block_number") / BLOCKS_PER_BUCKET), list(table.key)
+            placed = placed.repartitionByRange(*table.key)
         else:
-            bucket, order = F.pmod(F.xxhash64(table.bucket_by), F.lit(STATE_BUCKETS)), list(table.key)
-        placed = df.withColumn("bucket", bucket.cast("int"))
-        placed = placed.repartitionByRange(*order) if table.by_block else placed.repartition("bucket")
-        out = placed.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("compression", "zstd")
+            part = F.pmod(F.xxhash64(*table.key, F.lit(1)), F.lit(self.store.bucket_files))
+            placed = placed.repartition("bucket", part) if self.store.bucket_files > 1 else placed.repartition("bucket")
+        seen = Observation()
+        n = F.col("block_number") if table.by_block else F.lit(None).cast("long")
+        placed = placed.observe(seen, F.min(n).alias("first"), F.max(n).alias("last"))
+        out = placed.sortWithinPartitions("bucket", *table.key).write.partitionBy("bucket").option("compression", "zstd")
         for c in table.blooms:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         out.parquet(f"{self.store.path}/{where}")
-        written = self.store.spark.read.schema(f"bucket int, {table.ddl}").parquet(f"{self.store.path}/{where}")
-        n = F.col("block_number") if table.by_block else F.lit(None).cast("long")
-        spans = written.groupBy("bucket").agg(F.min(n).alias("first"), F.max(n).alias("last"), F.count(F.lit(1)).alias("rows")).orderBy("bucket").collect()
-        return [{"path": f"{where}/bucket={r['bucket']}", "bucket": r["bucket"], "first": r["first"], "last": r["last"], "rows": r["rows"]} for r in spans]
+        buckets = sorted(int(x.removeprefix("bucket=")) for x in self.store.files.names(where) if x.startswith("bucket="))
+        first, last = (seen.get["first"], seen.get["last"]) if buckets and table.by_block else (None, None)
+        size = BLOCKS_PER_BUCKET
+        return [{"path": f"{where}/bucket={b}", "bucket": b, "first": None if first is None else max(first, b * size), "last": None if last is None else min(last, (b + 1) * size - 1)} for b in buckets]
 
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows whose keys all exceed those present."""
@@ -258,22 +329,33 @@ class Writer:
                 raise KeyOrder(f"{name}: keys at or below the last one")
         self.manifest[name] += parts
 
+    def rewrite(self, name: str, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the rows of some keys, given by a prefix of the key columns, by what make says of them.
+
+        Only buckets with such keys are read and written again, once. keys and what make takes its rows
+        from are read twice: stage them first if they are dear.
+        """
+        table = self.store.table(name)
+        on = [k for k in table.key if k in keys.columns]
+        touched = self.store.touched(table, keys)
+        mine = [p for p in self.manifest[name] if touched is None or p["bucket"] in touched]
+        old = self.store.open(table, [p["path"] for p in mine])
+        named = keys.select(*on).distinct()
+        new = conform(make(old.join(named, on, "left_semi")), table)
+        if mine:
+            new = old.join(named, on, "left_anti").unionByName(new)
+        written = self._write(table, new)
+        self.manifest[name] = [p for p in self.manifest[name] if p not in mine] + written
+
     def upsert(self, name: str, df: DataFrame) -> None:
-        """Puts rows by key over those present. Only the hash buckets or block buckets touched are rewritten."""
+        """Puts rows by key over those present; rows are unique by key."""
         table = self.store.table(name)
-        staged = self._write(table, df)
-        rows = self.store.open(table, [p["path"] for p in staged])
-        touched = {p["bucket"] for p in staged}
-        old = [p for p in self.manifest[name] if p["bucket"] in touched]
-        if old:
-            merged = cursor.upsert(self.store.open(table, [p["path"] for p in old]), rows, table.key)
-            staged = self._write(table, merged)
-        self.manifest[name] = [p for p in self.manifest[name] if p["bucket"] not in touched] + staged
+        rows = conform(df, table)
+        self.rewrite(name, rows.select(*table.key), lambda _: rows)
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Deletes rows by key; keys may be a prefix of the key columns."""
-        on = [k for k in self.store.table(name).key if k in keys.columns]
-        self.replace(name, self.read(name).join(keys.select(*on).distinct(), on, "left_anti"))
+        self.rewrite(name, keys, lambda old: old.limit(0))
 
     def replace(self, name: str, df: DataFrame) -> None:
         self.manifest[name] = self._write(self.store.table(name), df)
@@ -310,12 +392,11 @@ class Writer:
 
     def _unlock(self) -> None:
         self.open = False
+        for where in self.staged:
+            self.store.files.delete(where)
         self.store.files.delete("LOCK")
 
 
 def _plain(v):
     return bytes(v) if isinstance(v, bytearray) else v
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
