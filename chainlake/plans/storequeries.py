@@ -48,11 +48,11 @@ def _text(c: str) -> Column:
 
 def _slots(df: DataFrame, *more: str) -> DataFrame:
     """Slots as the view has them, without zeros."""
-    return df.where(F.col("value") != u256.lit(0)).select(*more, _number("address").cast("int").alias("address"), _text("slot").alias("slot"), _number("value").alias("value"))
+    return df.where(F.col("value") != u256.lit(0)).select(*more, _number("address").alias("address"), _text("slot").alias("slot"), _number("value").alias("value"))
 
 
 def _accounts(df: DataFrame) -> DataFrame:
-    return df.where("nonce > 0").select(_number("address").cast("int").alias("address"), "nonce", _number("balance").alias("balance"))
+    return df.where("nonce > 0").select(_number("address").alias("address"), "nonce", _number("balance").alias("balance"))
 
 
 def _feed(t: View, first: int | None, last: int | None) -> StateFeed:
@@ -107,7 +107,7 @@ def _(t: View) -> DataFrame:
 @query("engine_slot_changes", _CHANGED, slot_events=_EVENTS)
 def _(t: View) -> DataFrame:
     c = _state(t, 14).snapshot()["slot_changes"]
-    return c.select("block_number", _number("address").cast("int").alias("address"), _text("slot").alias("slot"), "existed", _number("pre_value").alias("pre_value"))
+    return c.select("block_number", _number("address").alias("address"), _text("slot").alias("slot"), "existed", _number("pre_value").alias("pre_value"))
 
 
 @query(
@@ -117,13 +117,13 @@ FROM (SELECT block_number, address, {DELETED} AS gone, lag(CASE WHEN NOT ({DELET
 )
 def _(t: View) -> DataFrame:
     c = _state(t, 14).snapshot()["account_changes"]
-    return c.select("block_number", _number("address").cast("int").alias("address"), "existed", "pre_nonce", _number("pre_balance").alias("pre_balance"))
+    return c.select("block_number", _number("address").alias("address"), "existed", "pre_nonce", _number("pre_balance").alias("pre_balance"))
 
 
 @query("engine_slot_history", "SELECT address, slot, string_agg(CAST(block_number AS VARCHAR), ',' ORDER BY block_number) AS blocks FROM changed GROUP BY ALL", slot_events=_EVENTS, changed=_CHANGED)
 def _(t: View) -> DataFrame:
     i = _state(t, 5, 14).snapshot()["slot_history"]
-    return i.select(_number("address").cast("int").alias("address"), _text("slot").alias("slot"), F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",").alias("blocks"))
+    return i.select(_number("address").alias("address"), _text("slot").alias("slot"), F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",").alias("blocks"))
 
 
 @query("engine_unwind", _SLOTS.format(8), slot_events=_EVENTS)
@@ -160,7 +160,7 @@ def _(t: View) -> DataFrame:
 def _(t: View) -> DataFrame:
     asked = t["slot_state"].select(_address("address").alias("address"), _slot("slot").alias("slot"))
     found = _engine(t).view(12).values(asked)
-    return found.select(_number("address").cast("int").alias("address"), _text("slot").alias("slot"), _number("value").alias("value"))
+    return found.select(_number("address").alias("address"), _text("slot").alias("slot"), _number("value").alias("value"))
 
 
 @query("engine_block_hashes", "SELECT n AS block_number, CASE WHEN n <= (SELECT max(block_number) FROM written) THEN n + 1 ELSE 0 END AS block_hash FROM (VALUES (0), (7), (999999)) v(n)")
