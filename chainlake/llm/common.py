@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _scratch_roots: dict[str, str] = {}
+_writing = threading.Lock()
+_writers: dict[str, list] = {}
 
 
 def tune(spark: SparkSession) -> None:
@@ -116,19 +119,28 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and lost executors cost no recomputation.
 
-    The shuffle files that writing it took are given back as soon as it is there.
+    The shuffle files that writing it took are given back as soon as it is there: a setting of the session
+    that holds while any thread writes, and is as it was when the last one is done.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    app = spark.sparkContext.applicationId
+    with _writing:
+        held = _writers.setdefault(app, [0, None])
+        if not held[0]:
+            held[1] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        held[0] += 1
     try:
         return _write(spark, df, path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        with _writing:
+            held[0] -= 1
+            if not held[0]:
+                if held[1] is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, held[1])
 
 
 def _write(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
@@ -145,8 +157,31 @@ def discard(*tables: DataFrame) -> None:
 
 
 def lookup(df: DataFrame) -> DataFrame:
-    """A narrow table to join texts with: broadcast if it is counted to be small, so that the texts stay where they are."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A narrow table that `written` made, to join with: broadcast if it is counted to be small, so that the other side stays where it is.
+
+    Beyond that both sides are shuffled, and as both come straight from tables AQE may split a hot key.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def remembered(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:
+    """Bytes that are made once for all sessions that share a folder: read from there, or made and put there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{os.path.dirname(scratch_root(spark))}/made-{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+    data = make()
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(part, False)
+    stream.write(bytearray(data))
+    stream.close()
+    if fs.exists(path) or not fs.rename(part, path):
+        fs.delete(part, False)
+    return data
 
 
 def _delete(spark: SparkSession, name: str) -> None:
