@@ -138,7 +138,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int
 
     The centroids come from about per_label distinct texts with a letter a label (chosen by text hash,
     all of a smaller label, one at least), the document frequencies from all rows. Every label is
-    learned, each in a task of its own; the model takes 32 KB a centroid.
+    learned, each in a task of its own; the model takes 32 KB a centroid. Repeated rows count towards the
+    frequencies; an empty table, or one without labels, gives a model without centroids.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
@@ -206,11 +207,12 @@ def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
 
     pred is the label of the nearest centroid, `und` where text is null or has no letter (or nothing
     was learned); score the share that label's cosine has among all labels', sharpened; chance the
-    cosine that as many grams dealt at random would have; the numbers are 0 for `und`. A tie goes to the label that sorts first. If docs has a column `out` it is replaced.
+    cosine that as many grams dealt at random would have; the numbers are 0 for `und`. A tie goes to the
+    label that sorts first. Whole texts count, very long ones piece by piece; repeated rows stay, and an
+    empty table stays empty. If docs has a column `out`, in any case of letters, it is replaced.
     """
     tune(docs.sparkSession)
-    if out in docs.columns:
-        docs = docs.drop(out)
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("pred", pa.string()), ("score", pa.float64()), ("cosine", pa.float64()), ("chance", pa.float64())])
     nothing = {"pred": "und", "score": 0.0, "cosine": 0.0, "chance": 0.0}
@@ -245,7 +247,10 @@ def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
 
 
 def cutoffs(found: DataFrame, out: str = "language", at: float = REJECT_AT) -> dict[str, float]:
-    """By label the cosine under which a text is far: from the mean and deviation of log-cosine over all its rows."""
+    """By predicted label the cosine under which a text is far: from the mean and deviation of log-cosine over all rows given.
+
+    Give rows that may be learned from. A label that none of them is predicted to have rejects nothing.
+    """
     lc = F.log(F.greatest(F.col(f"{out}.cosine"), F.lit(1e-6)))
     stats = found.where(F.col(f"{out}.pred") != "und").groupBy(F.col(f"{out}.pred").alias("label")).agg(F.avg(lc).alias("mean"), F.coalesce(F.stddev_pop(lc), F.lit(0.0)).alias("dev")).collect()
     return {r["label"]: float(np.exp(r["mean"] - at * max(r["dev"], 0.1))) for r in stats}
@@ -264,15 +269,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = fit(docs.where(~held))
-    found = written(classify(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text"), "language")
-    cut = cutoffs(found.where("NOT held_out"))
+    taught = ~held & F.col("lang").isNotNull()
+    found = written(classify(docs.select("doc_id", "text", held.alias("held_out"), taught.alias("taught")), model).drop("text"), "language")
+    cut = cutoffs(found.where("taught"))
     return found.select("doc_id", "held_out", F.col("language.pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.cosine").alias("cosine"), F.col("language.chance").alias("chance"), rejected(cut).alias("rejected"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language: those with a letter that aren't far from every centroid."""
+    """Keeps the documents that have a language: those with a letter that aren't far from every centroid.
+
+    Null, empty and letterless texts go, repeated rows share their fate, and an empty table stays empty.
+    Without any labelled row only what has no letter is told and goes. Columns and their names stay.
+    """
     out = fresh(docs, "language")
     model = fit(docs)
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     # the cutoffs need all distances first; classifying twice is cheaper than storing the texts in between
-    cut = cutoffs(classify(docs.select("text"), model, out=out), out)
+    cut = cutoffs(classify(docs.where("lang IS NOT NULL").select("text"), model, out=out), out)
     return classify(docs, model, out=out).where(~rejected(cut, out)).select(*docs.columns)
