@@ -19,12 +19,12 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing.stage),
 ]
 
-#: SQL can express neither the classifier nor the network; tests hold each stage against brute force.
+#: SQL can express neither the classifier nor the network; tests/llm holds each stage against its plain counterpart.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of what the stages keep of `documents`."""
+    """The mix of what the stages keep of `documents`: their rows, with how often each is taken."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
