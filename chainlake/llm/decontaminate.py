@@ -5,9 +5,10 @@ pattern. Patterns are word sequences, so the automaton has a node a word, and a
 once, word by word; stretches of words that no pattern has are stepped over. Hits come back as word
 indices and are mapped to code-point offsets of the original text.
 
-The automaton travels to the executors. Its size is counted first: beyond `max_window_words` the
-windows are dealt by hash into blocks that each stay below, and the documents pass one block after
-another, adding to their hits, in one narrow chain without a shuffle.
+The automaton travels to the executors. Its size is counted first. Beyond `max_window_words` the
+windows stay a distributed table: a bit filter of fixed size over their hashes tells where a document
+may hold one, these places' hashes are joined with the windows', and each batch of documents is scanned
+with one automaton over the windows that its own documents may hold. No task then holds more than that.
 """
 
 from __future__ import annotations
@@ -18,19 +19,28 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, arrow_schema, fresh, read_table, tune, utf8, with_columns
+from .common import alnum_words, arrow_schema, fresh, read_table, tune, utf8, with_columns, written
 
 WINDOW = 10
 MAX_WINDOW_WORDS = 1_000_000
+#: Bits of the filter over a large benchmark, and how many of them a window sets: 32 MB wherever it goes.
+FILTER_BITS, FILTER_HASHES = 1 << 28, 4
+#: Words whose hash a worker remembers.
+REMEMBERED = 200_000
 
 _ORIGINAL_WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
-_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS)])
+_HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _built: dict[str, tuple] = {}
+_hashes: dict[bytes, int] = {}
 
 
 def windows(items: DataFrame, text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
@@ -53,21 +63,18 @@ def windows(items: DataFrame, text: str = "text", item_id: str = "item_id", size
     return flat.groupBy("window", "words").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def _automaton(block: str, patterns: list[tuple[str, list[str]]]) -> tuple:
-    """Word numbers and the automaton over them; a pattern's value is (length, number of its pattern)."""
+def automaton(patterns: list[str]) -> tuple:
+    """Word numbers, the automaton over them, and the least pattern; a pattern's value is (length, its number)."""
     import ahocorasick
 
-    if block not in _built:
-        _built.clear()
-        number: dict[bytes, int] = {}
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, (window, _) in enumerate(patterns):
-            key = tuple(number.setdefault(w, len(number) + 1) for w in window.encode().split())
-            machine.add_word(key, (len(key), k))
-        if patterns:
-            machine.make_automaton()
-        _built[block] = number, machine, min((x.count(" ") + 1 for x, _ in patterns), default=0)
-    return _built[block]
+    number: dict[bytes, int] = {}
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for k, window in enumerate(patterns):
+        key = tuple(number.setdefault(w, len(number) + 1) for w in window.encode().split())
+        machine.add_word(key, (len(key), k))
+    if patterns:
+        machine.make_automaton()
+    return number, machine, min((x.count(" ") + 1 for x in patterns), default=0)
 
 
 def scan(words: list[bytes], number: dict[bytes, int], machine, least: int) -> Iterator[tuple[int, int, int]]:
@@ -98,6 +105,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _marked(body: str | None, raw: bytes, built: tuple, ids: list[list[str]]) -> dict:
+    """One text's row of `out`: the automaton's hits as numbers, items and offsets."""
+    words = alnum_words(raw)
+    spans, seen = [], set()
+    if words and ids:
+        for s, e, k in scan(words, *built):
+            spans.append((s, e))
+            seen.add(k)
+    places, n_hit = [], 0
+    if spans:
+        at = [m.span() for m in _ORIGINAL_WORD.finditer(body)]
+        for s, e in merged(spans):
+            n_hit += e - s
+            places.append({"start": at[s][0], "end": at[e - 1][1]})
+    return {"n_words": len(words), "n_hit": n_hit, "item_ids": sorted({x for k in seen for x in ids[k]}), "spans": places}
+
+
 def mark(
     docs: DataFrame,
     items: DataFrame,
@@ -113,73 +137,124 @@ def mark(
     n_hit counts the words inside any occurrence of a window, item_ids lists the items whose windows
     occur (as strings, sorted, distinct), spans are the merged hit stretches as code-point offsets of
     the original text, end exclusive. Null text has no words; items with null ids hit but aren't
-    listed; items with equal ids are one item; empty items have no window. If docs has a column
-    `out` it is replaced.
+    listed; items with equal ids are one item; empty items have no window; an empty benchmark hits
+    nothing, and an empty table stays empty. Whole texts are read, however long; repeated rows stay and
+    equal texts get equal hits. If docs has a column `out`, in any case of letters, it is replaced.
     """
     spark = docs.sparkSession
     tune(spark)
-    found = windows(items, item_text, item_id, size).persist()
+    found = written(windows(items, item_text, item_id, size), "windows")
     total = found.agg(F.sum("words")).first()[0] or 0
-    blocks = max(1, -(-total // max_window_words))
-    if out in docs.columns:
-        docs = docs.drop(out)
-    raw, ids, count = fresh(docs, "hit_words"), fresh(docs, "hit_items"), fresh(docs, "hit_count")
-    passed = docs
-    for k in range(blocks):
-        mine = found.where(F.expr(f"pmod(xxhash64(window), {blocks}) = {k}")) if blocks > 1 else found
-        patterns = [(r["window"], r["ids"]) for r in mine.select("window", "ids").orderBy("window").toLocalIterator()]
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, patterns))
-        passed = _pass(passed, text, raw, ids, count, shared, first=k == 0)
-    found.unpersist()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.drop(out)
+    if total > max_window_words:
+        return _mark_large(docs, found, text, out)
+    patterns = [(r["window"], r["ids"]) for r in found.select("window", "ids").orderBy("window").toLocalIterator()]
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, patterns))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, patterns = shared.value
+        if key not in _built:
+            _built.clear()
+            _built[key] = automaton([w for w, _ in patterns]), [x for _, x in patterns]
+        built, ids = _built[key]
         for b in batches:
-            rows = []
-            hit = zip(b.column(text).to_pylist(), b.column(raw).to_pylist(), b.column(ids).to_pylist(), b.column(count).to_pylist(), strict=True)
-            for body, flat, names, n in hit:
-                spans, n_hit = [], 0
-                if flat:
-                    at = [m.span() for m in _ORIGINAL_WORD.finditer(body)]
-                    for s, e in merged(list(zip(flat[::2], flat[1::2], strict=True))):
-                        n_hit += e - s
-                        spans.append({"start": at[s][0], "end": at[e - 1][1]})
-                rows.append({"n_words": n, "n_hit": n_hit, "item_ids": sorted(set(names)), "spans": spans})
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-            yield with_columns(b.select([c for c in b.schema.names if c not in (raw, ids, count)]), {out: pa.array(rows, kind)})
+            rows = [_marked(body, raw, built, ids) for body, raw in zip(b.column(text).to_pylist(), utf8(b.column(text)), strict=True)]
+            yield with_columns(b, {out: pa.array(rows, _HITS_ARROW)})
+
+    return docs.mapInArrow(go, arrow_schema(docs, (out, _HITS)))
+
+
+# -- a benchmark too large for one automaton --------------------------------------------------
+
+
+def rolled(words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """The 64-bit hashes of every run of each size in words."""
+    if len(_hashes) > REMEMBERED:
+        _hashes.clear()
+    known = list(map(_hashes.get, words))
+    for i, k in enumerate(known):
+        if k is None:
+            known[i] = _hashes[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+    ids, out = np.array(known, np.uint64), []
+    for n in sizes:
+        end = max(0, len(ids) - n + 1)
+        h = np.full(end, n, np.uint64)
+        for k in range(n if end else 0):
+            h = (h ^ ids[k : k + end]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(h)
+    return out
+
+
+def filter_bits(h: np.ndarray) -> Iterator[np.ndarray]:
+    """The bits that each hash sets, one array after another."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(FILTER_HASHES):
+        yield ((h + np.uint64(k) * step) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
-    hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", _SPAN)])
-    return passed.mapInArrow(place, arrow_schema(docs, (out, hits)))
 
+def _keys(text: str) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.crc32(F.col(text).cast("binary"))
 
-def _pass(docs: DataFrame, text: str, raw: str, ids: str, count: str, shared, first: bool) -> DataFrame:
-    kinds = {raw: pa.list_(pa.int64()), ids: pa.list_(pa.string()), count: pa.int64()}
+
+def _mark_large(docs: DataFrame, found: DataFrame, text: str, out: str) -> DataFrame:
+    spark = docs.sparkSession
+    sizes = sorted(r["words"] for r in found.select("words").distinct().collect())
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [int(rolled(w.split(), [n])[0].view(np.int64)[0]) for w, n in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True)]
+            yield with_columns(b, {"wh": pa.array(h, pa.int64())})
+
+    named = written(found.select("window", "words", "ids").mapInArrow(hashed, "window string, words int, ids array<string>, wh long"), "hashed")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate(list(filter_bits(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["slot", "bits"])
+
+    # what reaches the driver is bounded by the filter: a row for each of its words
+    made = named.select("wh").mapInArrow(slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[made["slot"].to_numpy()] = made["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            hs, cs, ws = [], [], []
+            for h, c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
+                for runs in rolled(alnum_words(raw), sizes):
+                    inside = np.ones(len(runs), bool)
+                    for at in filter_bits(runs):
+                        inside &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+                    w = np.unique(runs[inside])
+                    hs += [h] * len(w)
+                    cs += [c] * len(w)
+                    ws.append(w)
+            w = (np.concatenate(ws) if ws else np.zeros(0, np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(cs, pa.int64()), pa.array(w)], names=["h", "c", "wh"])
+
+    h, c = _keys(text)
+    maybe = docs.select(h.alias("h"), c.alias("c"), F.col(text)).mapInArrow(candidates, "h long, c long, wh long").distinct()
+    mine = written(maybe, "candidates").join(named, "wh").groupBy("h", "c").agg(F.collect_list(F.struct("window", "ids")).alias("mine"))
+    names = [fresh(docs, x) for x in ("hit_h", "hit_c", "hit_windows")]
+    mine = written(mine, "per-text").toDF(*names)
+    h, c = _keys(text)
+    joined = docs.join(mine, (h == F.col(names[0])) & (c == F.col(names[1])), "left").select(*docs.columns, names[2])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, patterns = shared.value
-        number, machine, least = _automaton(block, patterns)
         for b in batches:
-            n = b.num_rows
-            old = [[[] for _ in range(n)] for _ in "ab"] if first else [b.column(c).to_pylist() for c in (raw, ids)]
-            flat, names, counts = [], [], []
-            for body, f, g in zip(utf8(b.column(text)), *old, strict=True):
-                words = alnum_words(body)
-                counts.append(len(words))
-                if patterns and words:
-                    spans, seen = [], set()
-                    for s, e, k in scan(words, number, machine, least):
-                        spans.append((s, e))
-                        seen.add(k)
-                    if spans:
-                        f = [x for span in merged(spans) for x in span] + f
-                        g = sorted({*g, *(x for k in seen for x in patterns[k][1])})
-                flat.append(f)
-                names.append(g)
-            new = dict(zip(kinds, (pa.array(x, kinds[c]) for c, x in zip(kinds, (flat, names, counts), strict=True)), strict=True))
-            kept = b if first else b.select([c for c in b.schema.names if c not in kinds])
-            yield with_columns(kept, new)
-
-    base = docs if first else docs.drop(*kinds)
-    return docs.mapInArrow(go, arrow_schema(base, (raw, T.ArrayType(T.LongType())), (ids, T.ArrayType(T.StringType())), (count, T.LongType())))
+            held: dict[str, list[str]] = {}
+            for row in b.column(b.num_columns - 1).to_pylist():
+                held |= {x["window"]: x["ids"] for x in row or ()}
+            built, ids = automaton(list(held)), list(held.values())
+            texts = b.column(text)
+            rows = [_marked(body, raw, built, ids) for body, raw in zip(texts.to_pylist(), utf8(texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _HITS_ARROW)], names=[*b.schema.names[:-1], out])
+
+    return joined.mapInArrow(go, arrow_schema(docs, (out, _HITS)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +272,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark window; the others pass unchanged."""
+    """Drops the documents that hold a benchmark window; the others pass unchanged.
+
+    Null and empty texts hold none and stay, repeated rows share their fate, an empty benchmark drops
+    nothing, and an empty table stays empty.
+    """
     out = fresh(docs, "hits")
     marked = mark(docs, read_table(spark, sf_dir, "benchmark"), out=out)
     return marked.where(F.col(f"{out}.n_hit") == 0).select(*docs.columns)
