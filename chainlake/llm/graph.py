@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, lookup, written
 
 
 class Forest:
@@ -80,8 +80,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
     Alternating large and small stars: edges are re-hung on smaller neighbours until nothing changes,
-    after some log(nodes) rounds. A round is two aggregations with partial sums and two joins that AQE
-    may split, so a hub needs no task of its own; each round is a table in the shared folder.
+    after some log(nodes) rounds. A round is two aggregations with partial sums and two joins with what
+    they found, a row a node: that is a table by then, broadcast if counted small, and beyond that both
+    sides of the join come straight from tables, so that AQE may split a hub. A hub needs no task of its own.
     """
     now = written(_contract(edges.where("a <> b")).where("a <> b").distinct(), "edges")
     seen = None
@@ -92,11 +93,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = (state["n"], state["s"])
         # large star: the larger neighbours of each node to its smallest neighbour or itself
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(lookup(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "large")
+        discard(least, now)
         # small star: each node and its smaller neighbours to the smallest of these
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = down.join(lookup(low), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
         small = small.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         now = written(small.distinct(), "edges")
+        discard(large, low)

@@ -9,21 +9,25 @@ of the H - M + 1 rarest of either. So only that prefix is posted, and tokens tha
 (most of them) fill it without being posted at all. A passage that many documents hold makes common
 tokens, which come last: it posts nothing. Skip: in a posting list only pairs whose sizes allow the
 similarity, that collide in M coordinates, and whose classes the list hasn't joined yet go on. Each
-list leaves a spanning forest, never all its pairs; long lists are compared in pairs of blocks.
+list leaves a spanning forest, never all its pairs.
 
-The forests' components are candidate groups. Their whole shingle sets are then compared exactly, in
-blocks again, skipping pairs that are already connected, which leaves the components exact as well.
+The forests' components are candidate groups. Their whole shingle sets are then compared exactly,
+skipping pairs that are already connected, which leaves the components exact as well.
+
+Long lists and groups are compared block by block, then by one class of each of their components, and
+then only the classes outside a list's main component with all the others: a template with very many
+near copies, which its blocks' representatives join into one component, is not compared pair by pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, lookup, read_table, space_words, tune, utf8, written
@@ -90,7 +94,7 @@ def signatures(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, group: str, parts: int, bytes_of: str | None = None) -> DataFrame:
-    """members once for each pair of blocks of its group that it takes part in, sorted by group and pair.
+    """members once for each pair of blocks of its group that it takes part in, sorted by group and pair: all pairs, for exact counts.
 
     Adds block columns x <= y and mine (the member's own block). A group of one block comes once.
     """
@@ -106,17 +110,89 @@ def in_blocks(members: DataFrame, group: str, parts: int, bytes_of: str | None =
     return m.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
+def forests(members: DataFrame, group: str, parts: int, compare: Callable, columns: Sequence[str], bytes_of: str | None = None) -> DataFrame:
+    """Edges (a, b) between classes of a group: as many as join all that compare links, directly or not.
+
+    members (group, cls and what compare reads) is a table. compare takes rows (group, x, y, cls, ...,
+    mine, root), sorted by group and block pair x <= y, and links the pairs of one block, or those across
+    two, whose roots differ. Groups of one block are compared at once. Of larger ones each block is
+    compared by itself; then the smallest class of each component found so far stands for it, and these
+    are compared in the same way, as long as they get fewer; at last the classes outside the largest
+    component of their group are compared with all others, as nothing less is exact.
+    """
+    every = ["x", "y", *columns, "mine", "root"]
+
+    def size(of: Column) -> Column:
+        """Blocks for the rows of a group that `of` is true of."""
+        n = F.ceil(F.count_if(of) / BLOCK)
+        return (F.greatest(n, F.ceil(F.sum(F.when(of, F.col(bytes_of))) / BLOCK_BYTES)) if bytes_of else n).cast("int")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        dealt = rows.select(group, *every).repartition(parts, group, "x", "y").sortWithinPartitions(group, "x", "y")
+        return dealt.mapInArrow(compare, "a binary, b binary")
+
+    def alone(rows: DataFrame, number: Column) -> DataFrame:
+        return rows.select("*", number.alias("x"), number.alias("y"), number.alias("mine"))
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
+
+    def added(edges: DataFrame, found: DataFrame) -> DataFrame:
+        both = written(edges.unionByName(found), "near")
+        discard(edges)
+        return both
+
+    everything = F.lit(True)
+    large = lookup(written(members.groupBy(group).agg(size(everything).alias("blocks")).where("blocks > 1"), "large"))
+    small = members.join(large, group, "left_anti").withColumn("root", F.col("cls"))
+    edges = written(compared(alone(small, F.lit(0))), "near")
+    if not large.limit(1).count():
+        return edges
+    rooted = written(members.join(large, group).withColumn("root", F.col("cls")), "rooted")
+    level, left = rooted, rooted.count()
+    while True:
+        edges = added(edges, compared(alone(level, block("blocks"))))
+        roots = lookup(written(components(edges), "roots"))
+        rooted = written(rooted.drop("root").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node"), "rooted")
+        first = rooted.groupBy(group, "root").agg(F.min("cls").alias("cls")).select(group, "cls")
+        reps = written(rooted.drop("blocks").join(first, [group, "cls"], "left_semi"), "reps")
+        blocks = reps.groupBy(group).agg(size(everything).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "blocks")
+        level = written(reps.join(lookup(written(blocks, "blocks")), group), "level")
+        now = level.count()
+        if not now:
+            return edges
+        if now > 0.7 * left:
+            break
+        left = now
+    # the classes of other components than their group's largest, with all of the group
+    per = rooted.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = per.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "main")
+    some = written(rooted.drop("blocks").join(lookup(written(mains, "mains")), group), "rest")
+    cuts = some.groupBy(group).agg(size(everything).alias("ys"), size(F.col("root") != F.col("main")).alias("xs"))
+    some = some.join(lookup(written(cuts, "cuts")), group)
+    # block x of the others against block y of all: numbered so that x stands before every y
+    others = some.where("root <> main").withColumn("mine", block("xs")).withColumn("x", F.col("mine")).withColumn("y", F.explode(F.expr("sequence(xs, xs + ys - 1)")))
+    all_ = some.withColumn("mine", F.col("xs") + block("ys")).withColumn("y", F.col("mine")).withColumn("x", F.explode(F.expr("sequence(0, xs - 1)")))
+    return added(edges, compared(others.select(group, *every).unionByName(all_.select(group, *every))))
+
+
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
+def _joined(roots: pa.ChunkedArray) -> tuple[Forest, list[int]]:
+    """A forest over numbers for the roots that classes have already, and each row's number."""
+    number: dict[bytes, int] = {}
+    return Forest(), [number.setdefault(r, len(number)) for r in roots.to_pylist()]
+
+
 def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, x, y, cls, n_shingles, tokens, mine): pairs that share enough, as a forest of each list."""
+    """Rows (token, x, y, cls, n_shingles, tokens, mine, root): pairs that share enough, as a forest of each list."""
     out: list[tuple[bytes, bytes]] = []
     for (_, x, y), t in sorted_groups(batches, 3):
         names, own = t["cls"].to_pylist(), t["mine"].to_numpy()
         n, sig = t["n_shingles"].to_numpy(), np.concatenate([c.flatten().to_numpy() for c in t["tokens"].chunks]).reshape(len(names), -1)
-        f = Forest()
+        f, at = _joined(t["root"])
         for i in range(1, len(names)):
             fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
@@ -125,7 +201,7 @@ def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
             if len(js):
                 js = js[(sig[js] == sig[i]).sum(1) >= least_shared]
             for j in js:
-                if f.join(int(j), i):
+                if f.join(at[j], at[i]):
                     out.append((names[j], names[i]))
         if len(out) > 50_000:
             yield _edges(out)
@@ -134,16 +210,17 @@ def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
 
 
 def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, x, y, cls, n_shingles, shingles, tokens, mine): exact links, as a forest of each group."""
+    """Rows (candidates, x, y, cls, n_shingles, shingles, tokens, mine, root): exact links, as a forest of each group."""
     out: list[tuple[bytes, bytes]] = []
     for (_, x, y), t in sorted_groups(batches, 3):
         names, own, n = t["cls"].to_pylist(), t["mine"].to_numpy(), t["n_shingles"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
         sig = np.concatenate([c.flatten().to_numpy() for c in t["tokens"].chunks]).reshape(len(names), -1)
-        distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+        distinct, numbers = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(n)
-        dense = np.split(at, ends[:-1])
-        mark, f = np.zeros(len(distinct), np.int32), Forest()
+        dense = np.split(numbers, ends[:-1])
+        mark = np.zeros(len(distinct), np.int32)
+        f, at = _joined(t["root"])
         for i in range(1, len(names)):
             fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
@@ -155,11 +232,11 @@ def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
                 continue
             mark[dense[i]] = 1
             for j in js:
-                if f.find(int(j)) == f.find(i):
+                if f.find(at[j]) == f.find(at[i]):
                     continue
                 both = int(mark[dense[j]].sum())
                 if both * 100 >= percent * int(n[i] + n[j] - both):
-                    f.join(int(j), i)
+                    f.join(at[j], at[i])
                     out.append((names[j], names[i]))
             mark[dense[i]] = 0
         if len(out) > 50_000:
@@ -176,7 +253,8 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
 
     component_id is the smallest doc_id reachable over links, the row's own if it has none. Null and
     empty texts have no shingles, cls null, and are linked with nothing. Equal texts are linked. Null
-    ids are linked too but never name a component unless all its ids are null. Only the text and id
+    ids are linked too but never name a component unless all its ids are null. Repeated rows are rows of
+    their own; whole texts count, however long; an empty table gives an empty result. Only the text and id
     columns are read.
     """
     spark = docs.sparkSession
@@ -195,35 +273,33 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     room = F.greatest(F.lit(HASHES - least_shared + 1 - HASHES) + F.size("own"), F.lit(0))
     prefix = own.select("cls", F.explode(F.slice("own", F.lit(1), room)).alias("t")).select("cls", "t.token")
     postings = written(prefix.join(classes.select("cls", "n_shingles", "tokens"), "cls"), "postings")
-    lists = in_blocks(postings, "token", parts).select("token", "x", "y", "cls", "n_shingles", "tokens", "mine")
-    near = lists.mapInArrow(partial(_list_forest, percent=percent, least_shared=least_shared), "a binary, b binary")
+    near = forests(postings, "token", parts, partial(_list_forest, percent=percent, least_shared=least_shared), ["cls", "n_shingles", "tokens"])
     groups = written(components(near), "groups")
     discard(postings)
 
     # the whole texts of the candidate classes: one row of each, found by its id and hash
-    wanted = written(groups.join(classes, groups["node"] == classes["cls"]).select("root", "cls", F.col("first.doc_id").alias("id"), F.col("first.text_md5").alias("md5")), "wanted")
+    wanted = written(groups.join(classes, groups["node"] == classes["cls"]).select(F.col("root").alias("candidates"), "cls", F.col("first.doc_id").alias("id"), F.col("first.text_md5").alias("md5")), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in utf8(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([8 * len(s) for s in sets], pa.int64()), pa.array([tokens(s) for s in sets], pa.list_(pa.int64()))],
-                names=["root", "cls", "n_shingles", "shingles", "bytes", "tokens"],
+                names=["candidates", "cls", "n_shingles", "shingles", "bytes", "tokens"],
             )
 
     match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_md5"))
-    texts = base.join(lookup(wanted), match).select("root", "cls", "text")
-    sets = texts.mapInArrow(whole, "root binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
-    sets = written(sets, "sets")
-    exact = in_blocks(sets.dropDuplicates(["cls"]), "root", parts, "bytes").select("root", "x", "y", "cls", "n_shingles", "shingles", "tokens", "mine")
-    links = written(exact.mapInArrow(partial(_group_forest, percent=percent, least_shared=least_shared), "a binary, b binary"), "links")
+    texts = base.join(lookup(wanted), match).select("candidates", "cls", "text")
+    sets = texts.mapInArrow(whole, "candidates binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
+    sets = written(sets.dropDuplicates(["cls"]), "sets")
+    links = forests(sets, "candidates", parts, partial(_group_forest, percent=percent, least_shared=least_shared), ["cls", "n_shingles", "shingles", "tokens"], "bytes")
     discard(sets)
     linked = components(links)
 
     named = classes.select("cls", "least").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "root").select(F.col("cls").alias("of"), "component_id")
+    least = lookup(written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least"))
+    by_class = lookup(written(named.join(least, "root").select(F.col("cls").alias("of"), "component_id"), "by-class"))
     return rows.join(by_class, F.col("cls") == F.col("of"), "left").select("doc_id", "text_md5", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

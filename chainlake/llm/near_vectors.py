@@ -7,7 +7,8 @@ meet in some table with probability 0.9999 (with 16 tables 0.992); unrelated one
 one table with 1e-5.
 
 Equal vectors with equal labels are one class with a count. Buckets of one class drop out before any
-vector is moved. Large buckets are compared in pairs of blocks; a pair counts only in the first
+vector is moved, and of buckets of several tables that hold the same classes all but the first: its
+pairs have met there. Large buckets are compared in pairs of blocks; a pair counts only in the first
 table in which it meets, so links are counted once; of a bucket's links only the counts and a
 spanning forest leave the task.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_parts, tune, written
+from .common import lookup, read_table, shuffle_parts, tune, written
 from .graph import Forest, components, sorted_groups
 from .near_text import in_blocks
 
@@ -128,6 +129,8 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     directly, copies included; component_id is the smallest key reachable, the row's own if it has no
     link. Null labels, and vectors that are null, empty, zero or hold null or non-finite components,
     link with nothing. Null keys are linked but don't name a component unless all its keys are null.
+    Repeated rows are rows of their own, linked with one another; an empty table gives an empty result.
+    Only the three columns are read.
     """
     spark = vectors.sparkSession
     tune(spark)
@@ -138,9 +141,12 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     rows = written(hashed, "vectors")
     valid = rows.where("cls IS NOT NULL")
     classes = written(valid.groupBy("cls").agg(F.min("vec").alias("vec"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("members"), F.min("key").alias("least")), "classes")
-    posted = classes.select("cls", F.explode("tokens").alias("token"))
-    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    met = written(posted.join(met, "token"), "met")
+    posted = classes.select("cls", F.posexplode("tokens").alias("nth", "token"))
+    # two sums of hashes name a bucket's classes
+    name = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")).alias(f"name{k}") for k in (1, 2)]
+    buckets = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("nth"), *name).where("n > 1")
+    first = buckets.groupBy("n", "name1", "name2").agg(F.min_by("token", F.struct("nth", "token")).alias("token")).select("token")
+    met = written(posted.select("cls", "token").join(first, "token"), "met")
     blocks = in_blocks(met, "token", parts).join(classes.select("cls", "vec", "tokens", F.col("members").alias("members")), "cls")
     keys = ["token", "x", "y"]
     blocks = blocks.select(*keys, "cls", "members", "vec", "tokens", "mine").repartition(parts, *keys).sortWithinPartitions(*keys)
@@ -149,8 +155,8 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     counts = found.where("other IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     named = classes.select("cls", "members", "least").join(counts, "cls", "left").join(linked, F.col("cls") == F.col("node"), "left")
     named = written(named.select("cls", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "cls").alias("root")), "named")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(smallest, "root").select(F.col("cls").alias("of"), "n_links", "component_id")
+    smallest = lookup(written(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest"))
+    by_class = lookup(written(named.join(smallest, "root").select(F.col("cls").alias("of"), "n_links", "component_id"), "by-class"))
     out = rows.select("key", "cls").join(by_class, F.col("cls") == F.col("of"), "left")
     return out.select(
         F.col("key").alias(key),
