@@ -4,23 +4,24 @@ Every 200-byte window of a text is dealt to its minimizer, the 32-byte string in
 hash; consecutive windows with one minimizer make a segment. Equal windows have equal minimizers, so
 they meet in the same anchor group wherever they are, and only anchors that occur twice go on.
 
-Segments that occur twice as a whole are folded to one with a count: all their windows repeat. For
-anchors with several different segments a suffix index over the segments is built, group by group:
-suffix order by rank doubling, the Burrows-Wheeler transform run-compressed, and samples kept at run
-heads and ends only. Longest matches are computed at the samples and streamed through the text: a
-position inside a run matches one byte less than the position before it. Windows whose matching
-statistic, with the suffix before or after, is 200 or more repeat. Repetitive segments make long
-runs, so few samples are compared.
-
-A group beyond GROUP_BYTES (one string in a great many contexts) isn't indexed in one task: its
-windows are counted by their hashes, with partial sums, instead.
+Segments that occur twice as a whole, by two 64-bit hashes (of the anchor and of the segment), are folded
+to one with a count: all their windows repeat. For anchors with several different segments a suffix index
+over the segments is built, group by group: suffix order by rank doubling, the Burrows-Wheeler transform
+run-compressed, and samples kept at run heads and ends only. Longest matches are computed at the samples
+and streamed through the text: a position inside a run matches one byte less than the position before it.
+Windows whose matching statistic, with the suffix before or after, is 200 or more repeat. Repetitive
+segments make long runs, so few samples are compared.
+
+A large group (one string in a great many contexts) is dealt anew before it is indexed: windows that hold
+the anchor at nearly the same place share 167 bytes, and segments meet by those. A string of 167 bytes in
+more contexts than a group may have is left to counting: its windows meet by their own 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, read_table, shuffle_parts, tune, utf8, written
+from .common import discard, fresh, lookup, read_table, shuffle_parts, tune, utf8, written
 from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
-#: Bytes of texts taken together, of segments indexed together, and of one group at most.
-BATCH_BYTES, INDEX_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 4 << 20
+#: Bytes of texts taken together and of segments indexed together; bytes and segments of one group at most.
+BATCH_BYTES, INDEX_BYTES, GROUP_BYTES, GROUP_ROWS = 1 << 20, 1 << 20, 4 << 20, 1000
 REACH = 34
+#: Texts whose hash a task remembers, to cut copies once.
+REMEMBERED = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -220,25 +223,34 @@ def _runs(mask: np.ndarray) -> list[int]:
     return np.stack([np.flatnonzero(d == 1), np.flatnonzero(d == -1)], axis=1).ravel().tolist()
 
 
-def promising(held: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
-    """The segments (anchor, segment, bytes, place of the anchor) that may share a window with another of their anchor.
+def strips(anchor: int, s: bytes, at: int) -> Iterator[tuple[int, int]]:
+    """(x, hash) of the strings that a segment's windows share with whatever holds one of them.
 
-    A window reaches x bytes to the left of its anchor and LENGTH - SEED - x to the right of it. For x in
-    a stretch of REACH values it holds what the least x gives on the left and the greatest on the right:
-    segments that share a window share that string, for one of a few stretches.
+    A window reaches x bytes to the left of its anchor (at `at`) and LENGTH - SEED - x to the right of it.
+    For x in a stretch of REACH values it holds what the least x gives on the left and the greatest on the
+    right: segments of one anchor that share a window share that string, for one of a few stretches.
     """
+    for x in range(0, LENGTH - SEED + 1, REACH):
+        right = at + SEED + max(0, LENGTH - SEED - x - REACH + 1)
+        if at >= x and right <= len(s):
+            yield x, xxhash.xxh3_64_intdigest(s[at - x : right] + anchor.to_bytes(8, "little", signed=True), seed=x) - (1 << 63)
+
+
+def promising(held: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+    """The segments (anchor, segment, bytes, place of the anchor) that may share a window with another of their anchor."""
     seen: dict[tuple, list[int]] = defaultdict(list)
     for k, (anchor, _, s, at) in enumerate(held):
-        for x in range(0, LENGTH - SEED + 1, REACH):
-            right = at + SEED + max(0, LENGTH - SEED - x - REACH + 1)
-            if at >= x and right <= len(s):
-                seen[anchor, x, xxhash.xxh3_64_intdigest(s[at - x : right])].append(k)
+        for key in strips(anchor, s, at):
+            seen[key].append(k)
     good = {k for ks in seen.values() if len(ks) > 1 for k in ks}
     return [held[k] for k in sorted(good)]
 
 
+_MARKED = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.list_(pa.int64()))])
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, bytes, seed), sorted by anchor, to (anchor, segment, windows): runs of windows that repeat."""
+    """Rows (group, anchor, segment, bytes, seed), sorted by group, to (anchor, segment, windows): runs of windows that repeat."""
     held: list[tuple[int, int, bytes, int]] = []
     size = 0
 
@@ -251,10 +263,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if runs:
                 rows.append((anchor, segment, runs))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["anchor", "segment", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_MARKED)], schema=_MARKED)
 
-    for (anchor,), t in sorted_groups(batches, 1):
-        held += zip([anchor] * t.num_rows, t["segment"].to_pylist(), t["bytes"].to_pylist(), t["seed"].to_pylist(), strict=True)
+    for _, t in sorted_groups(batches, 1):
+        held += zip(*(t[c].to_pylist() for c in ("anchor", "segment", "bytes", "seed")), strict=True)
         size += sum(len(x[2]) for x in held[-t.num_rows :])
         if size >= INDEX_BYTES:
             yield index()
@@ -263,27 +275,69 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield index()
 
 
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, segment, bytes, seed) to a row for each strip: (anchor, segment, x, strip)."""
+    for b in batches:
+        rows = [(anchor, segment, x, strip) for anchor, segment, s, at in zip(*(c.to_pylist() for c in b.columns), strict=True) for x, strip in strips(anchor, s, at)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["anchor", "segment", "x", "strip"])
+
+
 def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, bytes) to a row for each window: (anchor, segment, at, window), window being a hash."""
+    """Rows (anchor, segment, bytes, seed, x) to a row for each window of stretch x: (anchor, segment, at, window), window being a hash."""
     for b in batches:
-        for anchor, segment, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            n = len(s) - LENGTH + 1
+        for anchor, segment, s, seed, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lo, hi = max(0, seed - x - REACH + 1), min(len(s) - LENGTH, seed - x)
+            n = max(0, hi - lo + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(np.arange(n)), pa.array([xxhash.xxh3_128_digest(s[i : i + LENGTH]) for i in range(n)], pa.binary())],
+                [pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(np.arange(lo, lo + n)), pa.array([xxhash.xxh3_128_digest(s[i : i + LENGTH]) for i in range(lo, lo + n)], pa.binary())],
                 names=["anchor", "segment", "at", "window"],
             )
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, c, text) without those that a task has passed on already, as far as it remembers."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        keep = []
+        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64())) if len(keep) < b.num_rows else b
+
+
 def _joined_runs(at: list[int]) -> list[int]:
     mask = np.zeros(max(at) + 1, bool)
     mask[at] = True
     return _runs(mask)
 
 
-def repeated(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _crowded(cut: DataFrame, parts: int, group_rows: int) -> DataFrame:
+    """Marks of segments whose anchors have too many of them for one index."""
+    kinds = "anchor long, segment long"
+    found = written(cut.select("anchor", "segment", "bytes", "seed").mapInArrow(_stripped, f"{kinds}, x long, strip long"), "strips")
+    sizes = written(found.groupBy("strip").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "strip-sizes")
+    met = written(found.join(lookup(sizes), "strip").join(cut, ["anchor", "segment"]).select("strip", "anchor", "segment", "bytes", "seed", "x", "n"), "strip-members")
+    few = met.where(F.col("n") <= group_rows).select("strip", "anchor", "segment", "bytes", "seed")
+    indexed = few.repartition(parts, "strip").sortWithinPartitions("strip", "anchor", "segment").mapInArrow(_repeats, f"{kinds}, windows array<long>")
+    windows = written(met.where(F.col("n") > group_rows).select("anchor", "segment", "bytes", "seed", "x").mapInArrow(_hashed_windows, f"{kinds}, at long, window binary"), "windows")
+    again = written(windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window"), "again")
+    at = windows.join(lookup(again), "window").groupBy("anchor", "segment").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([_joined_runs(x) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))], names=["anchor", "segment", "windows"])
+
+    return indexed.unionByName(at.mapInArrow(runs, f"{kinds}, windows array<long>"))
+
+
+def repeated(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(h, c, marks) for each text of docs with repeated windows: marks are array of struct(anchor, segment, windows).
 
     h and c are hashes of the text (64 and 32 bits); windows is null if all windows of the segment repeat.
+    A segment may come several times, with different windows.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -299,24 +353,18 @@ def repeated(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> Data
     distinct = written(distinct, "distinct")
 
     wanted = distinct.where("mixed").groupBy(F.col("of.h").alias("wh"), F.col("of.c").alias("wc")).agg(F.collect_list(F.struct("anchor", "segment")).alias("wanted"))
-    # one row for each text: copies would cut the same segments again
-    texts = base.join(wanted, (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))).select("text", "wanted")
-    cut = written(texts.mapInArrow(_cut, "anchor long, segment long, bytes binary, seed long"), "segments").dropDuplicates(["anchor", "segment"])
-    sizes = cut.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor")
-    large = written(sizes, "large")
+    # a task passes each text on once, so a text of very many copies is a row a task, not a row a copy
+    once = base.mapInArrow(_first_of_each, base.schema)
+    texts = once.join(wanted, (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))).select("text", "wanted")
+    cut = written(texts.mapInArrow(_cut, "anchor long, segment long, bytes binary, seed long").dropDuplicates(["anchor", "segment"]), "segments")
+    sizes = cut.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"), F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where((F.col("size") > group_bytes) | (F.col("n") > group_rows)).select("anchor"), "large")
     some = large.limit(1).count() > 0
-    usual = cut.join(large, "anchor", "left_anti") if some else cut
-    indexed = usual.select("anchor", "segment", "bytes", "seed").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, segment long, windows array<long>")
+    usual = cut.join(lookup(large), "anchor", "left_anti") if some else cut
+    usual = usual.select(F.col("anchor").alias("group"), "anchor", "segment", "bytes", "seed")
+    indexed = usual.repartition(parts, "group").sortWithinPartitions("group", "segment").mapInArrow(_repeats, "anchor long, segment long, windows array<long>")
     if some:
-        windows = written(cut.join(large, "anchor", "left_semi").select("anchor", "segment", "bytes").mapInArrow(_hashed_windows, "anchor long, segment long, at long, window binary"), "windows")
-        again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
-        at = windows.join(again, "window").groupBy("anchor", "segment").agg(F.sort_array(F.collect_list("at")).alias("at"))
-
-        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([_joined_runs(x) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))], names=["anchor", "segment", "windows"])
-
-        indexed = indexed.unionByName(at.mapInArrow(runs, "anchor long, segment long, windows array<long>"))
+        indexed = indexed.unionByName(_crowded(written(cut.join(lookup(large), "anchor", "left_semi"), "crowded"), parts, group_rows))
     whole = distinct.where("n > 1").select("anchor", "segment", F.lit(None).cast("array<long>").alias("windows"))
     single = distinct.where("n = 1 AND mixed").select("anchor", "segment")
     marks = written(whole.unionByName(indexed.join(single, ["anchor", "segment"])), "marks")
@@ -327,6 +375,16 @@ def _key(text: str):
     return F.xxhash64(text).alias("h"), F.crc32(F.col(text).cast("binary")).alias("c")
 
 
+def _by_segment(marks: Iterable[dict]) -> dict[tuple[int, int], list[int] | None]:
+    """Runs of repeated windows by segment; None if all repeat. A segment's runs from several groups are put together."""
+    out: dict[tuple[int, int], list[int] | None] = {}
+    for x in marks:
+        key, runs = (x["anchor"], x["segment"]), x["windows"]
+        before = out.get(key, [])
+        out[key] = None if runs is None or before is None else before + runs
+    return out
+
+
 def covered(texts: list[bytes], marks: list[dict[tuple[int, int], list[int] | None]]) -> list[np.ndarray]:
     """For each text which of its bytes lie in a repeated window."""
     edges = [np.zeros(len(t) + 1, np.int32) if m else None for t, m in zip(texts, marks, strict=True)]
@@ -340,18 +398,18 @@ def covered(texts: list[bytes], marks: list[dict[tuple[int, int], list[int] | No
     return [np.zeros(len(t), bool) if e is None else np.cumsum(e[:-1]) > 0 for t, e in zip(texts, edges, strict=True)]
 
 
-def strip(docs: DataFrame, text: str = "text", out: str = "dedup", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def strip(docs: DataFrame, text: str = "text", out: str = "dedup", group_bytes: int = GROUP_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs with struct(n_bytes, spans, kept) in `out`; every row and column is kept.
 
     spans: array of struct(start, end), the maximal stretches of bytes covered by 200-byte strings that
     also start elsewhere in the table, kept: the remaining bytes (binary: a cut may split a character).
-    Null counts as empty; texts under 200 bytes keep everything; repeated rows repeat each other.
-    If docs has a column `out` it is replaced.
+    Null counts as empty; texts under 200 bytes keep everything; repeated rows repeat each other. Whole
+    texts are read, however long; an empty table stays empty. If docs has a column `out`, in any case of
+    letters, it is replaced.
     """
-    if out in docs.columns:
-        docs = docs.drop(out)
+    docs = docs.drop(out)
     names = [fresh(docs, x) for x in ("dedup_h", "dedup_c", "dedup_marks")]
-    marks = written(repeated(docs, text, group_bytes), "marked").toDF(*names)
+    marks = written(repeated(docs, text, group_bytes, group_rows), "marked").toDF(*names)
     h, c = _key(text)
     on = (h == F.col(names[0])) & (c == F.col(names[1]))
     joined = docs.join(marks, on, "left").select(*docs.columns, names[2])
@@ -362,7 +420,7 @@ def strip(docs: DataFrame, text: str = "text", out: str = "dedup", group_bytes:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
                 texts = utf8(b.column(text))
-                mine = [{(x["anchor"], x["segment"]): x["windows"] for x in m or ()} for m in b.column(b.num_columns - 1).to_pylist()]
+                mine = [_by_segment(m or ()) for m in b.column(b.num_columns - 1).to_pylist()]
                 rows = []
                 for t, gone in zip(texts, covered(texts, mine), strict=True):
                     runs = _runs(gone)
