@@ -61,3 +61,9 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, LONG), (6, "same text
 @pytest.fixture(scope="session")
 def odd(docs_of):
     return docs_of(ODD)
+
+
+def kept_all(df, docs):
+    """Whether df has docs' columns first, in order and unambiguous."""
+    names = [c.lower() for c in df.columns]
+    return df.columns[: len(docs.columns)] == docs.columns and len(names) == len(set(names))

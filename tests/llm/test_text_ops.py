@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainlake.llm import common, decontaminate, language, licenses, pii, registry, toxicity
-from tests.llm.conftest import KINDS, ODD
+from tests.llm.conftest import KINDS, ODD, kept_all
 
 QUERIES = registry.QUERIES
 
@@ -90,6 +90,57 @@ def test_every_label_is_learned_however_many(spark):
     assert model.labels == sorted(names)
 
 
+def test_language_against_brute_force(spark, documents):
+    """Every prediction is the label of the nearest of all centroids, and its score and cutoff follow from the cosines."""
+    model = language.fit(documents)
+    got = language.classify(documents, model).select("doc_id", "text", "lang", "language.*").collect()
+    cut = language.cutoffs(language.classify(documents.where("lang IS NOT NULL"), model))
+    logs: dict = {}
+    for r in got:
+        tf = np.zeros(language.BUCKETS)
+        t = (r["text"] or "").lower()
+        for size, seed in ((2, 0x1B873593), (3, 0xCC9E2D51)):
+            for i in range(len(t) - size + 1):
+                g = [ord(c) if c.isalpha() else 32 for c in t[i : i + size]]
+                if g[0] == 32 and g[-1] == 32:
+                    continue
+                h = seed
+                for p in g:
+                    h = ((h ^ p) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                tf[h >> 19] += 1
+        if not any(c.isalpha() for c in t):
+            assert r["pred"] == "und" and r["score"] == 0
+            continue
+        x = np.sqrt(tf) * model.idf
+        x /= np.linalg.norm(x)
+        cos = [float(x @ c) for c in model.centroids]
+        best = {n: max(c for c, k in zip(cos, model.labels, strict=True) if k == n) for n in set(model.labels)}
+        top = max(best.values())
+        assert top - best[r["pred"]] < 1e-5 and abs(r["cosine"] - top) < 1e-5
+        assert abs(r["score"] - 1 / sum(np.exp(language.SHARPNESS * (b - top)) for b in best.values())) < 1e-3
+        if r["lang"] is not None:
+            logs.setdefault(r["pred"], []).append(np.log(max(r["cosine"], 1e-6)))
+    for n, v in logs.items():
+        assert abs(cut[n] - np.exp(np.mean(v) - language.REJECT_AT * max(np.std(v), 0.1))) < 1e-4
+
+
+def test_language_learns_from_labelled_rows_only(spark, documents, table_dir):
+    """Rows without a label change neither a prediction nor a cutoff."""
+    extra = documents.where("doc_id < 40").selectExpr("doc_id + 4000000 AS doc_id", "reverse(text) AS text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    a = {r["doc_id"]: tuple(r) for r in QUERIES["op1_language"](spark, table_dir(documents)).collect()}
+    b = {r["doc_id"]: tuple(r) for r in QUERIES["op1_language"](spark, table_dir(documents.unionByName(extra))).collect()}
+    assert all(b[k] == v for k, v in a.items()) and len(b) > len(a)
+
+
+def test_a_column_in_other_letters_is_replaced(spark, documents):
+    docs = documents.limit(5).withColumn("Language", F.lit(1)).withColumn("TOXICITY", F.lit(1)).withColumn("License", F.lit(1)).withColumn("Hits", F.lit(1)).withColumn("Pii", F.lit(1))
+    for out, made in (("language", language.classify(docs, language.fit(documents))), ("toxicity", toxicity.score(docs, toxicity.train([], np.zeros(0), 0.5))), ("license", licenses.scan(docs)), ("hits", decontaminate.mark(docs, spark.createDataFrame([(1, "a")], "item_id long, text string"))), ("pii", pii.detect(docs))):
+        left = docs.drop(out)
+        assert kept_all(made, left) and made.columns[-1] == out and len(made.columns) == len(left.columns) + 1
+        assert made.count() == 5
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
@@ -126,6 +177,50 @@ def test_rare_words_and_balanced_pairs_are_learned():
     assert np.mean(right[told[3000:]]) > 0.8
 
 
+@pytest.mark.parametrize(("insult", "group"), [(0.25, 0.5), (0.5, 0.25), (0.1, 0.1)])
+def test_words_that_only_tell_as_a_pair(insult, group):
+    """Marked is who has exactly one of the two words."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for _ in range(6000):
+        a, b = rng.random() < insult, rng.random() < group
+        rows.append(toxicity.features(" ".join([*(f"w{k}" for k in rng.integers(0, 500, 12)), *["insult"] * a, *["group"] * b]).encode()))
+        labels.append(float(a != b))
+    labels = np.array(labels)
+    model = toxicity.train(rows[:5000], labels[:5000], labels.mean())
+    assert np.mean((model.raw(rows[5000:]) >= 0) == labels[5000:]) > 0.98
+
+
+def test_pairs_in_few_texts():
+    """Two words in a twentieth of the texts each, balanced alone."""
+    rng = np.random.default_rng(12)
+    rows, labels, told = [], [], []
+    for _ in range(9000):
+        k = int(np.searchsorted([0.025, 0.05, 0.075], rng.random()))
+        rows.append(toxicity.features(" ".join([*(f"w{j}" for j in rng.integers(0, 500, 12)), *["insult"] * (k in (0, 1)), *["group"] * (k in (1, 2))]).encode()))
+        labels.append(float(k in (0, 2)) if k < 3 else float(rng.random() < 0.5))
+        told.append(k < 3)
+    labels, told = np.array(labels), np.array(told)
+    model = toxicity.train(rows[:7500], labels[:7500], 0.5)
+    assert np.mean(((model.raw(rows[7500:]) >= 0) == labels[7500:])[told[7500:]]) > 0.95
+
+
+def test_toxicity_accuracy_and_formula(spark, documents):
+    """Held-out labels of the larger tables, and each score by the formula, pair by pair."""
+    big = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op2_toxicity"](spark, big).collect()}
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in marks.collect() if r["toxic"] is not None and got[r["doc_id"]]["held_out"]]
+    toxic = [p for p, y in held if y == 1]
+    assert len(held) > 300 and np.mean([p == y for p, y in held]) > 0.95 and np.mean(toxic) > 0.7
+    model = toxicity.fit(docs, marks)
+    some = documents.limit(60)
+    for r in toxicity.score(some, model, out="TOX").collect():
+        at = [i for b in toxicity.features((r["text"] or "").encode()) for i in np.flatnonzero(model.buckets == b)]
+        raw = model.bias + sum(model.weight[i] for i in at) + sum(float(model.factor[i] @ model.factor[j]) for n, i in enumerate(at) for j in at[:n])
+        assert abs(r["TOX"] - 1 / (1 + np.exp(-raw))) < 1e-6
+
+
 def test_toxicity_columns(spark, sf_dir):
     got = QUERIES["op2_toxicity"](spark, sf_dir).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
@@ -166,6 +261,23 @@ def test_licenses_against_brute_force(spark, docs_of, pairs, table_dir, odd):
     assert by[10_000]["n_base"] == 3 and by[10_004]["labels"] == "gpl-3" and by[10_003]["labels"] == "apache-2,cc-by-nc"
 
 
+def test_license_texts_are_told_by_their_postings(spark, docs_of):
+    mit = next(t for n, t, k in licenses.TEMPLATES if n == "mit" and len(t.split()) > 100)
+    changed = mit.replace("merchantability", "merchandise")
+    docs = docs_of([(1, "Some head. " + mit.upper().replace(" ", ", ") + " tail"), (2, changed), (3, "permission is granted"), (4, mit + " " + mit), (5, "general public " * 50), (6, "permission is hereby not granted free of charge to any person obtaining a copy")])
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert [(h["label"], h["start"], h["score"]) for h in got[1]["hits"]] == [("mit", 2, 1.0)]
+    assert [(h["label"], 0.98 < h["score"] < 1) for h in got[2]["hits"]] == [("mit", True)]
+    assert [h["start"] for h in got[4]["hits"]] == [0, len(mit.split())] and not got[3]["hits"] and not got[5]["hits"] and not got[6]["hits"]
+    for name, t, k in licenses.TEMPLATES:
+        assert f" {k} " in f" {t} ", name
+
+
+def test_license_postings_are_the_rarest_words():
+    df = {"a": 5, "b": 1, "c": 3, "d": 1}
+    assert licenses.postings({"x": ["a", "b", "c", "d"], "y": ["a"], "z": ["a", "c", "a"]}, df) == {"x": [("b", 1), ("d", 3)], "y": [("a", 0)], "z": [("c", 1), ("a", 0)]}
+
+
 def test_license_plan_is_native(spark, documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -199,6 +311,18 @@ def test_windows_in_blocks_and_offsets(spark, docs_of):
         assert len(covered) == n_hit
 
 
+def test_a_benchmark_beyond_one_automaton(spark, docs_of, sf_dir, pairs):
+    """The distributed windows give what the single automaton does, on the given tables and on odd rows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = docs_of([*pairs, *ODD]).withColumn("hit_windows", F.lit(7)).withColumn("hit_h", F.lit(7))
+    one = decontaminate.mark(docs, items)
+    many = decontaminate.mark(docs, items, max_window_words=100)
+    assert kept_all(many, docs) and many.columns == one.columns
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", repr(r["hits"]))
+    assert sorted(map(key, many.collect())) == sorted(map(key, one.collect()))
+    assert decontaminate.mark(docs.limit(0), items, max_window_words=100).count() == 0
+
+
 def test_decontamination_stage(spark, docs_of, sf_dir):
     item = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 15)
     docs = docs_of([(1, f"before {item} after"), (2, "a clean text"), (3, None)]).withColumn("hits", F.lit("clash"))
@@ -222,6 +346,40 @@ def test_patterns_against_plain_expressions(pieces):
     assert hashlib.sha256(pii.joined(found).encode()).hexdigest() == sha
 
 
+def test_numbers_of_very_many_digits():
+    for part in ("0" * 5000 + ".1.2.3", "1.2.3." + "0" * 5000 + "255", "9" * 5000 + ".1.2.3"):
+        found = pii.pattern_spans(part)
+        assert ({k: sum(f[0] == k for f in found) for k in pii.KINDS}, hashlib.sha256(pii.joined(found).encode()).hexdigest()) == pii.brute(part)
+    assert [k for k, _, _ in pii.pattern_spans("0" * 5000 + ".1.2.3")] == ["ip"] and pii.plausible("ip", "0" * 5000 + ". 1.2.3")
+
+
+def test_personal_data_query_against_brute_force(spark, docs_of, pairs, table_dir, net):
+    """All columns of the query: counts and digest by plain expressions, spans with what the network adds."""
+    more = ["mail a.b@c.de or 10.0.0.1, +1 (555) 010-4477 4539578763621486 before noon", "0" * 5000 + ".1.2.3", "call +49 30 1234567 or 4111 1111 1111 1111", "x@y.z " * 400]
+    docs = {**dict(pairs), **{10_000 + i: t for i, t in enumerate(more)}}
+    got = {r["doc_id"]: r for r in QUERIES["op4_pii"](spark, table_dir(docs_of([*docs.items(), *((k, t) for k, t in ODD if k is None)]))).collect() if r["doc_id"] is not None}
+    assert got.keys() == docs.keys()
+    added = 0
+    for k, t in docs.items():
+        counts, sha = pii.brute(t)
+        (base, more), = pii.find_spans([t or ""], net)
+        added += len(more)
+        assert {n: got[k][f"n_{n}"] for n in pii.KINDS} == counts and got[k]["base_sha256"] == sha
+        assert got[k]["spans"] == pii.joined(base + more)
+        assert all(s[2] <= x[1] or s[1] >= x[2] for s in more for x in base)
+    assert added
+
+
+def test_the_network_is_trained_once(spark):
+    calls = []
+    for _ in range(2):
+        assert common.remembered(spark, "test-bytes", lambda: calls.append(1) or b"abc") == b"abc"
+    assert calls == [1]
+    net = pii.Network.new(np.random.default_rng(3))
+    again = pii.loaded(pii.saved(net))
+    assert all((again.p[k] == v).all() and again.p[k].dtype == v.dtype for k, v in net.p.items())
+
+
 def test_patterns_on_hostile_texts():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 50_000, "+1" * 50_000, "1 " * 50_000):
         pii.pattern_spans(text)  # linear: ends at once
