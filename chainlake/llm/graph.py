@@ -23,12 +23,16 @@ class Forest:
             up[x] = x = up.get(p, p)
         return x
 
-    def join(self, a, b) -> bool:
+    def absorb(self, a, b) -> tuple | None:
+        """Joins two members: (the root that stays, the root that is one no more), or None if they were joined."""
         a, b = self.find(a), self.find(b)
         if a == b:
-            return False
+            return None
         self.up[max(a, b)] = min(a, b)
-        return True
+        return min(a, b), max(a, b)
+
+    def join(self, a, b) -> bool:
+        return self.absorb(a, b) is not None
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -80,9 +84,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
     Alternating large and small stars: edges are re-hung on smaller neighbours until nothing changes,
-    after some log(nodes) rounds. A round is two aggregations with partial sums and two joins with what
-    they found, a row a node: that is a table by then, broadcast if counted small, and beyond that both
-    sides of the join come straight from tables, so that AQE may split a hub. A hub needs no task of its own.
+    after some log(nodes) rounds. A round is two aggregations with partial sums and two joins with what they
+    found, a row a node. The first is where a hub's edges would meet: what is joined there is a table by then,
+    broadcast if counted small, and beyond that both sides come straight from tables, so that AQE may split
+    the hub. Behind it edges hang on their smallest neighbours, and no node has many smaller ones.
     """
     now = written(_contract(edges.where("a <> b")).where("a <> b").distinct(), "edges")
     seen = None
@@ -94,12 +99,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: the larger neighbours of each node to its smallest neighbour or itself
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = written(both.where("v > u").join(lookup(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "large")
-        discard(least, now)
+        large = both.where("v > u").join(lookup(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # small star: each node and its smaller neighbours to the smallest of these
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = down.join(lookup(low), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
         small = small.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = written(small.distinct(), "edges")
-        discard(large, low)
+        last, now = now, written(small.distinct(), "edges")
+        discard(least, last)

@@ -93,14 +93,12 @@ def signatures(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return docs.select(*keys, text).mapInArrow(go, f"{kinds}, n_shingles long, cls binary, tokens array<long>")
 
 
-def in_blocks(members: DataFrame, group: str, parts: int, bytes_of: str | None = None) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, parts: int, most: int | None = None) -> DataFrame:
     """members once for each pair of blocks of its group that it takes part in, sorted by group and pair: all pairs, for exact counts.
 
-    Adds block columns x <= y and mine (the member's own block). A group of one block comes once.
+    Adds block columns x <= y and mine (the member's own block, of some most members). A group of one block comes once.
     """
-    size = F.ceil(F.count(F.lit(1)) / BLOCK)
-    if bytes_of:
-        size = F.greatest(size, F.ceil(F.sum(bytes_of) / BLOCK_BYTES))
+    size = F.ceil(F.count(F.lit(1)) / (most or BLOCK))
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("members"), size.cast("int").alias("blocks")).where("members > 1").drop("members")
     m = members.join(sizes, group).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -111,14 +109,15 @@ def in_blocks(members: DataFrame, group: str, parts: int, bytes_of: str | None =
 
 
 def forests(members: DataFrame, group: str, parts: int, compare: Callable, columns: Sequence[str], bytes_of: str | None = None) -> DataFrame:
-    """Edges (a, b) between classes of a group: as many as join all that compare links, directly or not.
+    """Edges (grp, a, b) between classes: as many as join all that compare links, directly or not.
 
     members (group, cls and what compare reads) is a table. compare takes rows (group, x, y, cls, ...,
     mine, root), sorted by group and block pair x <= y, and links the pairs of one block, or those across
-    two, whose roots differ. Groups of one block are compared at once. Of larger ones each block is
-    compared by itself; then the smallest class of each component found so far stands for it, and these
-    are compared in the same way, as long as they get fewer; at last the classes outside the largest
-    component of their group are compared with all others, as nothing less is exact.
+    two, whose roots differ; it gives an edge for each join of two components in its block pair, with the
+    root that is one no more as b. Groups of one block are compared at once. Of larger ones each block is
+    compared by itself; then the roots that are left stand for their components, and these are compared in
+    the same way, as long as they get fewer; at last the classes outside the largest component of their
+    group are compared with all others, as nothing less is exact.
     """
     every = ["x", "y", *columns, "mine", "root"]
 
@@ -129,7 +128,7 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.select(group, *every).repartition(parts, group, "x", "y").sortWithinPartitions(group, "x", "y")
-        return dealt.mapInArrow(compare, "a binary, b binary")
+        return dealt.mapInArrow(compare, f"grp {members.schema[group].dataType.simpleString()}, a binary, b binary")
 
     def alone(rows: DataFrame, number: Column) -> DataFrame:
         return rows.select("*", number.alias("x"), number.alias("y"), number.alias("mine"))
@@ -137,62 +136,61 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
     def block(of: str) -> Column:
         return F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
 
-    def added(edges: DataFrame, found: DataFrame) -> DataFrame:
-        both = written(edges.unionByName(found), "near")
-        discard(edges)
-        return both
-
     everything = F.lit(True)
     large = lookup(written(members.groupBy(group).agg(size(everything).alias("blocks")).where("blocks > 1"), "large"))
     small = members.join(large, group, "left_anti").withColumn("root", F.col("cls"))
     edges = written(compared(alone(small, F.lit(0))), "near")
     if not large.limit(1).count():
         return edges
-    rooted = written(members.join(large, group).withColumn("root", F.col("cls")), "rooted")
-    level, left = rooted, rooted.count()
+    whole = written(members.join(large, group).withColumn("root", F.col("cls")), "whole")
+    level, left = whole, whole.count()
     while True:
-        edges = added(edges, compared(alone(level, block("blocks"))))
-        roots = lookup(written(components(edges), "roots"))
-        rooted = written(rooted.drop("root").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node"), "rooted")
-        first = rooted.groupBy(group, "root").agg(F.min("cls").alias("cls")).select(group, "cls")
-        reps = written(rooted.drop("blocks").join(first, [group, "cls"], "left_semi"), "reps")
-        blocks = reps.groupBy(group).agg(size(everything).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "blocks")
-        level = written(reps.join(lookup(written(blocks, "blocks")), group), "level")
+        found = written(compared(alone(level, block("blocks"))), "near")
+        edges = edges.unionByName(found)
+        joined = found.select(F.col("grp").alias(group), F.col("b").alias("cls"))
+        roots = written(level.drop("blocks").join(lookup(joined, found.count()), [group, "cls"], "left_anti"), "roots")
+        blocks = roots.groupBy(group).agg(size(everything).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "blocks")
+        level = written(roots.join(lookup(written(blocks, "blocks")), group), "level")
         now = level.count()
         if not now:
             return edges
         if now > 0.7 * left:
             break
         left = now
+    reached = lookup(written(components(edges), "reached"))
+    rooted = written(whole.drop("root", "blocks").join(reached, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node"), "rooted")
     # the classes of other components than their group's largest, with all of the group
     per = rooted.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
     mains = per.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "main")
-    some = written(rooted.drop("blocks").join(lookup(written(mains, "mains")), group), "rest")
+    some = written(rooted.join(lookup(written(mains, "mains")), group), "rest")
     cuts = some.groupBy(group).agg(size(everything).alias("ys"), size(F.col("root") != F.col("main")).alias("xs"))
     some = some.join(lookup(written(cuts, "cuts")), group)
     # block x of the others against block y of all: numbered so that x stands before every y
     others = some.where("root <> main").withColumn("mine", block("xs")).withColumn("x", F.col("mine")).withColumn("y", F.explode(F.expr("sequence(xs, xs + ys - 1)")))
     all_ = some.withColumn("mine", F.col("xs") + block("ys")).withColumn("y", F.col("mine")).withColumn("x", F.explode(F.expr("sequence(0, xs - 1)")))
-    return added(edges, compared(others.select(group, *every).unionByName(all_.select(group, *every))))
+    return edges.unionByName(compared(others.select(group, *every).unionByName(all_.select(group, *every))))
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+def _edges(found: list[tuple]) -> pa.RecordBatch:
+    """Some edges as rows; there must be one, which tells the kind of group."""
+    group = pa.int64() if isinstance(found[0][0], int) else pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((group, pa.binary(), pa.binary()))], names=["grp", "a", "b"])
 
 
-def _joined(roots: pa.ChunkedArray) -> tuple[Forest, list[int]]:
-    """A forest over numbers for the roots that classes have already, and each row's number."""
+def _joined(column: pa.ChunkedArray) -> tuple[Forest, list[bytes], list[int]]:
+    """A forest over numbers for the roots that classes have already, the roots by number, and each row's number."""
     number: dict[bytes, int] = {}
-    return Forest(), [number.setdefault(r, len(number)) for r in roots.to_pylist()]
+    at = [number.setdefault(r, len(number)) for r in column.to_pylist()]
+    return Forest(), list(number), at
 
 
 def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, x, y, cls, n_shingles, tokens, mine, root): pairs that share enough, as a forest of each list."""
-    out: list[tuple[bytes, bytes]] = []
-    for (_, x, y), t in sorted_groups(batches, 3):
+    out: list[tuple] = []
+    for (key, x, y), t in sorted_groups(batches, 3):
         names, own = t["cls"].to_pylist(), t["mine"].to_numpy()
         n, sig = t["n_shingles"].to_numpy(), np.concatenate([c.flatten().to_numpy() for c in t["tokens"].chunks]).reshape(len(names), -1)
-        f, at = _joined(t["root"])
+        f, roots, at = _joined(t["root"])
         for i in range(1, len(names)):
             fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
@@ -201,18 +199,19 @@ def _list_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
             if len(js):
                 js = js[(sig[js] == sig[i]).sum(1) >= least_shared]
             for j in js:
-                if f.join(at[j], at[i]):
-                    out.append((names[j], names[i]))
+                if gone := f.absorb(at[j], at[i]):
+                    out.append((key, roots[gone[0]], roots[gone[1]]))
         if len(out) > 50_000:
             yield _edges(out)
             out = []
-    yield _edges(out)
+    if out:
+        yield _edges(out)
 
 
 def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared: int) -> Iterator[pa.RecordBatch]:
     """Rows (candidates, x, y, cls, n_shingles, shingles, tokens, mine, root): exact links, as a forest of each group."""
-    out: list[tuple[bytes, bytes]] = []
-    for (_, x, y), t in sorted_groups(batches, 3):
+    out: list[tuple] = []
+    for (key, x, y), t in sorted_groups(batches, 3):
         names, own, n = t["cls"].to_pylist(), t["mine"].to_numpy(), t["n_shingles"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
         sig = np.concatenate([c.flatten().to_numpy() for c in t["tokens"].chunks]).reshape(len(names), -1)
@@ -220,7 +219,7 @@ def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
         ends = np.cumsum(n)
         dense = np.split(numbers, ends[:-1])
         mark = np.zeros(len(distinct), np.int32)
-        f, at = _joined(t["root"])
+        f, roots, at = _joined(t["root"])
         for i in range(1, len(names)):
             fits = np.minimum(n[:i], n[i]) * 100 >= percent * np.maximum(n[:i], n[i])
             if x != y:
@@ -235,14 +234,14 @@ def _group_forest(batches: Iterator[pa.RecordBatch], percent: int, least_shared:
                 if f.find(at[j]) == f.find(at[i]):
                     continue
                 both = int(mark[dense[j]].sum())
-                if both * 100 >= percent * int(n[i] + n[j] - both):
-                    f.join(at[j], at[i])
-                    out.append((names[j], names[i]))
+                if both * 100 >= percent * int(n[i] + n[j] - both) and (gone := f.absorb(at[j], at[i])):
+                    out.append((key, roots[gone[0]], roots[gone[1]]))
             mark[dense[i]] = 0
         if len(out) > 50_000:
             yield _edges(out)
             out = []
-    yield _edges(out)
+    if out:
+        yield _edges(out)
 
 
 def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, least_shared: int = LEAST_SHARED) -> DataFrame:
