@@ -30,6 +30,8 @@ from .near_text import in_blocks
 
 LEAST_COSINE = 0.98
 TABLES, PROJECTIONS, WIDTH = 32, 16, 2.0
+#: Members of a block of a bucket.
+BLOCK = 400
 
 _planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -147,7 +149,7 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     buckets = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("nth"), *name).where("n > 1")
     first = buckets.groupBy("n", "name1", "name2").agg(F.min_by("token", F.struct("nth", "token")).alias("token")).select("token")
     met = written(posted.select("cls", "token").join(first, "token"), "met")
-    blocks = in_blocks(met, "token", parts).join(classes.select("cls", "vec", "tokens", F.col("members").alias("members")), "cls")
+    blocks = in_blocks(met, "token", parts, BLOCK).join(classes.select("cls", "vec", "tokens", F.col("members").alias("members")), "cls")
     keys = ["token", "x", "y"]
     blocks = blocks.select(*keys, "cls", "members", "vec", "tokens", "mine").repartition(parts, *keys).sortWithinPartitions(*keys)
     found = written(blocks.mapInArrow(_links(least), "cls binary, other binary, links long"), "links")

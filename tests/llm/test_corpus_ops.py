@@ -306,7 +306,7 @@ def test_near_vectors_in_blocks(spark, monkeypatch, block):
     rng = np.random.default_rng(13)
     base = rng.normal(size=16)
     rows = [(i, (base + rng.normal(size=16) * 0.08).tolist(), 1) for i in range(80)]
-    monkeypatch.setattr(near_text, "BLOCK", block)
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
     got = near_vectors.group(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
     want, found = near_vectors.brute(rows), vectors_of(got)
     assert sum(v[0] for v in found.values()) >= 0.995 * sum(v[0] for v in want.values())
@@ -340,7 +340,7 @@ def test_matching_statistics():
         assert best[starts[k] + i] == longest
 
 
-@pytest.mark.parametrize(("group_bytes", "group_rows"), [(suffixes.GROUP_BYTES, suffixes.GROUP_ROWS), (300, 1000), (1 << 20, 3), (300, 1)])
+@pytest.mark.parametrize(("group_bytes", "group_rows"), [(suffixes.GROUP_BYTES, suffixes.GROUP_ROWS), (300, 250), (1 << 20, 3), (300, 1)])
 def test_suffixes_on_hard_texts(spark, docs_of, group_bytes, group_rows):
     rng = np.random.default_rng(21)
     word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
