@@ -35,7 +35,7 @@ from .graph import sorted_groups
 
 LENGTH, SEED = 200, 32
 #: Bytes of texts taken together and of segments indexed together; bytes and segments of one group at most.
-BATCH_BYTES, INDEX_BYTES, GROUP_BYTES, GROUP_ROWS = 1 << 20, 1 << 20, 4 << 20, 1000
+BATCH_BYTES, INDEX_BYTES, GROUP_BYTES, GROUP_ROWS = 1 << 20, 1 << 20, 4 << 20, 250
 REACH = 34
 #: Texts whose hash a task remembers, to cut copies once.
 REMEMBERED = 500_000
