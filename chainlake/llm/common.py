@@ -35,13 +35,31 @@ _writers: dict[str, list] = {}
 
 def tune(spark: SparkSession) -> None:
     """Bounds the batches that go to Python workers, by rows and by bytes, so that long texts don't add up."""
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
         now = str(spark.conf.get(name, None) or "")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, with a worker's free memory given back to the machine as batches go by: workers live on behind a task."""
+
+    def go(batches: Iterator) -> Iterator:
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for n, b in enumerate(work(batches), 1):
+            yield b
+            if n % 16 == 0:
+                pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+    return go
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, below, crc_mod, discard, fresh, place, read_table, share_below, shuffle_parts, tune, with_columns, written
+from .common import arrow_schema, below, crc_mod, discard, fresh, place, read_table, released, share_below, shuffle_parts, tune, with_columns, written
 from .graph import sorted_groups
 
 BUCKETS = 8192
@@ -243,7 +243,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
             yield with_columns(b, {out: pa.array(rows, kind)})
 
     made = T.StructType([T.StructField("pred", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "cosine", "chance"))])
-    return docs.mapInArrow(go, arrow_schema(docs, (out, made)))
+    return docs.mapInArrow(released(go), arrow_schema(docs, (out, made)))
 
 
 def cutoffs(found: DataFrame, out: str = "language", at: float = REJECT_AT) -> dict[str, float]:

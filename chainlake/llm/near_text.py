@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, lookup, read_table, space_words, tune, utf8, written
+from .common import discard, fresh, lookup, read_table, released, space_words, tune, utf8, written
 from .graph import Forest, components, sorted_groups
 
 WORDS = 5
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
             )
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, text).mapInArrow(go, f"{kinds}, n_shingles long, cls binary, tokens array<long>")
+    return docs.select(*keys, text).mapInArrow(released(go), f"{kinds}, n_shingles long, cls binary, tokens array<long>")
 
 
 def in_blocks(members: DataFrame, group: str, parts: int, most: int | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.select(group, *every).repartition(parts, group, "x", "y").sortWithinPartitions(group, "x", "y")
-        return dealt.mapInArrow(compare, f"grp {members.schema[group].dataType.simpleString()}, a binary, b binary")
+        return dealt.mapInArrow(released(compare), f"grp {members.schema[group].dataType.simpleString()}, a binary, b binary")
 
     def alone(rows: DataFrame, number: Column) -> DataFrame:
         return rows.select("*", number.alias("x"), number.alias("y"), number.alias("mine"))
@@ -168,7 +168,7 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
     # block x of the others against block y of all: numbered so that x stands before every y
     others = some.where("root <> main").withColumn("mine", block("xs")).withColumn("x", F.col("mine")).withColumn("y", F.explode(F.expr("sequence(xs, xs + ys - 1)")))
     all_ = some.withColumn("mine", F.col("xs") + block("ys")).withColumn("y", F.col("mine")).withColumn("x", F.explode(F.expr("sequence(0, xs - 1)")))
-    return edges.unionByName(compared(others.select(group, *every).unionByName(all_.select(group, *every))))
+    return edges.unionByName(written(compared(others.select(group, *every).unionByName(all_.select(group, *every))), "near"))
 
 
 def _edges(found: list[tuple]) -> pa.RecordBatch:
@@ -289,7 +289,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
 
     match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_md5"))
     texts = base.join(lookup(wanted), match).select("candidates", "cls", "text")
-    sets = texts.mapInArrow(whole, "candidates binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
+    sets = texts.mapInArrow(released(whole), "candidates binary, cls binary, n_shingles long, shingles binary, bytes long, tokens array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
     links = forests(sets, "candidates", parts, partial(_group_forest, percent=percent, least_shared=least_shared), ["cls", "n_shingles", "shingles", "tokens"], "bytes")
     discard(sets)
