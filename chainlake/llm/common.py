@@ -130,7 +130,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Small tables are broadcast up to so many rows; beyond, joins shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 300_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -174,12 +174,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.scratch_path)
 
 
-def lookup(df: DataFrame, rows: int | None = None) -> DataFrame:
+def lookup(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table (of so many rows, if that is known) that `written` made, to join with: broadcast if it is counted to be small, so that the other side stays where it is.
 
     Beyond that both sides are shuffled, and as both come straight from tables AQE may split a hot key.
     """
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
 def remembered(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:

@@ -298,7 +298,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     named = classes.select("cls", "least").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     least = lookup(written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least"))
-    by_class = lookup(written(named.join(least, "root").select(F.col("cls").alias("of"), "component_id"), "by-class"))
+    by_class = lookup(written(named.join(least, "root").select(F.col("cls").alias("of"), "component_id"), "by-class"), most=100_000)
     return rows.join(by_class, F.col("cls") == F.col("of"), "left").select("doc_id", "text_md5", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

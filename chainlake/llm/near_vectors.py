@@ -158,7 +158,7 @@ def group(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     named = classes.select("cls", "members", "least").join(counts, "cls", "left").join(linked, F.col("cls") == F.col("node"), "left")
     named = written(named.select("cls", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "cls").alias("root")), "named")
     smallest = lookup(written(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest"))
-    by_class = lookup(written(named.join(smallest, "root").select(F.col("cls").alias("of"), "n_links", "component_id"), "by-class"))
+    by_class = lookup(written(named.join(smallest, "root").select(F.col("cls").alias("of"), "n_links", "component_id"), "by-class"), most=100_000)
     out = rows.select("key", "cls").join(by_class, F.col("cls") == F.col("of"), "left")
     return out.select(
         F.col("key").alias(key),
