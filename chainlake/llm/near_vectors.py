@@ -31,7 +31,7 @@ from .near_text import in_blocks
 LEAST_COSINE = 0.98
 TABLES, PROJECTIONS, WIDTH = 32, 16, 2.0
 #: Members of a block of a bucket.
-BLOCK = 400
+BLOCK = 250
 
 _planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
