@@ -32,9 +32,10 @@ LEAST_TEXTS, FULL_CHI2, COMMON, LEAST_PART = 5, 15.0, 0.3, 0.02
 #: A bucket also takes whole steps if the texts that have it beside another one are marked so differently
 #: from what the two alone let expect (chi squared). Pairs are counted by hash, in so many sampled texts of
 #: either class, between buckets that PAIR_LEAST of them have: with fewer texts no pair could tell, as its
-#: words' rates together are taken to let expect LOW at least and 1 - LOW at most.
-PAIR_CHI2, PAIR_SLOTS, PAIR_TEXTS, LOW, PAIR_LEAST = 32.0, 1 << 22, 1500, 0.25, 11
-EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.5, 1e-3
+#: words' rates together are taken to let expect LOW at least and 1 - LOW at most. So a pair tells from
+#: about a twentieth of the sample on.
+PAIR_CHI2, PAIR_SLOTS, PAIR_TEXTS, LOW, PAIR_LEAST = 32.0, 1 << 22, 1000, 0.25, 11
+EPOCHS, TRIAL_EPOCHS, BATCH, RATE, SHRINK = 12, 6, 128, 0.5, 1e-3
 #: Words whose bucket a worker remembers.
 REMEMBERED = 150_000
 
@@ -137,13 +138,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int =
         return _train(rows, labels, share, False, seed)
     right = []
     for pairs in (False, True):
-        m = _train(some, labels[~test], share, pairs, seed)
+        m = _train(some, labels[~test], share, pairs, seed, TRIAL_EPOCHS)
         ok = (m.raw(other) >= 0) == labels[test]
         right.append(ok[labels[test] == 1].mean() + ok[labels[test] == 0].mean())
     return _train(rows, labels, share, right[1] > right[0], seed)
 
 
-def _train(rows: list[np.ndarray], labels: np.ndarray, share: float, pairs: bool, seed: int) -> Model:
+def _train(rows: list[np.ndarray], labels: np.ndarray, share: float, pairs: bool, seed: int, epochs: int = EPOCHS) -> Model:
     """Gradient steps on log-loss with weight decay.
 
     Steps are scaled by the evidence for a bucket: a rare word moves little, so no text is learned by heart.
@@ -167,7 +168,7 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, share: float, pairs: bool
         part[in_pairs(known, labels, toxic[keep] / texts[keep])] = 1
     full = [i for i in range(len(rows)) if len(known[i])]
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         rate = RATE / (1 + epoch)
         order = rng.permutation(full)
         for lo in range(0, len(order), BATCH):
