@@ -110,9 +110,13 @@ def in_pairs(known: list[np.ndarray], labels: np.ndarray, rate: np.ndarray) -> n
     for row, i in zip(rows, mine, strict=True):
         for _, at in _slots(row):
             np.add.at(both, at.ravel(), 1 + ((1 << 32) if labels[i] else 0))
-    texts, toxic = (both & 0xFFFFFFFF) // 2, (both >> 32) // 2
-    far = np.maximum(toxic - LOW * texts, (1 - LOW) * texts - toxic)
-    some = (far > 0) & (far * far >= PAIR_CHI2 * texts * LOW * (1 - LOW))
+    texts, toxic = ((both & 0xFFFFFFFF) // 2).astype(np.int32), ((both >> 32) // 2).astype(np.int32)
+    del both
+    some = np.zeros(PAIR_SLOTS, bool)
+    for lo in range(0, PAIR_SLOTS, 1 << 18):
+        n, y = texts[lo : lo + (1 << 18)], toxic[lo : lo + (1 << 18)]
+        far = np.maximum(y - LOW * n, (1 - LOW) * n - y)
+        some[lo : lo + (1 << 18)] = (far > 0) & (far * far >= PAIR_CHI2 * n * LOW * (1 - LOW))
     p = labels[mine].mean()
     for row in rows if some.any() else ():
         for lo, at in _slots(row):
