@@ -38,6 +38,8 @@ PAIR_CHI2, PAIR_SLOTS, PAIR_TEXTS, LOW, PAIR_LEAST = 32.0, 1 << 22, 1000, 0.25,
 EPOCHS, TRIAL_EPOCHS, BATCH, RATE, SHRINK = 12, 6, 128, 0.5, 1e-3
 #: Words whose bucket a worker remembers.
 REMEMBERED = 150_000
+#: Texts scored together.
+TOGETHER = 256
 
 _bucket: dict[bytes, int] = {}
 
@@ -67,12 +69,15 @@ class Model:
 
     def known(self, row: np.ndarray) -> np.ndarray:
         """Places of a text's buckets in the model; those that it hasn't drop out."""
-        at = np.searchsorted(self.buckets, row)
+        at = np.searchsorted(self.buckets, row).astype(np.int32)
         at[at == len(self.buckets)] = 0
         return at[self.buckets[at] == row] if len(self.buckets) else at[:0]
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Log-odds of rows of buckets."""
+        """Log-odds of rows of buckets, TOGETHER of them at a time, as each bucket takes its factors along."""
+        return np.concatenate([np.zeros(0), *(self._raw(rows[lo : lo + TOGETHER]) for lo in range(0, len(rows), TOGETHER))])
+
+    def _raw(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(rows), self.bias)
         known = [self.known(r) for r in rows]
         full = [i for i, r in enumerate(known) if len(r)]
@@ -248,8 +253,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, found = utf8(b.column(text)), []
-            for lo in range(0, len(texts), 256):
-                y = shared.value.raw([features(t) for t in texts[lo : lo + 256]])
+            for lo in range(0, len(texts), TOGETHER):
+                y = shared.value.raw([features(t) for t in texts[lo : lo + TOGETHER]])
                 found.append(1 / (1 + np.exp(-np.clip(y, -500, 500))))
             yield with_columns(b, {out: pa.array(np.concatenate(found) if found else np.zeros(0))})
 
