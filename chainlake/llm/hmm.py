@@ -4,8 +4,9 @@ Words are counted over the whole training corpus. The model's symbols are the TO
 words, one class for each hash of the endings of all other words, and the end of the text. Latent
 states emit symbols; a word within its class has its smoothed share of the class, so every text,
 unknown words included, has a proper probability. Baum-Welch counts are summed over all training
-texts, partition by partition, for a few rounds; a bounded sample only breaks the symmetry of the
-start. A text's score is its exact likelihood by the scaled forward recursion.
+texts, partition by partition, in every round; the rounds begin with states that emit as the whole
+corpus does, told apart by seeded noise. A text's score is its exact likelihood by the scaled forward
+recursion.
 
 The texts are read once. A task cuts its documents into chunks of bounded size, each with its own
 dictionary: only the dictionaries (a row for each distinct word of a chunk) meet the corpus counts,
@@ -15,6 +16,7 @@ and go back to their chunk, which then knows the counts and classes of all its w
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -25,16 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import below, crc_mod, discard, read_table, share_below, shuffle_parts, space_words, tune, utf8, written
+from .common import crc_mod, discard, read_table, shuffle_parts, space_words, tune, utf8, written
 from .graph import sorted_groups
 
 STATES, TOP, ENDINGS = 8, 4096, 512
 END = TOP + ENDINGS
 SYMBOLS = END + 1
-ROUNDS, START_ROUNDS, START_TEXTS, STRETCH = 3, 12, 1000, 2000
+ROUNDS, START_ROUNDS = 3, 12
 CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 400_000
-#: Tokens whose forward variables are held at a time.
-LANE_TOKENS = 600_000
+#: Tokens whose forward variables are held at a time, and texts side by side. In training an array of these
+#: variables stays under 32 MB, up to which the allocator uses memory again instead of asking for fresh pages.
+LANE_TOKENS, LANES = 1_000_000, 1024
+#: Tokens (and TEXT_COST for each text) that are gathered before they are laid side by side, as symbols only:
+#: of more texts, more are alike in length, so a step of the recursion serves more of them.
+HELD_TOKENS, TEXT_COST = 8_000_000, 100
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -47,10 +53,17 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def _numbered() -> defaultdict[bytes, int]:
+    """A dictionary that numbers words as they are first asked for."""
+    ids = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, held_out, text) to dictionary rows and document rows of chunks."""
     chunk = TaskContext.get().partitionId() << 32
-    ids: dict[bytes, int] = {}
+    ids = _numbered()
     keys, held, docs, total = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -79,18 +92,14 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_type = b.schema.field(0).type
         for key, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
             words = space_words(text)
-            known = list(map(ids.get, words))
-            for i, k in enumerate(known):
-                if k is None:
-                    known[i] = ids.setdefault(words[i], len(ids))
             keys.append(key)
             held.append(h)
-            docs.append(np.array(known, np.int32))
+            docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
             total += len(words)
             if total >= CHUNK_TOKENS or len(ids) >= CHUNK_WORDS:
                 yield from flush()
                 chunk, total = chunk + 1, 0
-                ids, keys, held, docs = {}, [], [], []
+                ids, keys, held, docs = _numbered(), [], [], []
     if docs:
         yield from flush()
 
@@ -117,16 +126,17 @@ class Lexicon:
 
 def _coded(lexicon):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (chunk, kind, local, c, class, doc_id, held_out, ids), sorted, to scored and symbol-coded documents."""
+        """Rows (chunk, kind, local, c, class, doc_id, held_out, ids), sorted by chunk, to scored and symbol-coded documents."""
         lex: Lexicon = lexicon.value
         end_base = float(lex.base(np.array([lex.ends]))[0])
         for _, t in sorted_groups(batches, 1):
-            kind = t["kind"].to_numpy()
-            k = int((kind == 0).sum())
-            counts, classes = t["c"].slice(0, k).to_numpy(), t["class"].slice(0, k).to_numpy().astype(np.int64)
+            word = t["kind"].to_numpy() == 0
+            entries, rest = t.filter(pa.array(word)), t.filter(pa.array(~word))
+            local = entries["local"].to_numpy()
+            counts, classes = np.empty(len(local), np.int64), np.empty(len(local), np.int64)
+            counts[local], classes[local] = entries["c"].to_numpy(), entries["class"].to_numpy()
             base, within, known = lex.base(counts), lex.within(counts, classes), counts > 0
             symbols = classes.astype(np.uint16)
-            rest = t.slice(k)
             ids = [unpacked(x, np.int32) for x in rest["ids"].to_pylist()]
             for lo in range(0, len(ids), 2000):
                 mine = ids[lo : lo + 2000]
@@ -178,7 +188,7 @@ def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     lo = 0
     while lo < len(order):
         hi, total = lo, 0
-        while hi < len(order) and (hi == lo or total + len(texts[order[hi]]) + 1 <= LANE_TOKENS):
+        while hi < len(order) and (hi == lo or (hi - lo < LANES and total + len(texts[order[hi]]) + 1 <= LANE_TOKENS)):
             total += len(texts[order[hi]]) + 1
             hi += 1
         mine = order[lo:hi]
@@ -194,58 +204,64 @@ def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         lo = hi
 
 
-def forward(model: Model, flat: np.ndarray, alive: np.ndarray, kind: type = np.float64, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
-    """Natural log-likelihood of each lane by the scaled recursion; with keep also the scaled variables and scales.
+def forward(model: Model, flat: np.ndarray, alive: np.ndarray, kind: type = np.float64, keep: bool = False) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Natural log-likelihood of each lane by the scaled recursion; with keep the scaled variables, scales and scaled emissions instead.
 
     Scores are computed in double precision. Training passes single precision: its counts are sums of
     posteriors, normalised anew at each place, so errors don't add up along a text.
     """
-    move, start = model.move.astype(kind), model.start.astype(kind)
-    emit = model.emit.astype(kind)[flat]
-    total = np.zeros(alive[0])
+    move, start, ones = model.move.astype(kind), model.start.astype(kind), np.ones((STATES, STATES), kind)
+    emit = model.emit.astype(kind).take(flat, 0)
     alpha = np.empty_like(emit) if keep else None
     scales = np.empty(len(flat), kind)
     at, a = 0, None
-    for n in alive:
-        e = emit[at : at + n]
-        a = e * (start if a is None else a[:n] @ move)
-        c = a.sum(1)
-        a /= c[:, None]
-        scales[at : at + n] = c
+    for n in alive.tolist():
+        e, out = emit[at : at + n], alpha[at : at + n] if keep else None
+        if a is None:
+            a = np.multiply(e, start, out)
+        else:
+            a = np.matmul(a[:n], move, out)
+            a *= e
+        c = a @ ones  # the scale, in every column: numpy divides much slower by a column that it has to spread
+        scales[at : at + n] = c[:, 0]
+        a /= c
         if keep:
-            alpha[at : at + n] = a
-        at += n
-    logs, at = np.log(scales.astype(np.float64)), 0
-    for n in alive:
-        total[:n] += logs[at : at + n]
+            e /= c
         at += n
-    return total, alpha, scales, emit
+    if keep:
+        return None, alpha, scales, emit
+    lane = np.arange(len(flat)) - np.repeat(np.cumsum(alive) - alive, alive)
+    return np.bincount(lane, np.log(scales.astype(np.float64)), alive[0]), None, scales, emit
 
 
 def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of texts: (start, move, emit) and their log-likelihood."""
     start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
     m = model.move.astype(np.float32)
+    back = np.ascontiguousarray(m.T)
     for _, flat, alive in lanes(texts):
-        like, alpha, scales, e = forward(model, flat, alive, np.float32, keep=True)
-        total += like.sum()
-        ends = np.concatenate([[0], np.cumsum(alive)])
-        e /= scales[:, None]
-        beta, pairs = None, np.zeros((STATES, STATES), np.float32)
-        for t in range(len(alive) - 1, -1, -1):
-            n, at = alive[t], ends[t]
-            now = np.ones((n, STATES), np.float32)
-            if beta is not None:
-                after = alive[t + 1]
-                ahead = e[ends[t + 1] : ends[t + 1] + after] * beta
-                pairs += alpha[at : at + after].T @ ahead
-                now[:after] = ahead @ m.T
-            alpha[at : at + n] *= now  # becomes the posterior
-            beta = now
+        _, alpha, scales, e = forward(model, flat, alive, np.float32, keep=True)
+        total += float(np.log(scales).sum(dtype=np.float64))
+        ahead, beta, pairs = None, None, np.zeros((STATES, STATES), np.float32)
+        for n, end in zip(alive[::-1].tolist(), np.cumsum(alive)[::-1].tolist(), strict=True):
+            a = alpha[end - n : end]
+            if beta is None:
+                beta = np.ones((n, STATES), np.float32)
+            else:
+                after = len(beta)
+                ahead *= beta
+                pairs += a[:after].T @ ahead
+                beta = ahead @ back
+                a[:after] *= beta  # becomes the posterior
+                if after < n:  # texts that end here
+                    beta = np.concatenate([beta, np.ones((n - after, STATES), np.float32)])
+            ahead = e[end - n : end]
         start += alpha[: alive[0]].sum(0)
         move += pairs * m
-        for s in range(STATES):
-            emit[:, s] += np.bincount(flat, alpha[:, s], SYMBOLS)
+        for lo in range(0, len(flat), 65_536):
+            symbols, shares = flat[lo : lo + 65_536].astype(np.intp), alpha[lo : lo + 65_536].T.astype(np.float64, order="C")
+            for s in range(STATES):
+                emit[:, s] += np.bincount(symbols, shares[s], SYMBOLS)
     return start, move, emit, total
 
 
@@ -253,59 +269,44 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
     return [unpacked(x, np.uint16) for x in column.to_pylist()]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches with symbols, as many at a time as HELD_TOKENS allows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("symbols").nbytes // 2 + TEXT_COST * b.num_rows
+        if size >= HELD_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def baum_welch(coded: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round over all training texts: each task sums its own counts, one row for each nonzero one."""
+    """One round over all training texts: each task sums its own counts, one row for the start, each state and each symbol."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
+    columns = [f"n{s}" for s in range(STATES)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held, size = np.zeros(STATES + STATES**2 + SYMBOLS * STATES), [], 0
-
-        def add() -> None:
-            a, b, c, _ = expected(shared.value, held)
-            sums[:] += np.concatenate([a, b.ravel(), c.ravel()])
-            held.clear()
-
-        for b in batches:
-            held += _texts(b.column(0))
-            size += sum(len(t) + 1 for t in held[-b.num_rows :]) if b.num_rows else 0
-            if size >= LANE_TOKENS:
-                add()
-                size = 0
-        if held:
-            add()
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "n"])
-
-    rows = coded.where("NOT held_out").select("symbols").mapInArrow(go, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(STATES + STATES**2 + SYMBOLS * STATES)
-    sums[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return Model.of(sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 :].reshape(SYMBOLS, STATES), share)
+        sums = np.zeros((1 + STATES + SYMBOLS, STATES))
+        for held in _gathered(batches):
+            a, b, c, _ = expected(shared.value, [t for batch in held for t in _texts(batch.column("symbols"))])
+            sums += np.concatenate([a[None], b, c])
+        at = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[at, s])) for s in range(STATES))], names=["at", *columns])
 
+    counted = coded.where("NOT held_out").select("symbols").mapInArrow(go, ", ".join(["at int", *(f"{c} double" for c in columns)]))
+    rows = counted.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    sums = np.zeros((1 + STATES + SYMBOLS, STATES))
+    sums[rows["at"].to_numpy()] = np.stack([rows[c].to_numpy() for c in columns], 1)
+    return Model.of(sums[0], sums[1 : 1 + STATES], sums[1 + STATES :], share)
 
-def start_model(coded: DataFrame, texts: int, share: np.ndarray) -> Model:
-    """Breaks the symmetry on about START_TEXTS training texts chosen by hash, of each a stretch of STRETCH tokens at most.
 
-    A stretch begins where the text's hash says, so long texts count like others and none is left out.
-    Equal rows are one. What reaches the driver is bounded by START_TEXTS * STRETCH tokens.
-    """
-    h = F.xxhash64("doc_id", "symbols")
-    some = coded.where("NOT held_out").select(h.alias("h"), "symbols").where(below(F.col("h"), F.lit(share_below(START_TEXTS, texts))))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = unpacked(s, np.uint16)
-                at = (key >> 20) % max(1, len(t) - STRETCH + 1)
-                parts.append(t[at : at + STRETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["h", "stretch"])
-
-    few = some.mapInArrow(cut, "h long, stretch binary").groupBy("h").agg(F.min("stretch").alias("stretch")).toArrow()
-    picked = [np.frombuffer(s, np.uint16) for _, s in sorted(zip(few["h"].to_pylist(), few["stretch"].to_pylist(), strict=True))]
+def start_model(coded: DataFrame, texts: int, share: np.ndarray) -> Model:
+    """Breaks the symmetry of the states: START_ROUNDS of Baum-Welch over all of the texts learned from, if there are any."""
     model = Model.first(share)
-    for _ in range(START_ROUNDS if picked else 0):
-        a, b, c, _ = expected(model, picked)
-        model = Model.of(a, b, c, share)
+    for _ in range(START_ROUNDS if texts else 0):
+        model = baum_welch(coded, model, share)
     return model
 
 
@@ -354,14 +355,14 @@ def prepare(docs: DataFrame, held: str, text: str = "text", doc_id: str = "doc_i
     both = found.select("chunk", F.lit(0).alias("kind"), "local", "c", "class", none.cast(kind).alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("binary").alias("ids")).unionByName(
         texts.select("chunk", F.lit(1).alias("kind"), none.cast("int").alias("local"), none.cast("long").alias("c"), none.cast("int").alias("class"), "doc_id", "held_out", "ids")
     )
-    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "local")
+    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk")  # one number as key: a radix sort
     coded = written(both.mapInArrow(_coded(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, within double, symbols binary"), "coded")
     discard(encoded, counts)
     return Corpus(coded, lexicon, (tokens + 0.5) / (tokens + 0.5).sum(), names, ends)
 
 
 def train(corpus: Corpus, rounds: int = ROUNDS) -> Model:
-    """The start model, then so many rounds of Baum-Welch over everything learned from."""
+    """The start model, then so many further rounds of Baum-Welch, all over everything learned from."""
     model = start_model(corpus.coded, corpus.texts, corpus.share)
     for _ in range(rounds):
         model = baum_welch(corpus.coded, model, corpus.share)
@@ -374,12 +375,15 @@ def likelihoods(corpus: Corpus, model: Model) -> DataFrame:
     kind = corpus.coded.schema["doc_id"].dataType.simpleString()
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, out = _texts(b.column("symbols")), np.zeros(b.num_rows)
+        for held in _gathered(batches):
+            texts = [t for b in held for t in _texts(b.column("symbols"))]
+            out, lo = np.zeros(len(texts)), 0
             for mine, flat, alive in lanes(texts):
                 out[mine] = forward(shared.value, flat, alive)[0]
-            total = out / np.log(10) + b.column("within").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for b in held:
+                total = out[lo : lo + b.num_rows] / np.log(10) + b.column("within").to_numpy()
+                lo += b.num_rows
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     scored = corpus.coded.mapInArrow(likelihood, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(corpus.lexicon.tokens).cast("long"))

@@ -98,6 +98,58 @@ def test_long_texts_are_part_of_the_start(spark, docs_of, monkeypatch):
     assert np.abs(model.emit - hmm.Model.first(corpus.share).emit).max() > 1e-3
 
 
+def test_every_round_learns_from_all_texts(spark, docs_of, monkeypatch):
+    """More texts than a sample of 1,000, some long: the start is plain Baum-Welch over all of them, as are the rounds behind it."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in rng.integers(0, 40, 6))) for i in range(3000)]
+    rows += [(3000 + i, " ".join(f"{'abc'[w // 1500]}{w % 40}" for w in range(4500))) for i in range(3)] + [(4000, None), (4001, "zz zz")]
+    docs = docs_of(rows).withColumn("held", F.col("doc_id") == 4001)
+    monkeypatch.setattr(hmm, "START_ROUNDS", 3)
+    corpus = hmm.prepare(docs, "held")
+    texts = [hmm.unpacked(r["symbols"], np.uint16) for r in corpus.coded.where("NOT held_out").collect()]
+    assert len(texts) == corpus.texts == len(rows) - 1
+    want = hmm.Model.first(corpus.share)
+    for _ in range(3):
+        want = hmm.Model.of(*hmm.expected(want, texts)[:3], corpus.share)
+    got = hmm.start_model(corpus.coded, corpus.texts, corpus.share)
+    for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-7)
+    got, want = hmm.train(corpus, 1), hmm.Model.of(*hmm.expected(want, texts)[:3], corpus.share)
+    assert np.allclose(got.emit, want.emit, rtol=1e-3, atol=1e-7)
+
+
+def test_expected_counts_against_plain_recursion(monkeypatch):
+    """Counts in double precision, one text at a time, against those of texts side by side in several blocks."""
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 30, n).astype(np.uint16) for n in (0, 0, 1, 2, 7, 40, 40, 90, 200)]
+    share = np.bincount(np.concatenate(texts), minlength=hmm.SYMBOLS) + 0.01
+    model = hmm.Model.first(share / share.sum())
+    start, move, emit, like = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.SYMBOLS, hmm.STATES)), sum(hmm.brute_likelihood(model, t) for t in texts)
+    for t in texts:
+        seq = [*t.tolist(), hmm.END]
+        a, b = [model.start * model.emit[seq[0]]], [np.ones(hmm.STATES)]
+        for s in seq[1:]:
+            a.append(a[-1] @ model.move * model.emit[s])
+            a[-1] /= a[-1].sum()
+        for s in seq[:0:-1]:
+            b.insert(0, model.move @ (model.emit[s] * b[0]))
+            b[0] /= b[0].sum()
+        for i, s in enumerate(seq):
+            here = a[i] * b[i] / (a[i] * b[i]).sum()
+            emit[s] += here
+            start += here if i == 0 else 0
+            if i:
+                pair = a[i - 1][:, None] * model.move * (model.emit[s] * b[i])
+                move += pair / pair.sum()
+    for tokens, lanes in ((hmm.LANE_TOKENS, hmm.LANES), (100, 1024), (1000, 2)):
+        monkeypatch.setattr(hmm, "LANE_TOKENS", tokens)
+        monkeypatch.setattr(hmm, "LANES", lanes)
+        got = hmm.expected(model, texts)
+        for x, y in zip(got[:3], (start, move, emit), strict=True):
+            assert np.allclose(x, y, rtol=1e-4, atol=1e-5)
+        assert math.isclose(got[3], like, rel_tol=1e-5)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(9)
     texts = [np.where(rng.random(60) < 0.9, rng.integers(0, 20, 60) + 40 * (i % 2), 99).astype(np.uint16) for i in range(60)]
