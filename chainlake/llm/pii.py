@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, fresh, read_table, remembered, tune, with_columns
+from .common import arrow_schema, read_table, released, remembered, tune, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside; 1 + 2k begins kind k, 2 + 2k goes on
@@ -209,8 +209,8 @@ class Network:
             p |= {f"X{d}": rng.normal(0, e**-0.5, (e, 4 * h)), f"H{d}": rng.normal(0, h**-0.5, (h, 4 * h)), f"c{d}": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])}
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Over time-major x; for direction b the caller has reversed it."""
+    def _lstm(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """Over time-major x; for direction b the caller has reversed it. Gates are kept for gradients only: they take most of the memory."""
         n, h = x.shape[1], HIDDEN
         pre = x @ self.p[f"X{d}"] + self.p[f"c{d}"]
         s, c, out, kept = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), [], []
@@ -223,14 +223,15 @@ class Network:
             tc = np.tanh(c)
             s = o * tc
             out.append(s)
-            kept.append((i, f, o, g, c_old, tc, before))
+            if keep:
+                kept.append((i, f, o, g, c_old, tc, before))
         return np.stack(out), kept
 
-    def emissions(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Tag scores (time, batch, tag) of windows (batch, time)."""
+    def emissions(self, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """Tag scores (time, batch, tag) of windows (batch, time); with keep also what gradients need."""
         x = self.p["E"][ids.T]
-        f, kf = self._lstm(x, "f")
-        b, kb = self._lstm(x[::-1], "b")
+        f, kf = self._lstm(x, "f", keep)
+        b, kb = self._lstm(x[::-1], "b", keep)
         s = np.concatenate([f, b[::-1]], axis=2)
         return s @ self.p["O"] + self.p["o"], (x, s, kf, kb)
 
@@ -249,7 +250,7 @@ class Network:
         return np.stack(tags[::-1], axis=1)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        em, (x, s, kf, kb) = self.emissions(ids)
+        em, (x, s, kf, kb) = self.emissions(ids, keep=True)
         t, n, k = em.shape
         em, trans = em.astype(np.float64), self.p["A"].astype(np.float64) + _BARRED
         alpha = [em[0] + _FIRST]
@@ -437,7 +438,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
             rows = [{n: [{"kind": k, "start": s, "end": e} for k, s, e in x] for n, x in zip(("base", "added"), found, strict=True)} for found in find_spans(texts, shared.value)]
             yield with_columns(b, {out: pa.array(rows, _KIND)})
 
-    return docs.mapInArrow(go, arrow_schema(docs, (out, T.StructType.fromDDL(f"base {_SPANS}, added {_SPANS}"))))
+    return docs.mapInArrow(released(go), arrow_schema(docs, (out, T.StructType.fromDDL(f"base {_SPANS}, added {_SPANS}"))))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -464,6 +465,16 @@ def _count(kind: str):
     return F.size(F.filter("pii.base", lambda x: x["kind"] == kind)).cast("long")
 
 
+def _replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with spans, ordered by place, replaced."""
+    parts, done = [], 0
+    for k, s, e in spans:
+        if s >= done:
+            parts += [text[done:s], f"<{k.upper()}>"]
+        done = max(done, e)
+    return "".join(parts) + text[done:]
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every found span replaced by its kind in capitals and angle brackets.
 
@@ -471,26 +482,21 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     texts without a span stay as they are, byte by byte. Rows, repeated ones too, columns and their names
     stay; an empty table stays empty.
     """
-    out = fresh(docs, "pii")
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(network(docs.sparkSession))
     at = docs.columns.index(text)
 
+    # found and replaced by one worker: spans that went to a second one would double the workers of an executor
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(text).to_pylist(), b.column(out).to_pylist()
-            for i, (t, p) in enumerate(zip(texts, spans, strict=True)):
-                mine = by_place([(x["kind"], x["start"], x["end"]) for n in ("base", "added") for x in p[n]])
-                if not t or not mine:
-                    continue
-                parts, done = [], 0
-                for k, s, e in mine:
-                    if s >= done:
-                        parts += [t[done:s], f"<{k.upper()}>"]
-                    done = max(done, e)
-                texts[i] = "".join(parts) + t[done:]
-            cols = [pa.array(texts, b.column(text).type) if j == at else c for j, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
-
-    return detect(docs, text, out).mapInArrow(go, docs.schema)
+            texts = b.column(at).to_pylist()
+            for i, (base, added) in enumerate(find_spans([t or "" for t in texts], shared.value)):
+                if base or added:
+                    texts[i] = _replaced(texts[i], by_place(base + added))
+            cols = [pa.array(texts, c.type) if j == at else c for j, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return docs.mapInArrow(released(go), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -416,6 +417,20 @@ def test_redaction(spark, docs_of):
     assert got == {1: ("mail <EMAIL> now", 16, "clash"), 2: ("clean text", 10, "clash"), 3: (None, None, "clash"), 4: ("", 0, "clash")}
 
 
+def test_redaction_takes_one_worker_a_task(spark, docs_of):
+    plan = pii.redact(docs_of([(1, "mail a.b@c.de now")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_decoding_keeps_no_gates():
+    net, ids = pii.Network.new(np.random.default_rng(3)), np.ones((512, pii.WINDOW), np.int64)
+    tracemalloc.start()
+    net.decode(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(5)
     small = pii.Network.new(rng)
