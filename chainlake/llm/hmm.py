@@ -8,7 +8,7 @@ texts, partition by partition, in every round; the rounds begin with states that
 corpus does, told apart by seeded noise. A text's score is its exact likelihood by the scaled forward
 recursion.
 
-The texts are read once. A task cuts its documents into chunks of bounded size, each with its own
+The texts are read once, and laid side by side as symbols once for all rounds. A task cuts its documents into chunks of bounded size, each with its own
 dictionary: only the dictionaries (a row for each distinct word of a chunk) meet the corpus counts,
 and go back to their chunk, which then knows the counts and classes of all its words.
 """
@@ -17,22 +17,24 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, read_table, shuffle_parts, space_words, tune, utf8, written
+from .common import crc_mod, discard, read_table, shuffle_parts, space_words, tune, written
 from .graph import sorted_groups
 
 STATES, TOP, ENDINGS = 8, 4096, 512
 END = TOP + ENDINGS
 SYMBOLS = END + 1
+_PLACES = np.arange(SYMBOLS * STATES).reshape(SYMBOLS, STATES)
 ROUNDS, START_ROUNDS = 3, 12
 CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 400_000
 #: Tokens whose forward variables are held at a time, and texts side by side. In training an array of these
@@ -60,6 +62,15 @@ def _numbered() -> defaultdict[bytes, int]:
     return ids
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as by `space_words`, and where each text's begin and the last one's end; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    some = pc.greater(pc.binary_length(words), 0)  # blanks around a text leave empty pieces
+    ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[ends]
+    return words.filter(some), ends
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, held_out, text) to dictionary rows and document rows of chunks."""
     chunk = TaskContext.get().partitionId() << 32
@@ -75,27 +86,35 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = words[lo : lo + 100_000]
             k = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk)), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(part, pa.binary()), pa.array([crc32(w[-3:]) % ENDINGS for w in part], pa.int32()), pa.array(n[lo : lo + k], pa.int64()), nothing(k, key_type), nothing(k, pa.bool_()), nothing(k, pa.binary())],
+                [pa.array(np.full(k, chunk)), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[lo : lo + k], pa.int64()), nothing(k, key_type), nothing(k, pa.bool_()), nothing(k, pa.binary())],
                 names=names,
             )
         for lo in range(0, len(docs), 500):
             part = docs[lo : lo + 500]
             k = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk)), *(nothing(k, t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.int64())), pa.array(keys[lo : lo + k], key_type), pa.array(held[lo : lo + k], pa.bool_()), pa.array([packed(d) for d in part], pa.binary())],
+                [pa.array(np.full(k, chunk)), *(nothing(k, t) for t in (pa.int32(), pa.binary(), pa.int64())), pa.array(keys[lo : lo + k], key_type), pa.array(held[lo : lo + k], pa.bool_()), pa.array([packed(d) for d in part], pa.binary())],
                 names=names,
             )
 
-    names = ["chunk", "local", "word", "ending", "n", "doc_id", "held_out", "ids"]
+    names = ["chunk", "local", "word", "n", "doc_id", "held_out", "ids"]
     key_type = pa.int64()
     for b in batches:
         key_type = b.schema.field(0).type
-        for key, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-            words = space_words(text)
-            keys.append(key)
-            held.append(h)
-            docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            total += len(words)
+        words, ends = split_words(b.column(2))
+        lo = 0
+        while lo < b.num_rows:
+            # as many texts as the chunk has room for, one at least: only their distinct words are looked up here
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK_TOKENS - total, "left")))
+            hi = min(hi, b.num_rows)
+            part = words.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode()
+            found = part.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist()
+            number = np.fromiter(map(ids.__getitem__, found), np.int32, len(found))
+            docs += np.split(number[part.indices.to_numpy()], ends[lo + 1 : hi] - ends[lo])
+            keys += b.column(0).slice(lo, hi - lo).to_pylist()
+            held += b.column(1).slice(lo, hi - lo).to_pylist()
+            total += int(ends[hi] - ends[lo])
+            lo = hi
             if total >= CHUNK_TOKENS or len(ids) >= CHUNK_WORDS:
                 yield from flush()
                 chunk, total = chunk + 1, 0
@@ -182,6 +201,11 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def at_each_time(sizes: np.ndarray) -> np.ndarray:
+    """How many texts of these sizes, longest first, are longer than t, for each t."""
+    return np.cumsum(np.bincount(sizes, minlength=sizes[0] + 1)[::-1])[::-1][1:]
+
+
 def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of texts side by side, longest first: (their places, symbols by time, texts at each time)."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
@@ -193,7 +217,7 @@ def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             hi += 1
         mine = order[lo:hi]
         sizes = np.array([len(texts[i]) + 1 for i in mine])
-        alive = np.cumsum(np.bincount(sizes, minlength=sizes[0] + 1)[::-1])[::-1][1:]  # texts longer than t
+        alive = at_each_time(sizes)
         offset = np.concatenate([[0], np.cumsum(alive)[:-1]])
         flat = np.empty(total, np.uint16)
         for lane, i in enumerate(mine):
@@ -234,12 +258,12 @@ def forward(model: Model, flat: np.ndarray, alive: np.ndarray, kind: type = np.f
     return np.bincount(lane, np.log(scales.astype(np.float64)), alive[0]), None, scales, emit
 
 
-def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of texts: (start, move, emit) and their log-likelihood."""
-    start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
+def counted(model: Model, blocks: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of blocks (symbols by time, texts at each time): (start, move, emit) and their log-likelihood."""
+    start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(SYMBOLS * STATES), 0.0
     m = model.move.astype(np.float32)
     back = np.ascontiguousarray(m.T)
-    for _, flat, alive in lanes(texts):
+    for flat, alive in blocks:
         _, alpha, scales, e = forward(model, flat, alive, np.float32, keep=True)
         total += float(np.log(scales).sum(dtype=np.float64))
         ahead, beta, pairs = None, None, np.zeros((STATES, STATES), np.float32)
@@ -258,11 +282,15 @@ def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
             ahead = e[end - n : end]
         start += alpha[: alive[0]].sum(0)
         move += pairs * m
-        for lo in range(0, len(flat), 65_536):
-            symbols, shares = flat[lo : lo + 65_536].astype(np.intp), alpha[lo : lo + 65_536].T.astype(np.float64, order="C")
-            for s in range(STATES):
-                emit[:, s] += np.bincount(symbols, shares[s], SYMBOLS)
-    return start, move, emit, total
+        for lo in range(0, len(flat), 32_768):
+            # all states in one count: the places of a symbol's states lie side by side
+            emit += np.bincount(_PLACES.take(flat[lo : lo + 32_768], 0).ravel(), alpha[lo : lo + 32_768].ravel(), SYMBOLS * STATES)
+    return start, move, emit.reshape(SYMBOLS, STATES), total
+
+
+def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of texts: (start, move, emit) and their log-likelihood."""
+    return counted(model, ((flat, alive) for _, flat, alive in lanes(texts)))
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -282,31 +310,53 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
-def baum_welch(coded: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round over all training texts: each task sums its own counts, one row for the start, each state and each symbol."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    columns = [f"n{s}" for s in range(STATES)]
+def laid(coded: DataFrame) -> DataFrame:
+    """All training texts as blocks side by side (symbols by time, sizes of the texts), laid once for all rounds."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((1 + STATES + SYMBOLS, STATES))
         for held in _gathered(batches):
-            a, b, c, _ = expected(shared.value, [t for batch in held for t in _texts(batch.column("symbols"))])
-            sums += np.concatenate([a[None], b, c])
+            texts = [t for batch in held for t in _texts(batch.column("symbols"))]
+            for mine, flat, _ in lanes(texts):
+                sizes = np.array([len(texts[i]) + 1 for i in mine], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([packed(flat)], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], names=["flat", "sizes"])
+
+    return written(coded.where("NOT held_out").select("symbols").mapInArrow(go, "flat binary, sizes binary"), "laid")
+
+
+def baum_welch(blocks: DataFrame, model: Model, share: np.ndarray) -> Model:
+    """One round over all training texts, as `laid` has them: each task sums its own counts, one row for the start, each state and each symbol."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    columns = [f"n{s}" for s in range(STATES)]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for flat, sizes in zip(batch.column("flat"), batch.column("sizes"), strict=True):
+                    yield unpacked(flat.as_py(), np.uint16), at_each_time(np.frombuffer(sizes.as_py(), np.int64))
+
+        a, b, c, _ = counted(shared.value, read())
+        sums = np.concatenate([a[None], b, c])
         at = np.flatnonzero(sums.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[at, s])) for s in range(STATES))], names=["at", *columns])
 
-    counted = coded.where("NOT held_out").select("symbols").mapInArrow(go, ", ".join(["at int", *(f"{c} double" for c in columns)]))
-    rows = counted.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    summed = blocks.mapInArrow(go, ", ".join(["at int", *(f"{c} double" for c in columns)]))
+    rows = summed.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     sums = np.zeros((1 + STATES + SYMBOLS, STATES))
     sums[rows["at"].to_numpy()] = np.stack([rows[c].to_numpy() for c in columns], 1)
     return Model.of(sums[0], sums[1 : 1 + STATES], sums[1 + STATES :], share)
 
 
-def start_model(coded: DataFrame, texts: int, share: np.ndarray) -> Model:
-    """Breaks the symmetry of the states: START_ROUNDS of Baum-Welch over all of the texts learned from, if there are any."""
-    model = Model.first(share)
+def start_model(coded: DataFrame, texts: int, share: np.ndarray, blocks: DataFrame | None = None) -> Model:
+    """Breaks the symmetry of the states: START_ROUNDS of Baum-Welch over all of the texts learned from, if there are any.
+
+    blocks: the texts as `laid` has them, if they are laid already.
+    """
+    model, lay = Model.first(share), blocks is None
+    blocks = laid(coded) if lay else blocks
     for _ in range(START_ROUNDS if texts else 0):
-        model = baum_welch(coded, model, share)
+        model = baum_welch(blocks, model, share)
+    if lay:
+        discard(blocks)
     return model
 
 
@@ -331,11 +381,12 @@ def prepare(docs: DataFrame, held: str, text: str = "text", doc_id: str = "doc_i
     parts = shuffle_parts(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    schema = f"chunk long, local int, word binary, ending int, n long, doc_id {kind}, held_out boolean, ids binary"
+    schema = f"chunk long, local int, word binary, n long, doc_id {kind}, held_out boolean, ids binary"
     encoded = written(source.mapInArrow(_encoded, schema), "encoded")
     entries, texts = encoded.where("ids IS NULL"), encoded.where("ids IS NOT NULL")
 
-    counts = written(entries.groupBy("word").agg(F.sum("n").alias("c"), F.min("ending").alias("ending")), "counts")
+    ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(ENDINGS)).cast("int").alias("ending")
+    counts = written(entries.groupBy("word").agg(F.sum("n").alias("c")).select("word", "c", ending), "counts")
     # the most frequent words by name of their hash, so that what is collected doesn't depend on their lengths
     often = counts.where("c > 0").select(F.sha2("word", 256).alias("name"), "c").orderBy(F.desc("c"), "name").limit(TOP).collect()
     names = [r["name"] for r in often]
@@ -363,9 +414,11 @@ def prepare(docs: DataFrame, held: str, text: str = "text", doc_id: str = "doc_i
 
 def train(corpus: Corpus, rounds: int = ROUNDS) -> Model:
     """The start model, then so many further rounds of Baum-Welch, all over everything learned from."""
-    model = start_model(corpus.coded, corpus.texts, corpus.share)
+    blocks = laid(corpus.coded)
+    model = start_model(corpus.coded, corpus.texts, corpus.share, blocks)
     for _ in range(rounds):
-        model = baum_welch(corpus.coded, model, corpus.share)
+        model = baum_welch(blocks, model, corpus.share)
+    discard(blocks)
     return model
 
 

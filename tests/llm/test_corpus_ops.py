@@ -6,7 +6,10 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainlake.llm import common, decontaminate, graph, hmm, language, mixing, near_text, near_vectors, pii, registry, suffixes
@@ -174,6 +177,27 @@ def test_chunks_change_nothing(spark, sf_dir, documents, monkeypatch):
     assert whole.keys() == again.keys() and all(math.isclose(whole[k], again[k], rel_tol=1e-9) for k in whole)
 
 
+@given(st.lists(st.one_of(st.none(), st.text(" \t\n\x0b\x0c\raZÉ\x1c\x1f\x85\xa0\0", max_size=30)), max_size=20))
+def test_words_of_many_texts_at_once(texts):
+    for kind in (pa.string(), pa.large_string()):
+        words, ends = hmm.split_words(pa.array(["ab c", *texts], kind).slice(1))
+        words = [w.encode() for w in words.to_pylist()]
+        assert [words[lo:hi] for lo, hi in zip(ends, ends[1:])] == [common.space_words((t or "").encode()) for t in texts]
+
+
+def test_texts_are_laid_once_for_all_rounds(spark, documents, monkeypatch):
+    corpus = hmm.prepare(documents.select("doc_id", "text").withColumn("held", F.col("doc_id") % 5 == 1), "held")
+    made, lay = [], hmm.laid
+    monkeypatch.setattr(hmm, "laid", lambda coded: made.append([(r["flat"], r["sizes"]) for r in lay(coded).collect()]) or lay(coded))
+    monkeypatch.setattr(hmm, "START_ROUNDS", 2)
+    hmm.train(corpus, 1)
+    assert len(made) == 1
+    # whole texts, every one learned from, and none twice
+    want = sorted(len(hmm.unpacked(r["symbols"], np.uint16)) + 1 for r in corpus.coded.where("NOT held_out").collect())
+    assert sorted(n for _, sizes in made[0] for n in np.frombuffer(sizes, np.int64).tolist()) == want
+    assert sum(len(hmm.unpacked(flat, np.uint16)) for flat, _ in made[0]) == sum(want)
+
+
 # -- mixing -----------------------------------------------------------------------------------
 
 
