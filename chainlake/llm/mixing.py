@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, fresh, lookup, read_table, running_sum, written
+from .common import SPACE_RUNS, fresh, lookup, read_table, running_sum, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -82,7 +82,8 @@ def _place(seed: int) -> Column:
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    # one character stands for each word: regexp_count would hold all words of a text in an array
+    size = F.coalesce(F.length(F.regexp_replace("text", SPACE_RUNS, "$1")), F.lit(0)).cast("long")
     return docs.select("doc_id", "source", size.alias("size"), _place(seed).alias("place"))
 
 

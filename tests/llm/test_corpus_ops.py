@@ -235,6 +235,14 @@ def test_very_many_sources(spark):
     assert "SinglePartition" not in mixing.targets(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_mixing_sizes_hold_no_words(docs_of):
+    """Words of odd texts are counted as bytes.split() has them, without an array of a text's words."""
+    texts = [None, "", "  ", " \t\n", "a", "\t\n a", "a b ", "\x85a\xa0b\x1cc d", "\U0001F600 \U0001F600x \u3000y", "é\r\n\x0b\x0cç", "$1 \\ $", "a\u0301 \u0301", "\x00 \x00", "ab " * 500_000, " " * 1_000_000]
+    sized = mixing._sized(docs_of(list(enumerate(texts))), 0)
+    assert {r["doc_id"]: r["size"] for r in sized.collect()} == {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
+    assert "extract_all" not in sized._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_stage(spark, docs_of):
     """Whole documents with how often they are taken; none that isn't; rows repeated as a whole count apart."""
     rows = [(i, "w " * (1 + i % 7), None, f"s{i % 3}", 1) for i in range(1, 80)] + [(500, "again again", None, "s1", 2)] * 5 + [(None, "no id", None, "s0", 1), (600, None, None, "s0", 1), (601, "", None, "s0", 1)]
