@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, lookup, written
 
+#: Graphs of so many edges at most are solved in one go; what takes rounds is left to larger ones.
+AT_ONCE = 300_000
+
 
 class Forest:
     """Union-find over anything hashable; the smallest member is the root."""
@@ -80,20 +83,48 @@ def _pairs(f: Forest, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f.find(x) for x in nodes], schema.field(0).type), pa.array(nodes, schema.field(1).type)], names=["a", "b"])
 
 
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of few edges, by one task that reads the table as it lies."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, nodes, schema = Forest(), set(), None
+        for b in batches:
+            schema = b.schema
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f.join(x, y)
+                nodes.update((x, y))
+        every = list(nodes)
+        for lo in range(0, len(every), 50_000):
+            some = every[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, schema.field(0).type), pa.array([f.find(x) for x in some], schema.field(0).type)], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(go, f"node {kind}, root {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
-    Alternating large and small stars: edges are re-hung on smaller neighbours until nothing changes,
-    after some log(nodes) rounds. A round is two aggregations with partial sums and two joins with what they
+    Edges are first made fewer within each partition. Up to AT_ONCE that are left one task joins all, in
+    one forest; beyond, rounds make them fewer, until they are that few or done.
+
+    Rounds are alternating large and small stars: edges are re-hung on smaller neighbours until nothing
+    changes, after some log(nodes) rounds. A round is two aggregations with partial sums and two joins with what they
     found, a row a node. The first is where a hub's edges would meet: what is joined there is a table by then,
     broadcast if counted small, and beyond that both sides come straight from tables, so that AQE may split
     the hub. Behind it edges hang on their smallest neighbours, and no node has many smaller ones.
     """
-    now = written(_contract(edges.where("a <> b")).where("a <> b").distinct(), "edges")
+    now = written(_contract(edges.where("a <> b")).where("a <> b"), "edges")
+    if now.count() <= AT_ONCE:
+        return _at_once(now)
+    last, now = now, written(now.distinct(), "edges")
+    discard(last)
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state["n"] == 0 or (state["n"], state["s"]) == seen:
+        if state["n"] <= AT_ONCE:
+            return _at_once(now)
+        if (state["n"], state["s"]) == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
         seen = (state["n"], state["s"])
         # large star: the larger neighbours of each node to its smallest neighbour or itself

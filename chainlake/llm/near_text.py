@@ -40,6 +40,8 @@ PERCENT, LEAST_SHARED = 85, 40
 STAGE_PERCENT, STAGE_LEAST_SHARED = 80, 35
 #: Members and bytes of a block of a posting list or candidate group.
 BLOCK, BLOCK_BYTES = 1000, 32 << 20
+#: Rows that a task is worth where groups have become few.
+TASK_ROWS = 100
 REMEMBERED = 150_000
 
 _ids: dict[bytes, int] = {}
@@ -126,8 +128,11 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
         n = F.ceil(F.count_if(of) / BLOCK)
         return (F.greatest(n, F.ceil(F.sum(F.when(of, F.col(bytes_of))) / BLOCK_BYTES)) if bytes_of else n).cast("int")
 
-    def compared(rows: DataFrame) -> DataFrame:
-        dealt = rows.select(group, *every).repartition(parts, group, "x", "y").sortWithinPartitions(group, "x", "y")
+    def tasks(rows: int) -> int:
+        return min(parts, 1 + rows // TASK_ROWS)
+
+    def compared(rows: DataFrame, most: int = parts) -> DataFrame:
+        dealt = rows.select(group, *every).repartition(parts, group, "x", "y").coalesce(most).sortWithinPartitions(group, "x", "y")
         return dealt.mapInArrow(released(compare), f"grp {members.schema[group].dataType.simpleString()}, a binary, b binary")
 
     def alone(rows: DataFrame, number: Column) -> DataFrame:
@@ -145,12 +150,12 @@ def forests(members: DataFrame, group: str, parts: int, compare: Callable, colum
     whole = written(members.join(large, group).withColumn("root", F.col("cls")), "whole")
     level, left = whole, whole.count()
     while True:
-        found = written(compared(alone(level, block("blocks"))), "near")
+        found = written(compared(alone(level, block("blocks")), tasks(left)), "near")
         edges = edges.unionByName(found)
         joined = found.select(F.col("grp").alias(group), F.col("b").alias("cls"))
         roots = written(level.drop("blocks").join(lookup(joined, found.count()), [group, "cls"], "left_anti"), "roots")
         blocks = roots.groupBy(group).agg(size(everything).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select(group, "blocks")
-        level = written(roots.join(lookup(written(blocks, "blocks")), group), "level")
+        level = written(roots.join(lookup(written(blocks.coalesce(tasks(left)), "blocks")), group), "level")
         now = level.count()
         if not now:
             return edges

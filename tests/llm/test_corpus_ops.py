@@ -44,6 +44,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("at_once, most", [(300_000, 1), (40, 100), (0, 100)])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, at_once, most):
+    """A chain, a hub and pairs over many partitions: at once a single table is written, and rounds find the same."""
+    tables = []
+    monkeypatch.setattr(graph, "AT_ONCE", at_once, raising=False)
+    monkeypatch.setattr(graph, "written", lambda df, label: tables.append(label) or common.written(df, label))
+    edges = [(i + 1, i) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 100)] + [(i, i + 1) for i in range(0, 100, 2)] * 2
+    named = [tuple(x.to_bytes(2, "big") for x in e) for e in edges]
+    f = graph.Forest()
+    for a, b in named:
+        f.join(a, b)
+    got = graph.components(spark.createDataFrame(named, "a binary, b binary").repartition(8)).collect()
+    assert len(got) == 61 + 100 + 100 and {bytes(r["node"]): bytes(r["root"]) for r in got} == {x: f.find(x) for e in named for x in e}
+    assert len(tables) <= most
+
+
 # -- language model ---------------------------------------------------------------------------
 
 
@@ -341,6 +357,25 @@ def test_one_template_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert seen.value < 3 * 400
 
 
+def test_few_rows_are_compared_in_few_tasks(spark, monkeypatch):
+    """The levels behind a large group's first comparison hold few rows: not all partitions start a task for them."""
+    monkeypatch.setattr(near_text, "BLOCK", 10)
+    rows = spark.range(60).select(F.lit(b"g").alias("g"), F.md5(F.col("id").cast("string").cast("binary")).cast("binary").alias("cls"))
+    tasks = spark.sparkContext.accumulator(0)
+
+    def compare(batches):
+        tasks.add(1)
+        first: dict = {}
+        for b in batches:
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            pairs = [(b"g", first.setdefault(k, n), n) for k, n in zip(keys, b.column(3).to_pylist(), strict=True)]
+            if pairs := [p for p in pairs if p[1] != p[2]]:
+                yield near_text._edges(pairs)
+
+    edges = near_text.forests(common.written(rows, "members"), "g", 40, compare, ["cls"])
+    assert edges.count() == 59 and tasks.value < 2 * 40
+
+
 def test_dedup_stage_keeps_one_of_each(spark, docs_of):
     docs = docs_of([*ODD, (20, "a b c d e f g h"), (21, "A B C D E F G H"), (22, "a b c d e f g h")]).withColumn("verdict", F.lit(1))
     kept = near_text.stage(spark, docs, "")
