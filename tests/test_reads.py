@@ -54,6 +54,20 @@ def test_log_limit_is_all_or_nothing(chain):
     assert reads.get_logs(chain, LogFilter(800, 801), 4).count() == 4
 
 
+def test_a_limit_is_checked_by_counts(chain, monkeypatch):
+    """No task gathers the rows of a limit, none are kept, and only too many logs make joined rows be counted."""
+    joined = []
+    monkeypatch.setattr(reads, "logs", lambda t, f, *a, f0=reads.logs, **b: joined.append(b) or f0(t, f, *a, **b))
+    found = reads.get_logs(chain, LogFilter(800, 801), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan and found.storageLevel.useMemory is False
+    assert found.count() == 4 and joined == [{"ordered": True}]
+    lonely = {**chain, "headers": chain["headers"].where("block_number <> 801")}  # a log of an unknown block isn't a result
+    assert reads.get_logs(lonely, LogFilter(800, 801), 3).count() == 3
+    with pytest.raises(TooManyLogs):
+        reads.get_logs(lonely, LogFilter(800, 801), 2)
+
+
 def test_logs_by_block_hash_and_open_end(chain):
     assert reads.get_logs(chain, LogFilter(at_hash=h(801)), 10).count() == 1
     assert reads.get_logs(chain, LogFilter(from_block=800), 10).count() == 4
