@@ -61,17 +61,24 @@ class StateFeed:
 
 
 def append_state(w: Writer, headers: DataFrame, feed: StateFeed) -> tuple[int, int]:
-    """Stages blocks that extend the tip: headers, pre-images, state, history. Only buckets of touched keys are rewritten."""
+    """Stages blocks that extend the tip: headers, pre-images, state, history. Only buckets of touched keys are rewritten.
+
+    Each part of the feed is read once. The rows of touched buckets and the events are put in order by key once;
+    pre-images, the buckets' new rows and the blocks to index are then picked from that without another join.
+    """
     first, last = ingest.validate_extension(w.tail("headers"), headers)
     accounts = w.stage(ingest.account_events(feed.accounts))
-    slots = w.stage(ingest.slot_events(w.of_keys("slot_state", feed.wiped.select("address")), feed.slots, feed.wiped))
+    writes, wiped = w.stage(feed.slots), w.stage(feed.wiped)
+    slots = w.stage(ingest.slot_events(w.of_keys("slot_state", wiped.select("address")), writes, wiped))
     w.append("headers", headers)
     for events, state, keys, values in ((accounts, "account_state", ACCOUNT, ACCOUNT_VALUES), (slots, "slot_state", SLOT, SLOT_VALUES)):
         changed, index = CHANGES[state]
-        w.append(changed, ingest.changes(events, w.of_keys(state, events.select(*keys)), keys, values, _DEFAULTS()))
-        w.rewrite(state, events.select(*keys), lambda _, e=events, k=keys, v=values: ingest.state_after(e, k, v))
-        new = w.read(changed, first, last)
-        w.rewrite(index, new.select(*keys), lambda old, n=new, k=keys: history.append(old, n, k, first, last))
+        buckets = w.touched(state, events)
+        ordered = w.stage(ingest.in_order(events, w.of_buckets(state, buckets), keys, values, last - first + 1))
+        new = ingest.changes(ordered, keys, values, _DEFAULTS())
+        w.append(changed, new)
+        w.replace_buckets(state, buckets, ingest.state_after(ordered, keys, values))
+        w.replace_buckets(index, buckets, history.append(w.of_buckets(index, buckets), new, keys, first, last))
     w.upsert("bytecodes", feed.codes.dropDuplicates(["code_hash"]))
     return first, last
 

@@ -40,18 +40,26 @@ def bucket(column: str) -> Column:
     return F.floor(F.col(column) / BLOCKS_PER_BUCKET).alias("bucket")
 
 
-def with_previous(changes: DataFrame, keys: Sequence[str], out: str, value: str = "block_number") -> DataFrame:
+def with_previous(changes: DataFrame, keys: Sequence[str], out: str, value: str = "block_number", last: str | None = None, together: bool = False) -> DataFrame:
     """Adds what value was in the key's row before; null for its first (and where value was null).
 
     Found within (key, block bucket), or from the bucket before with any change: windows hold a bucket
-    of one key, or a row a bucket, so a key that changes in every block is spread over tasks.
+    of one key, or a row a bucket, so a key that changes in every block is spread over tasks. last names
+    a column that tells a key's last row. together says that no key has rows in more blocks than a bucket
+    has, so that one window of them is no larger: then nothing is joined.
     """
+    whole = Window.partitionBy(*keys)
+    if together:
+        w = whole.orderBy("block_number")
+        found = changes.withColumn(out, F.lag(value).over(w))
+        return found.withColumn(last, F.lead("block_number").over(w).isNull()) if last else found
     placed = changes.select("*", bucket("block_number"))
-    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "bucket").orderBy("block_number"))
+    w = Window.partitionBy(*keys, "bucket").orderBy("block_number")
     ends = placed.groupBy(*keys, "bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), "block_number").alias("end"))
-    ends = ends.select(*keys, "bucket", F.lag("end").over(Window.partitionBy(*keys).orderBy("bucket")).alias("end"))
-    found = placed.withColumn("inside", inside).join(ends, [*keys, "bucket"])
-    return found.withColumn(out, F.coalesce("inside", "end")["v"]).select(*changes.columns, out)
+    ends = ends.select(*keys, "bucket", F.lag("end").over(whole.orderBy("bucket")).alias("end"), F.lead("bucket").over(whole.orderBy("bucket")).isNull().alias("final"))
+    found = placed.withColumn("inside", F.lag(F.struct(F.col(value).alias("v"))).over(w)).withColumn("ends", F.lead("block_number").over(w).isNull()).join(ends, [*keys, "bucket"])
+    made = found.withColumn(out, F.coalesce("inside", "end")["v"])
+    return made.withColumn(last, F.col("ends") & F.col("final")).select(*changes.columns, out, last) if last else made.select(*changes.columns, out)
 
 
 def intervals(current: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

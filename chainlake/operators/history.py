@@ -38,22 +38,22 @@ def shards(changes: DataFrame, keys: Sequence[str], cap: int = SHARD_CAP) -> Dat
 
 
 def append(history: DataFrame, changes: DataFrame, keys: Sequence[str], first: int, last: int, cap: int = SHARD_CAP) -> DataFrame:
-    """history with the changes of first..last added: only the open shards of touched keys are rewritten.
+    """history with the changes of first..last added: only the open shards of touched keys change.
 
-    Blocks that don't exceed those already indexed raise.
+    Blocks that don't exceed those already indexed raise. Open shards meet their new blocks in one join.
     """
     new = changed(changes, keys, first, last).withColumnRenamed("blocks", "more")
-    opened = history.where("is_open").join(new, list(keys), "right")
+    opened = history.where("is_open").select(*keys, "blocks").join(new, list(keys), "full")
     old = F.coalesce("blocks", F.array().cast("array<bigint>"))
     ok = F.coalesce(F.element_at(F.when(F.size(old) > 0, old), -1) < F.col("more")[0], F.lit(True))
     joined = F.when(ok, F.concat(old, "more")).otherwise(F.raise_error(F.lit("history blocks must ascend")).cast("array<bigint>"))
-    whole = opened.select(*keys, joined.alias("all"))
-    n = F.ceil(F.size("all") / cap).cast("int")
-    cut = whole.select(*keys, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("all"), i * cap + 1, cap))).alias("i", "blocks"))
+    whole = opened.select(*keys, F.coalesce(F.when(F.col("more").isNotNull(), joined), "blocks").alias("all"), F.col("more").isNull().alias("same"))
+    n = F.when(F.col("same"), F.lit(1)).otherwise(F.ceil(F.size("all") / cap).cast("int"))
+    pieces = F.when(F.col("same"), F.array("all")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("all"), i * cap + 1, cap)))
+    cut = whole.select(*keys, n.alias("n"), F.posexplode(pieces).alias("i", "blocks"))
     is_open = F.col("i") == F.col("n") - 1
     made = cut.select(*keys, F.when(is_open, F.lit(OPEN_SHARD)).otherwise(F.element_at("blocks", -1)).alias("highest"), is_open.alias("is_open"), "blocks")
-    kept = history.join(new.select(*keys).withColumn("is_open", F.lit(True)), [*keys, "is_open"], "left_anti")
-    return kept.select(*made.columns).unionByName(made)
+    return history.where(~F.col("is_open")).select(*made.columns).unionByName(made)
 
 
 def trim(history: DataFrame, keys: Sequence[str], above: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptyRange, MissingField, NonContiguous, ParentMismatch
 from ..functions import rlp
+from ..schema import BLOCKS_PER_BUCKET
 from .asof import with_previous
 from .reads import derive_receipts, tip
 from .reorg import breaks
@@ -126,24 +127,30 @@ def slot_events(current: DataFrame, feed: DataFrame, wiped: DataFrame) -> DataFr
     return cleared.join(writes.select("block_number", "address", "slot"), ["block_number", "address", "slot"], "left_anti").unionByName(writes)
 
 
-def changes(events: DataFrame, current: DataFrame, keys: Sequence[str], values: Sequence[str], defaults: Mapping[str, Column]) -> DataFrame:
-    """Change rows of events, in whatever number of blocks: what each key was before each block.
+def in_order(events: DataFrame, current: DataFrame, keys: Sequence[str], values: Sequence[str], blocks: int) -> DataFrame:
+    """Current rows, at block -1, and events behind them, each with what its key was before (pre), and whether it is its key's last.
 
-    The current state of a key comes before its first event, each event before the next, so writes, wipes
-    and deletions of one append are seen in order. A key that wasn't there shows the defaults, with existed
-    false; a wipe of a slot that wasn't there changes nothing. current need only hold the keys of events.
+    events lie in so many blocks, whatever number. The current state of a key comes before its first event,
+    each event before the next, so writes, wipes and deletions of one append are seen in order.
     """
     base = current.select(F.lit(-1).cast("long").alias("block_number"), *keys, F.struct(*values).alias("after"))
-    ordered = with_previous(events.select("block_number", *keys, "after").unionByName(base), keys, "pre", "after")
+    return with_previous(events.select("block_number", *keys, "after").unionByName(base), keys, "pre", "after", last="is_last", together=blocks <= BLOCKS_PER_BUCKET)
+
+
+def changes(ordered: DataFrame, keys: Sequence[str], values: Sequence[str], defaults: Mapping[str, Column]) -> DataFrame:
+    """Change rows of what in_order gives: what each key was before each block.
+
+    A key that wasn't there shows the defaults, with existed false; a wipe of a slot that wasn't there
+    changes nothing.
+    """
     real = ordered.where("block_number >= 0 AND (after IS NOT NULL OR pre IS NOT NULL)")
     there = F.col("pre").isNotNull()
     return real.select("block_number", *keys, there.alias("existed"), *(F.when(there, F.col(f"pre.{v}")).otherwise(defaults[v]).alias(f"pre_{v}") for v in values))
 
 
-def state_after(events: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The state of the events' keys after the last of each; what is deleted or wiped by then has no row. Zero slots are kept."""
-    last = events.groupBy(*keys).agg(F.max_by(F.struct("after"), "block_number").alias("last"))
-    return last.where("last.after IS NOT NULL").select(*keys, *(F.col(f"last.after.{v}").alias(v) for v in values))
+def state_after(ordered: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The state after all that in_order gives; what is deleted or wiped by then has no row. Zero slots are kept."""
+    return ordered.where("is_last AND after IS NOT NULL").select(*keys, *(F.col(f"after.{v}").alias(v) for v in values))
 
 
 def wipe_preimages(current: DataFrame, wiped: DataFrame) -> DataFrame:

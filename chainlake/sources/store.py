@@ -179,7 +179,7 @@ class Store:
 
     def open(self, table: Table, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], table.schema)
+            return self.spark.createDataFrame([], table.schema).limit(0)  # known to be empty by the planner: joins with it fall away
         return self.spark.read.schema(table.schema).parquet(*(f"{self.path}/{p}" for p in paths))
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -273,6 +273,12 @@ class Writer:
     def tail(self, name: str) -> DataFrame:
         return self._now().tail(name)
 
+    def touched(self, name: str, keys: DataFrame) -> set[int] | None:
+        return self.store.touched(self.store.table(name), keys)
+
+    def of_buckets(self, name: str, buckets: Iterable[int] | None) -> DataFrame:
+        return self._now().read(name, buckets=buckets)
+
     def _now(self) -> Snapshot:
         return Snapshot(self.store, -1, self.manifest)
 
@@ -347,6 +353,12 @@ class Writer:
         written = self._write(table, new)
         self.manifest[name] = [p for p in self.manifest[name] if p not in mine] + written
 
+    def replace_buckets(self, name: str, buckets: Iterable[int] | None, df: DataFrame) -> None:
+        """Puts df in place of all rows of some buckets (None: any)."""
+        wanted = None if buckets is None else set(buckets)
+        written = self._write(self.store.table(name), df)
+        self.manifest[name] = [p for p in self.manifest[name] if wanted is not None and p["bucket"] not in wanted] + written
+
     def upsert(self, name: str, df: DataFrame) -> None:
         """Puts rows by key over those present; rows are unique by key."""
         table = self.store.table(name)
