@@ -61,13 +61,24 @@ def test_a_limit_is_checked_by_counts(chain, monkeypatch):
     found = reads.get_logs(chain, LogFilter(800, 801), 4)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "Limit" not in plan and found.storageLevel.useMemory is False
-    assert found.count() == 4 and joined == [{"ordered": True}]
+    assert found.count() == 4 and joined == [{"ordered": True, "few": True}]
     lonely = {**chain, "headers": chain["headers"].where("block_number <> 801")}  # a log of an unknown block isn't a result
     assert reads.get_logs(lonely, LogFilter(800, 801), 3).count() == 3
     with pytest.raises(TooManyLogs):
         reads.get_logs(lonely, LogFilter(800, 801), 2)
 
 
+def test_few_logs_are_sent_to_their_transactions(spark, chain):
+    """Transactions and receipts aren't shuffled for a handful of logs, whatever the planner guesses."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reads.get_logs(chain, LogFilter(800, 801), 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and found.count() == 4
+
+
 def test_logs_by_block_hash_and_open_end(chain):
     assert reads.get_logs(chain, LogFilter(at_hash=h(801)), 10).count() == 1
     assert reads.get_logs(chain, LogFilter(from_block=800), 10).count() == 4
