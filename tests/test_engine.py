@@ -467,6 +467,24 @@ def test_an_append_rewrites_only_its_buckets(spark, tmp_path):
     assert store.snapshot()["slot_state"].count() == 200 and store.snapshot()["headers"].count() == 2
 
 
+def test_truncation_deals_nothing_anew(spark, tmp_path, monkeypatch):
+    """Rows of the store's own files lie by blocks already; what is kept of a file is written where it is read."""
+    store = Store(spark, f"file://{tmp_path}/s", COLD).init()
+    with store.writer() as w:
+        w.append("headers", headers(spark, range(30)))
+        w.commit()
+
+    def refuse(*_):
+        raise AssertionError("shuffled")
+
+    monkeypatch.setattr(type(store.snapshot()["headers"]), "repartitionByRange", refuse)
+    with store.writer() as w:
+        w.truncate("headers", 11)
+        w.commit()
+    s = store.snapshot()
+    assert sorted(r[0] for r in rows(s["headers"], "block_number")) == list(range(12)) and s.manifest["headers"][0]["last"] == 11
+
+
 # -- a database as the history tier --------------------------------------------------------------
 
 
