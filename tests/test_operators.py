@@ -157,3 +157,14 @@ def test_conform_rejects_bad_rows(spark):
             conform(spark.createDataFrame([row], good.schema), t).collect()
     with pytest.raises(SchemaError):
         conform(good.withColumn("other", F.lit(1)), t)
+
+
+def test_events_in_order_in_one_window_or_many(spark):
+    """A short run of blocks is ordered by one window, a long one bucket by bucket; state and changes are the same."""
+    events = spark.createDataFrame([(3, "a", (7,)), (9, "a", None), (25_000, "a", (8,)), (4, "b", None), (5, "c", None), (25_001, "d", (1,))], "block_number long, k string, after struct<v: long>")
+    current = spark.createDataFrame([("a", 6), ("b", 2), ("e", 5)], "k string, v long")
+    for blocks in (7, 25_002):
+        ordered = ingest.in_order(events, current, ["k"], ["v"], blocks)
+        assert {tuple(r) for r in ingest.state_after(ordered, ["k"], ["v"]).collect()} == {("a", 8), ("d", 1), ("e", 5)}
+        got = {tuple(r) for r in ingest.changes(ordered, ["k"], ["v"], {"v": F.lit(0)}).collect()}
+        assert got == {(3, "a", True, 6), (9, "a", True, 7), (25_000, "a", False, 0), (4, "b", True, 2), (25_001, "d", False, 0)}
